@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, host_rules, mixing, sharding, token_scan
+from . import bpe, chat, host_rules, mixing, partenum, sharding, token_scan, toxicity, vptree
 from .sql import ORACLES
 
 SHARD_BYTES = 1 << 20
@@ -29,6 +29,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -37,6 +45,10 @@ def op4_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.count_document_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
 
@@ -54,7 +66,7 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_extendible_sharding, op4_fair_queue_mixing, op7_separator_scan, op8_host_rules, op9_bpe, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_compression_toxicity, op3_extendible_sharding, op4_fair_queue_mixing, op5_vantage_point_search, op6_partenum_join, op7_separator_scan, op8_host_rules, op9_bpe, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
