@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, host_rules, mixing, partenum, sharding, token_scan, toxicity, vptree
+from . import bpe, chat, context_mixing, host_rules, mixing, partenum, sharding, token_scan, toxicity, vptree
 from .sql import ORACLES
 
 SHARD_BYTES = 1 << 20
@@ -33,6 +33,10 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op5_vantage_point_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -66,7 +70,7 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_compression_toxicity, op3_extendible_sharding, op4_fair_queue_mixing, op5_vantage_point_search, op6_partenum_join, op7_separator_scan, op8_host_rules, op9_bpe, op10_perspective_rotation)}
+    return {f.__name__: f for f in (op1_compression_toxicity, op2_context_mixing, op3_extendible_sharding, op4_fair_queue_mixing, op5_vantage_point_search, op6_partenum_join, op7_separator_scan, op8_host_rules, op9_bpe, op10_perspective_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
