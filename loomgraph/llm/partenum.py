@@ -7,9 +7,10 @@ of N2 - K2 parts is equal in both sets. Each subset's content is a signature: a
 next one. G leaves room for groups with an empty part; a set with too many of those signs its prefix (its first elements in hash
 order, which any similar set shares one of) as well, so that no empty content ever needs to be a signature.
 
-Sets that share a signature are compared star-wise with a few centres per signature, never all with all; only sets that lie in
-different components after that are compared further, if they also share one of their rarest elements. Verification compares
-the whole sets.
+Candidates are narrowed by profiles before whole sets are compared: a profile counts a set's elements in hash cells, and the
+L1 distance of two profiles never exceeds the difference of the sets. A signature that few sets share compares all profiles and
+passes on the few pairs that may link. A signature whose sets are mostly alike, or very many, passes on pairs with some centres
+only; sets that lie in different components after that are compared further. No group is ever expanded into all its pairs.
 
 Edge cases: a document without words has an empty set and links with nothing; with fewer words than a shingle, the whole sequence
 is its one element; repeated rows and equal texts are one class; a null doc_id is a row of its own kind and links as -1 would; an empty
@@ -28,7 +29,10 @@ from .common import materialize
 
 U64 = np.uint64
 WIDTH = 5
-SMALL = 4  # a signature of so few sets compares them all
+CELLS = 96
+DENSE = 4  # pairs passed on for each set of a signature; with more, centres stand for the group
+WIDE = 2048  # sets of a signature whose profiles are all compared
+CENTRES = 3
 N2, K2 = 2, 1
 
 
@@ -131,18 +135,26 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def profiles(doc: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
+    """Each set's elements per hash cell, at most 255 (which only lowers distances)."""
+    cell = ((tk.mix(element ^ U64(0x77)) >> U64(32)) * U64(CELLS) >> U64(32)).astype(np.int64)
+    return np.minimum(np.bincount(doc * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+
+
 def set_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp, fp2 of every document."""
+    """doc_id, n_shingles, fp, fp2, profile of every document."""
 
     def run(batches):
         for batch in batches:
             first = 0
             for c in tk.chunks(batch.column("text")):
-                size, fp, fp2 = fingerprints(*shingle_sets(c), c.n_docs)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2)], names=["doc_id", "n_shingles", "fp", "fp2"])
+                doc, element = shingle_sets(c)
+                size, fp, fp2 = fingerprints(doc, element, c.n_docs)
+                cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CELLS), c.n_docs, [None, pa.py_buffer(profiles(doc, element, c.n_docs).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), cells], names=["doc_id", "n_shingles", "fp", "fp2", "profile"])
                 first += c.n_docs
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long, fp2 long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long, fp2 long, profile binary")
 
 
 def signed_sets(docs: DataFrame) -> DataFrame:
@@ -168,22 +180,37 @@ def signed_sets(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(run, "sig long, fp long")
 
 
+def _groups(key: np.ndarray) -> np.ndarray:
+    """Bounds of runs of equal keys."""
+    return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+
+
 def shared_signatures(signed: DataFrame) -> DataFrame:
-    """(sig, fp) of the signatures that more than one set has. Input rows of a signature must be together, in order of sig."""
+    """(sig, a, b): for a signature of two sets the pair, with sig null; for one of more, a row per set, with b null.
+
+    Pairs are distinct within a task, so that sets with hundreds of signatures in common leave one row a task.
+    """
 
     def run(batches):
         held_sig, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        pairs: list[np.ndarray] = []
 
-        def emit(sig, fp):
+        def split(sig, fp):
             order = np.lexsort((fp, sig))
             sig, fp = sig[order], fp[order]
             new = np.ones(len(sig), bool)
             new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
             sig, fp = sig[new], fp[new]
-            same = np.zeros(len(sig) + 1, bool)
-            same[1:-1] = sig[1:] == sig[:-1]
-            many = same[1:] | same[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(fp[many])], names=["sig", "fp"])
+            bounds = _groups(sig)
+            size = np.diff(bounds)
+            two = bounds[:-1][size == 2]
+            pairs.append(np.stack([fp[two], fp[two + 1]], 1))
+            many = np.repeat(size > 2, size)
+            return pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(fp[many]), pa.nulls(int(many.sum()), pa.int64())], names=["sig", "a", "b"])
+
+        def flush():
+            got = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(got), pa.int64()), pa.array(got[:, 0]), pa.array(got[:, 1])], names=["sig", "a", "b"])
 
         for batch in batches:
             sig = np.concatenate([held_sig, batch.column("sig").to_numpy()])
@@ -192,14 +219,116 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
                 continue
             cut = int(np.searchsorted(sig, sig[-1]))
             if cut:
-                yield emit(sig[:cut], fp[:cut])
+                yield split(sig[:cut], fp[:cut])
             # of the open signature keep distinct sets only: its copies from many tasks do not pile up
             held_fp = np.unique(fp[cut:])
             held_sig = np.full(len(held_fp), sig[-1])
+            if sum(map(len, pairs)) > 2_000_000:
+                yield flush()
+                pairs.clear()
         if len(held_sig):
-            yield emit(held_sig, held_fp)
+            yield split(held_sig, held_fp)
+        yield flush()
+
+    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
+
+
+def may_link(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether profiles and sizes allow a similarity of 4/5: the difference is at most a ninth of both sizes together."""
+    distance = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1, dtype=np.int64)
+    return (9 * distance <= x_size + y_size) & (5 * np.minimum(x_size, y_size) >= 4 * np.maximum(x_size, y_size))
+
+
+def _profile_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that profiles allow."""
+
+    def run(batches):
+        for batch in batches:
+            ok = pa.array(may_link(_profile_matrix(batch.column("pa")), batch.column("na").to_numpy(), _profile_matrix(batch.column("pb")), batch.column("nb").to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
+    a = sets.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("profile").alias("pa"))
+    b = sets.select(F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("profile").alias("pb"))
+    near = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
 
-    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, fp long")
+def group_pairs(rows: DataFrame, last: bool) -> DataFrame:
+    """(sig, a, b) from rows (sig, fp, label, size, profile) of shared signatures.
+
+    First: all pairs that profiles allow, if they are few for the number of sets; else those with the group's centres, and a row with b
+    null that says that the signature needs another look. Last: the pairs across components that profiles allow, for groups up to WIDE sets.
+    """
+
+    def run(batches):
+        names, kinds = ["sig", "a", "b"], [pa.int64()] * 3
+        columns = ("sig", "fp", "label", "size", "profile")
+        held = None
+
+        def group(sig, fp, label, size, cells):
+            m = len(fp)
+            if m <= WIDE:
+                at = [], []
+                for i in range(0, m, 64):  # blocks, so that the working set stays small
+                    block = slice(i, min(m, i + 64))
+                    ok = may_link(cells[block, None], size[block, None], cells[None, i:], size[None, i:])
+                    ok &= np.arange(i, m)[None] > np.arange(block.start, block.stop)[:, None]
+                    if last:
+                        ok &= label[block, None] != label[None, i:]
+                    x, y = np.nonzero(ok)
+                    at[0].append(x + i)
+                    at[1].append(y + i)
+                    if not last and sum(map(len, at[0])) > DENSE * m:
+                        break
+                else:
+                    x, y = np.concatenate(at[0]), np.concatenate(at[1])
+                    return np.full(len(x), sig), fp[x], fp[y], False
+            if last:
+                return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), True
+            rank = tk.mix(fp.view(np.uint64)[:, None] ^ (np.arange(CENTRES, dtype=np.uint64) + U64(1)))
+            x, y = [], []
+            for c in np.unique(rank.argmin(0)):
+                other = np.flatnonzero(may_link(cells[c], size[c], cells, size) & (np.arange(m) != c))
+                x.append(np.full(len(other), c))
+                y.append(other)
+            x, y = np.concatenate(x), np.concatenate(y)
+            return np.full(len(x), sig), fp[np.minimum(x, y)], fp[np.maximum(x, y)], True
+
+        def emit(arrays, final):
+            sig = arrays[0]
+            if not len(sig):
+                return None, None
+            cut = len(sig) if final else int(np.searchsorted(sig, sig[-1]))
+            bounds = _groups(sig[:cut]) if cut else np.zeros(1, np.int64)
+            out, again = [], []
+            for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                got = group(sig[i], *(x[i:j] for x in arrays[1:]))
+                out.append(got[:3])
+                if got[3]:
+                    again.append(sig[i])
+            batch = None
+            if out:
+                s, x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                batch = pa.RecordBatch.from_arrays([pa.array([None] * len(pair) + again, kinds[0]), pa.array([*pair[:, 0].tolist(), *[None] * len(again)], kinds[1]), pa.array([*pair[:, 1].tolist(), *[None] * len(again)], kinds[2])], names=names)
+            return batch, [x[cut:] for x in arrays]
+
+        for batch in batches:
+            now = [batch.column(c).to_numpy() for c in columns[:-1]] + [_profile_matrix(batch.column("profile"))]
+            held = now if held is None else [np.concatenate(v) for v in zip(held, now, strict=True)]
+            out, held = emit(held, False)
+            if out is not None:
+                yield out
+        if held is not None:
+            out, _ = emit(held, True)
+            if out is not None:
+                yield out
+
+    return rows.select("sig", "fp", "label", "size", "profile").repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -222,16 +351,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
                 good[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
-    near = 100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
-    sized = sets.select("fp", "size")
-    close = pairs.join(sized.select(F.col("fp").alias("a"), F.col("size").alias("a_size")), "a").join(sized.select(F.col("fp").alias("b"), F.col("size").alias("b_size")), "b").filter(near)
-    joined = close.select("a", "b").join(sets.select(F.col("fp").alias("b"), F.col("elements").alias("right")), "b").join(sets.select(F.col("fp").alias("a"), F.col("elements").alias("left")), "a")
+    joined = pairs.join(sets.select(F.col("fp").alias("b"), F.col("elements").alias("right")), "b").join(sets.select(F.col("fp").alias("a"), F.col("elements").alias("left")), "a")
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, size, elements in order) of the wanted sets, computed again from the text of one document of each."""
-    chosen = classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    chosen = materialize(classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    if chosen.count() <= 1_000_000:  # two numbers a row; a larger table is a shuffled join
+        chosen = F.broadcast(chosen)
 
     def run(batches):
         for batch in batches:
@@ -265,23 +393,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _stars(shared: DataFrame, seed: int) -> DataFrame:
-    """Each set of a signature with the signature's centre, the set of least hash."""
-    rank = F.xxhash64(F.col("fp"), F.lit(seed)) if seed else F.col("fp")
-    centres = shared.groupBy("sig").agg(F.min_by("fp", rank).alias("centre"))
-    pair = shared.join(centres, "sig").filter(F.col("fp") != F.col("centre"))
-    return pair.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
-
-
-def _few(shared: DataFrame, bound: int) -> DataFrame:
-    """All pairs of the signatures with at most ``bound`` sets: at most (bound - 1) / 2 pairs for a row."""
-    sets = shared.groupBy("sig").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    two = sets.filter("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    some = shared.join(sets.filter((F.col("n") > 2) & (F.col("n") <= bound)).select("sig"), "sig", "left_semi").groupBy("sig").agg(F.sort_array(F.collect_set("fp")).alias("m"))
-    spread = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return two.unionByName(some.select(F.explode(spread).alias("p")).select("p.a", "p.b")).distinct()
-
-
 def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of sets in different components that share one of their rarest elements.
 
@@ -296,27 +407,27 @@ def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return prefix.join(other, "element").filter((F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & (5 * F.least("size", "size2") >= 4 * F.greatest("size", "size2"))).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, stars: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity 0.8 or more reach."""
     classes = materialize(set_classes(docs))
     shared = materialize(shared_signatures(signed_sets(docs)))
-    nothing = shared.select(F.col("sig").alias("a"), F.col("fp").alias("b")).limit(0)
-    edges = nothing
-    if not shared.isEmpty():
-        sets = materialize(class_sets(docs, classes, shared.select("fp")))
-        counts = shared.groupBy("sig").agg(F.count("*").alias("n"))
-        large = materialize(shared.join(counts.filter(F.col("n") > SMALL).select("sig"), "sig", "left_semi"))
-        pairs = _few(shared, SMALL)
-        for seed in range(stars):
-            pairs = pairs.unionByName(_stars(large, seed))
-        edges = materialize(linked(pairs.distinct(), sets))
-        if not large.isEmpty():
-            labels = components(edges)
-            marked = large.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-            mixed = marked.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("sig")
-            open_ = materialize(marked.join(mixed, "sig", "left_semi"))
-            if not open_.isEmpty():
-                edges = materialize(edges.unionByName(linked(_rare_pairs(open_, sets), sets)))
+    sets = classes.filter("n_shingles > 0").groupBy("fp").agg(F.first("n_shingles").alias("size"), F.first("profile").alias("profile"))
+    pairs = close_pairs(shared.filter("sig is null").select("a", "b").distinct(), sets)
+    many = materialize(shared.filter("sig is not null").select("sig", F.col("a").alias("fp")).join(sets, "fp").withColumn("label", F.col("fp")))
+    found = materialize(group_pairs(many, last=False))
+    pairs = materialize(pairs.unionByName(found.filter("a is not null").select("a", "b")).distinct())
+    edges = verified(docs, classes, pairs)
+    again = found.filter("a is null").select("sig").distinct()
+    if not again.isEmpty():
+        labels = components(edges).withColumnRenamed("node", "fp")
+        open_ = many.join(again, "sig", "left_semi").drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        mixed = open_.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high")
+        open_ = materialize(open_.join(mixed.select("sig", "n"), "sig"))
+        more = group_pairs(open_.filter(F.col("n") <= WIDE), last=True).select("a", "b").filter("a is not null")
+        wide = open_.filter(F.col("n") > WIDE).select("fp", "label").distinct()
+        if not wide.isEmpty():
+            more = more.unionByName(close_pairs(_rare_pairs(wide, class_sets(docs, classes, wide.select("fp"))), sets))
+        edges = materialize(edges.unionByName(verified(docs, classes, materialize(more.distinct().join(pairs, ["a", "b"], "left_anti")))))
     if edges.isEmpty():
         roots = classes.filter("n_shingles > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("component_id"))
     else:
@@ -325,10 +436,16 @@ def near_duplicates(docs: DataFrame, stars: int = 3) -> DataFrame:
         least = ids.groupBy("label").agg(F.min("least").alias("component_id"))
         roots = ids.join(least, "label").select("fp", "fp2", "component_id")
     roots = materialize(roots)
-    placed = classes.filter("n_shingles > 0").join(roots, ["fp", "fp2"]).select("doc_id", "n_shingles", "component_id")
+    placed = classes.filter("n_shingles > 0").select("doc_id", "n_shingles", "fp", "fp2").join(roots, ["fp", "fp2"]).select("doc_id", "n_shingles", "component_id")
     return placed.unionByName(classes.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
+    return materialize(linked(pairs, materialize(class_sets(docs, classes, wanted))))
+
+
 def is_kept() -> Column:
     """One document of each group stays: the one that names it."""
     return F.col("doc_id") == F.col("component_id")
