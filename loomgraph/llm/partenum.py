@@ -186,7 +186,7 @@ def _groups(key: np.ndarray) -> np.ndarray:
 
 
 def shared_signatures(signed: DataFrame) -> DataFrame:
-    """(sig, a, b): for a signature of two sets the pair, with sig null; for one of more, a row per set, with b null.
+    """(sig, a, b): for a signature of two sets the pair, with sig null; for one of more, a row per set, with its least set as b.
 
     Pairs are distinct within a task, so that sets with hundreds of signatures in common leave one row a task.
     """
@@ -206,7 +206,8 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
             two = bounds[:-1][size == 2]
             pairs.append(np.stack([fp[two], fp[two + 1]], 1))
             many = np.repeat(size > 2, size)
-            return pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(fp[many]), pa.nulls(int(many.sum()), pa.int64())], names=["sig", "a", "b"])
+            lead = np.repeat(fp[bounds[:-1]], size) if len(fp) else fp
+            return pa.RecordBatch.from_arrays([pa.array(sig[many]), pa.array(fp[many]), pa.array(lead[many])], names=["sig", "a", "b"])
 
         def flush():
             got = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
@@ -262,6 +263,7 @@ def group_pairs(rows: DataFrame, last: bool) -> DataFrame:
 
     First: all pairs that profiles allow, if they are few for the number of sets; else those with the group's centres, and a row with b
     null that says that the signature needs another look. Last: the pairs across components that profiles allow, for groups up to WIDE sets.
+    Signatures with the same least set meet in a few tasks, so that a pair with many signatures in common leaves a row in each of these only.
     """
 
     def run(batches):
@@ -298,37 +300,42 @@ def group_pairs(rows: DataFrame, last: bool) -> DataFrame:
             x, y = np.concatenate(x), np.concatenate(y)
             return np.full(len(x), sig), fp[np.minimum(x, y)], fp[np.maximum(x, y)], True
 
-        def emit(arrays, final):
+        pairs: list[np.ndarray] = []
+        again: list[int] = []
+
+        def take(arrays, final):
             sig = arrays[0]
-            if not len(sig):
-                return None, None
-            cut = len(sig) if final else int(np.searchsorted(sig, sig[-1]))
-            bounds = _groups(sig[:cut]) if cut else np.zeros(1, np.int64)
-            out, again = [], []
+            cut = len(sig) if final or not len(sig) else int(np.searchsorted(sig, sig[-1]))
+            bounds = _groups(sig[:cut])
             for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                got = group(sig[i], *(x[i:j] for x in arrays[1:]))
-                out.append(got[:3])
-                if got[3]:
-                    again.append(sig[i])
-            batch = None
-            if out:
-                s, x, y = (np.concatenate(v) for v in zip(*out, strict=True))
-                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-                batch = pa.RecordBatch.from_arrays([pa.array([None] * len(pair) + again, kinds[0]), pa.array([*pair[:, 0].tolist(), *[None] * len(again)], kinds[1]), pa.array([*pair[:, 1].tolist(), *[None] * len(again)], kinds[2])], names=names)
-            return batch, [x[cut:] for x in arrays]
+                _, x, y, open_ = group(sig[i], *(v[i:j] for v in arrays[1:]))
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                if open_:
+                    again.append(int(sig[i]))
+            if sum(map(len, pairs)) > 400_000:
+                pairs[:] = [np.unique(np.concatenate(pairs), axis=0)]
+            return [v[cut:] for v in arrays]
+
+        def flush():
+            pair = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+            nulls = pa.nulls(len(again), kinds[0])
+            out = [pa.chunked_array([pa.nulls(len(pair), kinds[0]), pa.array(again, kinds[0])]), *(pa.chunked_array([pa.array(pair[:, i]), nulls]) for i in (0, 1))]
+            pairs.clear()
+            again.clear()
+            return pa.Table.from_arrays(out, names=names).combine_chunks().to_batches()
 
         for batch in batches:
             now = [batch.column(c).to_numpy() for c in columns[:-1]] + [_profile_matrix(batch.column("profile"))]
-            held = now if held is None else [np.concatenate(v) for v in zip(held, now, strict=True)]
-            out, held = emit(held, False)
-            if out is not None:
-                yield out
+            held = take(now if held is None else [np.concatenate(v) for v in zip(held, now, strict=True)], False)
+            if sum(map(len, pairs)) > 2_000_000:
+                yield from flush()
         if held is not None:
-            out, _ = emit(held, True)
-            if out is not None:
-                yield out
+            take(held, True)
+        yield from flush()
 
-    return rows.select("sig", "fp", "label", "size", "profile").repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, a long, b long")
+    near = F.pmod(F.xxhash64("lead", F.col("sig").bitwiseAND(F.lit(7))), F.lit(1 << 20))
+    placed = rows.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "fp")
+    return placed.select("sig", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -413,7 +420,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(shared_signatures(signed_sets(docs)))
     sets = classes.filter("n_shingles > 0").groupBy("fp").agg(F.first("n_shingles").alias("size"), F.first("profile").alias("profile"))
     pairs = close_pairs(shared.filter("sig is null").select("a", "b").distinct(), sets)
-    many = materialize(shared.filter("sig is not null").select("sig", F.col("a").alias("fp")).join(sets, "fp").withColumn("label", F.col("fp")))
+    many = materialize(shared.filter("sig is not null").select("sig", F.col("a").alias("fp"), F.col("b").alias("lead")).join(sets, "fp").withColumn("label", F.col("fp")))
     found = materialize(group_pairs(many, last=False))
     pairs = materialize(pairs.unionByName(found.filter("a is not null").select("a", "b")).distinct())
     edges = verified(docs, classes, pairs)
