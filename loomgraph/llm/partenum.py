@@ -30,9 +30,10 @@ from .common import materialize
 U64 = np.uint64
 WIDTH = 5
 CELLS = 96
-DENSE = 4  # pairs passed on for each set of a signature; with more, centres stand for the group
+PACKED = 5
+DENSE = 1  # pairs passed on for each set of a signature; with more, a centre stands for the group
 WIDE = 2048  # sets of a signature whose profiles are all compared
-CENTRES = 3
+ROUNDS = 3  # with another centre each; the last compares what is still apart
 N2, K2 = 2, 1
 
 
@@ -258,14 +259,16 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def group_pairs(rows: DataFrame, last: bool) -> DataFrame:
+def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """(sig, a, b) from rows (sig, fp, label, size, profile) of shared signatures.
 
-    First: all pairs that profiles allow, if they are few for the number of sets; else those with the group's centres, and a row with b
-    null that says that the signature needs another look. Last: the pairs across components that profiles allow, for groups up to WIDE sets.
+    All pairs across labels that profiles allow, if they are few for the number of sets or it is the last turn (for groups up to WIDE
+    sets); else those with the group's centre of this turn, and a row with b null that says that the signature needs another look.
     Signatures with the same least set meet in a few tasks, so that a pair with many signatures in common leaves a row in each of these only.
     """
 
+    last = turn == ROUNDS - 1
+
     def run(batches):
         names, kinds = ["sig", "a", "b"], [pa.int64()] * 3
         columns = ("sig", "fp", "label", "size", "profile")
@@ -279,26 +282,21 @@ def group_pairs(rows: DataFrame, last: bool) -> DataFrame:
                     block = slice(i, min(m, i + 64))
                     ok = may_link(cells[block, None], size[block, None], cells[None, i:], size[None, i:])
                     ok &= np.arange(i, m)[None] > np.arange(block.start, block.stop)[:, None]
-                    if last:
-                        ok &= label[block, None] != label[None, i:]
+                    ok &= label[block, None] != label[None, i:]
                     x, y = np.nonzero(ok)
                     at[0].append(x + i)
                     at[1].append(y + i)
-                    if not last and sum(map(len, at[0])) > DENSE * m:
+                    if not last and sum(map(len, at[0])) > max(4, DENSE * m):
                         break
                 else:
                     x, y = np.concatenate(at[0]), np.concatenate(at[1])
                     return np.full(len(x), sig), fp[x], fp[y], False
             if last:
                 return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), True
-            rank = tk.mix(fp.view(np.uint64)[:, None] ^ (np.arange(CENTRES, dtype=np.uint64) + U64(1)))
-            x, y = [], []
-            for c in np.unique(rank.argmin(0)):
-                other = np.flatnonzero(may_link(cells[c], size[c], cells, size) & (np.arange(m) != c))
-                x.append(np.full(len(other), c))
-                y.append(other)
-            x, y = np.concatenate(x), np.concatenate(y)
-            return np.full(len(x), sig), fp[np.minimum(x, y)], fp[np.maximum(x, y)], True
+            # the least set first: signatures of one group then mostly have the same centre
+            c = int(tk.mix(fp.view(np.uint64) + U64(turn)).argmin()) if turn else 0
+            other = np.flatnonzero(may_link(cells[c], size[c], cells, size) & (label != label[c]))
+            return np.full(len(other), sig), fp[np.minimum(other, c)], fp[np.maximum(other, c)], True
 
         pairs: list[np.ndarray] = []
         again: list[int] = []
@@ -338,17 +336,21 @@ def group_pairs(rows: DataFrame, last: bool) -> DataFrame:
     return placed.select("sig", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
 
 
+def unpacked(elements: bytes) -> np.ndarray:
+    wide = np.zeros((len(elements) // PACKED, 8), np.uint8)
+    wide[:, 8 - PACKED :] = np.frombuffer(elements, np.uint8).reshape(-1, PACKED)
+    return wide.view(">u8").ravel().astype(np.int64)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     """The pairs (a, b) whose whole sets have a Jaccard similarity of ``percent`` / 100 or more."""
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            lo, ro = left.offsets.to_numpy().astype(np.int64), right.offsets.to_numpy().astype(np.int64)
-            lv, rv = left.values.to_numpy(), right.values.to_numpy()
+            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]]
+                x, y = unpacked(left[i]), unpacked(right[i])
                 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
                     continue
                 if len(x) > len(y):
@@ -363,7 +365,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(fp, size, elements in order) of the wanted sets, computed again from the text of one document of each."""
+    """(fp, size, elements in order) of the wanted sets, computed again from the text of one document of each.
+
+    Elements travel as 40 bits of their hash, packed: two sets of n elements then show a false common one with probability
+    n * n / 2**40 at most.
+    """
     chosen = materialize(classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
     if chosen.count() <= 1_000_000:  # two numbers a row; a larger table is a shuffled join
         chosen = F.broadcast(chosen)
@@ -376,12 +382,13 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 doc, element = shingle_sets(c)
                 size, fp, _ = fingerprints(doc, element, c.n_docs)
                 ok = fp.view(np.int64) == asked[first : first + c.n_docs]  # a doc_id may stand for several texts
-                offset = np.concatenate(([0], np.cumsum(size)))
-                column = pa.ListArray.from_arrays(pa.array(offset, pa.int32()), _signed(element ^ U64(1 << 63)))
+                offset = np.concatenate(([0], np.cumsum(size))) * PACKED
+                packed = np.ascontiguousarray(element.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED])
+                column = pa.Array.from_buffers(pa.binary(), c.n_docs, [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
                 yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(size, pa.int64()), column], names=["fp", "size", "elements"]).filter(pa.array(ok))
                 first += c.n_docs
 
-    found = _texts(docs).join(chosen, "doc_id").select("fp", "text").mapInArrow(run, "fp long, size long, elements array<long>")
+    found = _texts(docs).join(chosen, "doc_id").select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
     return found.dropDuplicates(["fp"])
 
 
@@ -406,7 +413,8 @@ def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
     Similar sets share one of their first size - ceil(4/5 size) + 1 elements in any one order; in order of rarity, passages that
     many of these sets hold come last, so they alone make no pair.
     """
-    rows = sets.join(open_.select("fp", "label").distinct(), "fp").select("fp", "label", "size", F.explode("elements").alias("element"))
+    each = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.substring(F.col("elements"), (i * PACKED + 1).cast("int"), F.lit(PACKED)))
+    rows = sets.join(open_.select("fp", "label").distinct(), "fp").select("fp", "label", "size", F.explode(each).alias("element"))
     frequency = rows.groupBy("element").agg(F.count("*").alias("df")).filter("df > 1")
     held = rows.join(frequency, "element", "left").groupBy("fp", "label", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1).cast("long")).alias("df"), "element"))).alias("all"))
     prefix = held.select("fp", "label", "size", F.explode(F.slice("all", 1, (F.col("size") - F.ceil(F.col("size") * 4 / 5) + 1).cast("int"))).alias("e")).filter("e.df > 1").select("fp", "label", "size", "e.element")
@@ -421,20 +429,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = classes.filter("n_shingles > 0").groupBy("fp").agg(F.first("n_shingles").alias("size"), F.first("profile").alias("profile"))
     pairs = close_pairs(shared.filter("sig is null").select("a", "b").distinct(), sets)
     many = materialize(shared.filter("sig is not null").select("sig", F.col("a").alias("fp"), F.col("b").alias("lead")).join(sets, "fp").withColumn("label", F.col("fp")))
-    found = materialize(group_pairs(many, last=False))
+    found = materialize(group_pairs(many, 0))
     pairs = materialize(pairs.unionByName(found.filter("a is not null").select("a", "b")).distinct())
     edges = verified(docs, classes, pairs)
     again = found.filter("a is null").select("sig").distinct()
-    if not again.isEmpty():
+    for turn in range(1, ROUNDS):
+        if again.isEmpty():
+            break
         labels = components(edges).withColumnRenamed("node", "fp")
         open_ = many.join(again, "sig", "left_semi").drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         mixed = open_.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high")
-        open_ = materialize(open_.join(mixed.select("sig", "n"), "sig"))
-        more = group_pairs(open_.filter(F.col("n") <= WIDE), last=True).select("a", "b").filter("a is not null")
-        wide = open_.filter(F.col("n") > WIDE).select("fp", "label").distinct()
-        if not wide.isEmpty():
-            more = more.unionByName(close_pairs(_rare_pairs(wide, class_sets(docs, classes, wide.select("fp"))), sets))
-        edges = materialize(edges.unionByName(verified(docs, classes, materialize(more.distinct().join(pairs, ["a", "b"], "left_anti")))))
+        many = materialize(open_.join(mixed.select("sig", "n"), "sig"))
+        found = materialize(group_pairs(many, turn))
+        more = found.filter("a is not null").select("a", "b")
+        if turn == ROUNDS - 1:
+            wide = many.filter(F.col("n") > WIDE).select("fp", "label").distinct()
+            if not wide.isEmpty():
+                more = more.unionByName(close_pairs(_rare_pairs(wide, class_sets(docs, classes, wide.select("fp"))), sets))
+        more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+        edges = materialize(edges.unionByName(verified(docs, classes, more)))
+        pairs = pairs.unionByName(more)
+        many = many.drop("n")
+        again = found.filter("a is null").select("sig").distinct()
     if edges.isEmpty():
         roots = classes.filter("n_shingles > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("component_id"))
     else:
