@@ -1,51 +1,7 @@
-"""Shared plumbing: durable intermediate tables and their clean-up."""
+"""Durable intermediate tables, as the rest of the library writes them."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from ..plans.durable import checkpoint_dir, clear_materialized, materialize
 
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, one of our own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back.
-
-    It cuts the lineage, survives the loss of any executor, and is compressed (unlike an RDD checkpoint).
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_materialized() -> None:
-    """Delete every table that :func:`materialize` wrote; also runs at exit."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM may have ended before us; the folder is the cluster's own scratch space
-            return
-
-
-atexit.register(clear_materialized)
+__all__ = ["checkpoint_dir", "clear_materialized", "materialize"]
