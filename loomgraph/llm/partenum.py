@@ -136,10 +136,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def profiles(doc: np.ndarray, element: np.ndarray, n: int) -> np.ndarray:
-    """Each set's elements per hash cell, at most 255 (which only lowers distances)."""
-    cell = ((tk.mix(element ^ U64(0x77)) >> U64(32)) * U64(CELLS) >> U64(32)).astype(np.int64)
-    return np.minimum(np.bincount(doc * CELLS + cell, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+def profiles(doc: np.ndarray, element: np.ndarray, n: int) -> pa.Array:
+    """Each set's elements per hash cell, at most 255 (which only lowers distances): CELLS cells, twice as many for each doubling of
+    a set beyond 4 * CELLS elements. Neighbouring cells add up to the next coarser profile."""
+    size = np.bincount(doc, minlength=n)
+    cells = CELLS << np.ceil(np.log2(np.maximum(size / (4 * CELLS), 1))).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(cells)))
+    cell = ((tk.mix(element ^ U64(0x77)) >> U64(32)) * cells[doc].astype(U64) >> U64(32)).astype(np.int64)
+    counts = np.minimum(np.bincount(base[doc] + cell, minlength=base[-1]), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(base.astype(np.int32).tobytes()), pa.py_buffer(counts.tobytes())])
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
@@ -151,8 +156,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
             for c in tk.chunks(batch.column("text")):
                 doc, element = shingle_sets(c)
                 size, fp, fp2 = fingerprints(doc, element, c.n_docs)
-                cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CELLS), c.n_docs, [None, pa.py_buffer(profiles(doc, element, c.n_docs).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), cells], names=["doc_id", "n_shingles", "fp", "fp2", "profile"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), profiles(doc, element, c.n_docs)], names=["doc_id", "n_shingles", "fp", "fp2", "profile"])
                 first += c.n_docs
 
     return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long, fp2 long, profile binary")
@@ -237,12 +241,13 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
 
 def may_link(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> np.ndarray:
     """Whether profiles and sizes allow a similarity of 4/5: the difference is at most a ninth of both sizes together."""
-    distance = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1, dtype=np.int64)
+    distance = np.abs(x - y).sum(-1, dtype=np.int64)
     return (9 * distance <= x_size + y_size) & (5 * np.minimum(x_size, y_size) >= 4 * np.maximum(x_size, y_size))
 
 
-def _profile_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+def _profile_matrix(cells: list[bytes], width: int) -> np.ndarray:
+    """Profiles brought to the same number of cells."""
+    return np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(1, dtype=np.int32) for x in cells]) if cells else np.empty((0, width), np.int32)
 
 
 def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,7 +255,13 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = pa.array(may_link(_profile_matrix(batch.column("pa")), batch.column("na").to_numpy(), _profile_matrix(batch.column("pb")), batch.column("nb").to_numpy()))
+            x, y = batch.column("pa").to_pylist(), batch.column("pb").to_pylist()
+            width = np.array([min(len(u), len(v)) for u, v in zip(x, y, strict=True)], np.int64)
+            ok = np.zeros(len(x), bool)
+            for w in np.unique(width).tolist():
+                for at in np.array_split(np.flatnonzero(width == w), 1 + len(x) * w // 4_000_000):
+                    ok[at] = may_link(_profile_matrix([x[i] for i in at], w), batch.column("na").to_numpy()[at], _profile_matrix([y[i] for i in at], w), batch.column("nb").to_numpy()[at])
+            ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     a = sets.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("profile").alias("pa"))
@@ -274,12 +285,14 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
         columns = ("sig", "fp", "label", "size", "profile")
         held = None
 
-        def group(sig, fp, label, size, cells):
+        def group(sig, fp, label, size, held_profiles):
             m = len(fp)
+            cells = _profile_matrix(list(held_profiles), min(map(len, held_profiles)))
             if m <= WIDE:
                 at = [], []
-                for i in range(0, m, 64):  # blocks, so that the working set stays small
-                    block = slice(i, min(m, i + 64))
+                step = max(1, 4_000_000 // (m * cells.shape[1]))  # blocks, so that the working set stays small
+                for i in range(0, m, step):
+                    block = slice(i, min(m, i + step))
                     ok = may_link(cells[block, None], size[block, None], cells[None, i:], size[None, i:])
                     ok &= np.arange(i, m)[None] > np.arange(block.start, block.stop)[:, None]
                     ok &= label[block, None] != label[None, i:]
@@ -323,7 +336,7 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
             return pa.Table.from_arrays(out, names=names).combine_chunks().to_batches()
 
         for batch in batches:
-            now = [batch.column(c).to_numpy() for c in columns[:-1]] + [_profile_matrix(batch.column("profile"))]
+            now = [batch.column(c).to_numpy() for c in columns[:-1]] + [np.array([*batch.column("profile").to_pylist(), None], object)[:-1]]
             held = take(now if held is None else [np.concatenate(v) for v in zip(held, now, strict=True)], False)
             if sum(map(len, pairs)) > 2_000_000:
                 yield from flush()
