@@ -1,11 +1,210 @@
-"""The registered queries of the graph engine and their SQL."""
+"""The registered queries of the graph engine on the star-schema lens, and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import aggregates, derive, maintain, relations, search, traversal
+from .plans import lens
+from .streaming import changes
+
+Query = Callable[[SparkSession, str], DataFrame]
+_LENS = lens.star_ctes()
+# references that the registered queries ask about
+PART, ORDER, CLASS, FILE, SUPPLIER = "small ring", "C1.O%", "C1", "nation/3", "S1"
+_BONUS = "CASE n.kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in relations.KIND_BONUS.items()) + " ELSE 0 END"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: registered name -> (relation, reference)
+RELATIONS = {
+    "j01_find_callers": ("callers", PART), "j02_find_callees": ("callees", "1-URGENT"), "j03_find_handlers": ("handlers", SUPPLIER), "j04_find_referrers": ("referrers", PART), "j05_find_routes": ("routes", "P7"),
+    "j08_find_implementations": ("implementations", SUPPLIER), "j09_find_interfaces": ("interfaces", "C12"), "j10_find_importers": ("importers", FILE), "j11_find_imports": ("imports", FILE), "j12_find_type_users": ("type_users", PART),
+    "j13_find_types_used": ("types_used", "2-HIGH"), "j14_find_returns": ("returns", "3-MEDIUM"),
+}
+
+
+def _relation(name: str, ref: str) -> tuple[Query, str]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = relations.relation(lens.star_graph(spark, sf_dir), ref, name)
+        return found.select("id", "kind", "name", "qualified_name", "file", "via", "provenance", F.round("confidence", 6).alias("confidence"), "line", "score")
+
+    direction, kinds = relations.RELATIONS[name]
+    near, far = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
+    rank = "CASE e.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(kinds)) + " END"
+    sql = f"""WITH {_LENS},
+t0 AS (SELECT *, CASE WHEN id = '{ref}' THEN 0 WHEN name = '{ref}' THEN 1 WHEN qualified_name = '{ref}' THEN 2 WHEN starts_with(qualified_name, '{ref}(') THEN 3 END AS tier_ FROM n),
+t AS (SELECT id, tier_ * 10000000000000000 + seq AS ord FROM t0 WHERE tier_ IS NOT NULL AND least(tier_, 2) = (SELECT least(min(tier_), 2) FROM t0)),
+h AS (SELECT e.{far} AS id, e.kind AS via, e.provenance, e.confidence, e.line, row_number() OVER (PARTITION BY e.{far} ORDER BY t.ord, {rank}, e.seq) AS rn
+      FROM t JOIN e ON e.{near} = t.id WHERE e.kind IN ({", ".join(f"'{k}'" for k in kinds)}))
+SELECT n.id, n.kind, n.name, n.qualified_name, n.file, via, provenance, round(confidence, 6) AS confidence, line, {_BONUS} AS score FROM h JOIN n ON n.id = h.id WHERE rn = 1"""
+    return run, sql
+
+
+def _graph(f: Callable[..., DataFrame], *args) -> Query:
+    return lambda spark, sf_dir: f(lens.star_graph(spark, sf_dir), *args)
+
+
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("body"))
+
+
+def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.dedup_edges(lens.star_graph(spark, sf_dir).edges).select("from_id", "to_id", "kind", "seq", "provenance", F.round("confidence", 6).alias("confidence"), "line")
+
+
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = lens.star_graph(spark, sf_dir).edges.filter("line is not null").withColumn("column", F.lit(1))
+    return aggregates.call_sites(e).select("from_id", "to_id", "kind", "line", "n_sites", F.array_join(F.transform("sites", lambda s: s["line"].cast("string")), ",").alias("site_lines"))
+
+
+def _route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page paths as routes, with their numeric segments as parameters, against the paths of all pages as requests."""
+    path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1), "/+$", "")
+    pages = _table(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter("path <> ''")
+    nodes = pages.select(F.col("page_id").alias("seq"), F.concat(F.lit("route#"), F.col("page_id").cast("string")).alias("id"), F.lit("Route").alias("kind"), F.concat(F.lit("GET "), F.regexp_replace("path", "[0-9]+", ":x")).alias("name"))
+    edges = pages.select(F.col("page_id").alias("seq"), F.concat(F.lit("page#"), F.col("page_id").cast("string")).alias("from_id"), F.concat(F.lit("route:GET "), F.col("path")).alias("to_id"), F.lit("References").alias("kind"), F.lit("call-ref").alias("provenance"))
+    return derive.route_edges(nodes, edges).select("seq", "from_id", "to_id", "kind", "provenance")
+
+
+def _debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select(F.lit("all").alias("project"), "ts", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
+    return changes.debounce(e, "60 seconds").select("opened", "closed", F.size("paths").cast("long").alias("n_paths"), F.array_join("paths", ",").alias("paths"))
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's last event before and after the middle of the feed, as two states of fingerprints."""
+    e = _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), "event_id", "value", "event_type")
+    half = (e.event_id % 2) == 0
+    state = lambda x: x.groupBy("path").agg(F.count("*").alias("size"), F.round(F.max("value"), 3).alias("mtime_ms"), F.max_by("event_type", "event_id").alias("hash"))
+    return state(e.filter(half)), state(e.filter(~half))
+
+
+def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.export_documents(lens.star_graph(spark, sf_dir)).select("path", "symbols", "occurrences")
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.array_join(search.question_terms(F.col("text")), " ").alias("terms"))
+
+
+def _impact(graph, ref: str, depth: int | None) -> DataFrame:
+    return traversal.impact(graph, relations.resolve(graph, ref), depth).select("id", "depth", "kind")
+
+
+def _impact_sql(ref: str, depth: int) -> str:
+    kinds = ", ".join(f"'{k}'" for k in traversal.IMPACT_KINDS)
+    return f"""WITH RECURSIVE {_LENS}, s AS (SELECT DISTINCT to_id AS src, from_id AS dst FROM e WHERE kind IN ({kinds})),
+r(id, depth) AS (SELECT id, 0 FROM n WHERE name = '{ref}' UNION SELECT s.dst, r.depth + 1 FROM r JOIN s ON s.src = r.id WHERE r.depth < {depth}),
+d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+SELECT d.id, CAST(d.depth AS INT) AS depth, n.kind FROM d JOIN n ON n.id = d.id WHERE d.depth > 0"""
+
+
+_FILE_IMPORTS = "fi AS (SELECT DISTINCT e.from_id AS file, t.file AS imported FROM e JOIN n f ON f.id = e.from_id AND f.kind = 'File' JOIN n t ON t.id = e.to_id WHERE e.kind = 'Imports' AND e.from_id <> t.file)"
+_FILE_IMPORTERS = """tg AS (SELECT id AS file, id AS to_id FROM n WHERE kind = 'File' UNION SELECT e.from_id, e.to_id FROM e JOIN n ON n.id = e.from_id AND n.kind = 'File' WHERE e.kind = 'Defines'),
+fr AS (SELECT DISTINCT tg.file, e.from_id AS importer FROM tg JOIN e ON e.to_id = tg.to_id WHERE e.kind IN ('Imports', 'ImportsType'))"""
+_MEMBERS = "mem AS (SELECT from_id AS owner, name, arg_max(id, e.seq) AS method FROM e JOIN n ON n.id = e.to_id AND n.kind = 'Method' WHERE e.kind = 'Defines' GROUP BY ALL)"
+
+
+def _search_sql(where: str, score: str, limit: int = 50) -> str:
+    return f"WITH {_LENS} SELECT id, kind, qualified_name, {_BONUS} + {score} AS score FROM n WHERE {where} ORDER BY score DESC, qualified_name, id LIMIT {limit}"
+
+
+def _match(q: str) -> str:
+    return f"CASE WHEN lower(name) = '{q}' OR lower(qualified_name) = '{q}' THEN 100 WHEN starts_with(lower(name), '{q}') THEN 60 WHEN contains(lower(name), '{q}') THEN 30 WHEN contains(lower(qualified_name), '{q}') THEN 12 ELSE 0 END + greatest(0, 16 - length(name))"
+
+
+def _hit(*columns: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.select(*columns)
+
+
+def _pairs() -> dict[str, tuple[Query, str | None]]:
+    out: dict[str, tuple[Query, str | None]] = {name: _relation(*spec) for name, spec in RELATIONS.items()}
+    g = _graph
+    terms = ["small", "ring", "brand"]
+    out |= {
+        "f01_get_node": (lambda s, d: lens.star_graph(s, d).node("nation/3").select("id", "kind", "name"), f"WITH {_LENS} SELECT id, kind, name FROM n WHERE id = 'nation/3'"),
+        "f02_nodes_by_name": (lambda s, d: lens.star_graph(s, d).named(PART).select("id", "kind", "qualified_name"), f"WITH {_LENS} SELECT id, kind, qualified_name FROM n WHERE name = '{PART}'"),
+        "f03_edges_from": (lambda s, d: lens.star_graph(s, d).edges_from("nation/3", "Defines").select("from_id", "to_id", "seq"), f"WITH {_LENS} SELECT from_id, to_id, seq FROM e WHERE from_id = 'nation/3' AND kind = 'Defines'"),
+        "f04_resolve": (lambda s, d: relations.resolve(lens.star_graph(s, d), "C12").select("id", "kind"), f"WITH {_LENS} SELECT id, kind FROM n WHERE name = 'C12'"),
+        "f19_route_tests_match": (_route_match, r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/+$', '') AS path FROM pages),
+r AS (SELECT page_id AS route, list_filter(string_split(regexp_replace(path, '[0-9]+', ':x', 'g'), '/'), lambda x: x <> '') AS pat FROM p WHERE path <> ''),
+q AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM p WHERE path <> ''),
+m AS (SELECT q.page_id, min(route) AS route FROM q JOIN r ON len(pat) = len(seg) AND len(list_filter(range(1, len(seg) + 1), lambda i: NOT (starts_with(pat[i], ':') OR pat[i] = '*' OR pat[i] = seg[i]))) = 0 GROUP BY q.page_id)
+SELECT min(page_id) AS seq, 'page#' || page_id AS from_id, 'route#' || route AS to_id, 'References' AS kind, 'route-test' AS provenance FROM m GROUP BY page_id, route"""),
+        "j15_defined_by": (lambda s, d: relations.defined_by(lens.star_graph(s, d), "nation/3").select("id", "position"), f"WITH {_LENS} SELECT n.id, CAST(row_number() OVER (ORDER BY coalesce(start_line, 0), e.seq) AS INT) AS position FROM e JOIN n ON n.id = e.to_id WHERE e.kind = 'Defines' AND e.from_id = 'nation/3'"),
+        "j17_file_importers": (g(relations.file_importers), f"WITH {_LENS}, {_FILE_IMPORTERS} SELECT file, importer FROM fr"),
+        "j18_file_imports": (g(relations.file_imports), f"WITH {_LENS}, {_FILE_IMPORTS} SELECT file, imported FROM fi"),
+        "c01_node_view": (lambda s, d: relations.node_view(lens.star_graph(s, d), "C3").filter("relation in ('self', 'member', 'interfaces')"), f"WITH {_LENS}, x AS (SELECT id FROM n WHERE name = 'C3') SELECT 'self' AS relation, id FROM x UNION ALL SELECT 'member', to_id FROM e JOIN x ON e.from_id = x.id WHERE kind = 'Defines' UNION ALL SELECT DISTINCT 'interfaces', to_id FROM e JOIN x ON e.from_id = x.id WHERE kind = 'Implements'"),
+        "c02_file_skeleton": (lambda s, d: relations.skeleton(lens.star_graph(s, d), FILE), f"""WITH {_LENS}, {_FILE_IMPORTS},
+w AS (SELECT DISTINCT e.from_id AS id FROM e JOIN n t ON t.id = e.to_id AND t.file = '{FILE}' WHERE e.kind = 'Imports' AND e.from_id <> '{FILE}'),
+d AS (SELECT n.id, row_number() OVER (ORDER BY {_BONUS} DESC, qualified_name, n.id) AS position, count(*) OVER () AS total FROM w JOIN n ON n.id = w.id)
+SELECT 'member' AS part, CAST(row_number() OVER (ORDER BY coalesce(start_line, 0), e.seq) AS INT) AS position, n.id AS symbol, CAST(NULL AS BIGINT) AS total FROM e JOIN n ON n.id = e.to_id WHERE e.kind = 'Defines' AND e.from_id = '{FILE}'
+UNION ALL SELECT 'import', NULL, imported, NULL FROM fi WHERE file = '{FILE}' UNION ALL SELECT 'dependent', CAST(position AS INT), id, total FROM d WHERE position <= 25"""),
+        "t01_search_symbol": (lambda s, d: search.search_symbols(lens.star_graph(s, d), "ring").select("id", "kind", "qualified_name", "score"), _search_sql("contains(lower(name), 'ring') OR contains(lower(qualified_name), 'ring')", _match("ring"))),
+        "t01_search_filters": (lambda s, d: search.search_symbols(lens.star_graph(s, d), 'path:nation/3 kind:class name:c1').select("id", "kind", "qualified_name", "score"), _search_sql("contains(lower(file), 'nation/3') AND lower(kind) = 'class' AND (contains(lower(name), 'c1') OR contains(lower(qualified_name), 'c1'))", "0")),
+        "f12_search_exact": (lambda s, d: search.search_symbols(lens.star_graph(s, d), PART, exact=True).select("id", "kind", "qualified_name", "score"), _search_sql(f"lower(name) = '{PART}' OR lower(qualified_name) = '{PART}'", _match(PART))),
+        "f21_low_confidence": (lambda s, d: search.low_confidence(search.search_symbols(lens.star_graph(s, d), "ing"), "ing"), f"WITH {_LENS}, h AS (SELECT name, qualified_name, {_BONUS} + {_match('ing')} AS score, id FROM n WHERE contains(lower(name), 'ing') OR contains(lower(qualified_name), 'ing') ORDER BY score DESC, qualified_name, id LIMIT 50) SELECT count(*) > 0 AND NOT coalesce(bool_or(lower(name) = 'ing' OR starts_with(lower(name), 'ing') OR lower(qualified_name) = 'ing'), false) AS low_confidence FROM h"),
+        "t05_search_code": (lambda s, d: search.search_code(_bodies(s, d), "the of"), "SELECT doc_id AS seq, 'doc/' || doc_id AS id, false AS via_terms, 1 AS hits FROM documents WHERE contains(lower(text), 'the of') ORDER BY doc_id LIMIT 50"),
+        "t06_search_code_terms": (lambda s, d: search.search_code(_bodies(s, d), "license zzzqqq apache"), "SELECT seq, id, true AS via_terms, hits FROM (SELECT doc_id AS seq, 'doc/' || doc_id AS id, contains(lower(text), 'license')::INT + contains(lower(text), 'zzzqqq')::INT + contains(lower(text), 'apache')::INT AS hits FROM documents) WHERE hits > 0 ORDER BY hits DESC, id LIMIT 50"),
+        "t08_question_terms": (_terms, f"SELECT conv_id, turn, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) AS list_distinct_ordered FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) >= 3 AND t NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)})) AS w FROM conversations))"),
+        "g05_search_terms": (lambda s, d: search.search_terms(lens.star_graph(s, d), terms), f"""WITH {_LENS}, t(term) AS (VALUES ('small'), ('ring'), ('brand')),
+x AS (SELECT n.id, term, row_number() OVER (PARTITION BY term ORDER BY {_BONUS} + CASE WHEN lower(name) = term OR lower(qualified_name) = term THEN 100 WHEN starts_with(lower(name), term) THEN 60 WHEN contains(lower(name), term) THEN 30 ELSE 12 END + greatest(0, 16 - length(name)) DESC, qualified_name, id) AS r
+      FROM n, t WHERE contains(lower(name), term) OR contains(lower(qualified_name), term)) SELECT id, count(*) AS hits, CAST(min(r) AS INT) AS best FROM x WHERE r <= 200 GROUP BY id"""),
+        "a01_schema_census": (g(aggregates.schema_census), f"""WITH {_LENS}, x AS (SELECT e.* FROM e WHERE from_id IN (SELECT id FROM n)),
+z(facet, value) AS (VALUES {", ".join(f"('provenance', '{v}')" for v in aggregates.PROVENANCES)}, {", ".join(f"('strategy', '{v}')" for v in aggregates.STRATEGIES)}),
+u AS (SELECT 'node_kind' AS facet, kind AS value, 1 AS k FROM n UNION ALL SELECT 'edge_kind', kind, 1 FROM x UNION ALL SELECT 'provenance', coalesce(provenance, 'resolved'), 1 FROM x UNION ALL SELECT facet, value, 0 FROM z)
+SELECT facet, value, CAST(sum(k) AS BIGINT) AS n FROM u GROUP BY ALL"""),
+        "a06_top_and_other": (lambda s, d: aggregates.top_and_other(lens.star_graph(s, d).edges.groupBy(F.col("to_id").alias("name")).agg(F.count("*").alias("n"))), f"WITH {_LENS}, c AS (SELECT to_id AS name, count(*) AS n FROM e GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, name LIMIT 100) SELECT name, n FROM t UNION ALL SELECT NULL, CAST((SELECT sum(n) FROM c) - (SELECT sum(n) FROM t) AS BIGINT)"),
+        "a07_members_by_file": (g(aggregates.members_by_file), f"WITH {_LENS} SELECT file, count(*) AS n, arg_min(id, seq) AS first FROM n GROUP BY file"),
+        "a08_call_sites": (_sites, f"WITH {_LENS} SELECT from_id, to_id, kind, arg_min(line, seq) AS line, CAST(count(*) AS INT) AS n_sites, CASE WHEN count(*) > 1 THEN string_agg(line, ',' ORDER BY seq) END AS site_lines FROM e WHERE line IS NOT NULL GROUP BY from_id, to_id, kind"),
+        "a09_export": (_export, f"WITH {_LENS}, o AS (SELECT file AS path, 1 AS d, 0 AS r FROM n WHERE kind <> 'File' UNION ALL SELECT n.file, 0, 1 FROM e JOIN n ON n.id = e.from_id WHERE e.kind IN ({', '.join(repr(k) for k in aggregates.REFERENCE_KINDS)})) SELECT path, CAST(sum(d) AS BIGINT) AS symbols, CAST(sum(r) AS BIGINT) AS occurrences FROM o GROUP BY path"),
+        "a10_dedup_edges": (_dedup, f"WITH {_LENS}, r AS (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, kind ORDER BY coalesce(confidence, -1) DESC, seq) AS k FROM e) SELECT from_id, to_id, kind, min(seq) AS seq, first(provenance ORDER BY k) FILTER (provenance IS NOT NULL) AS provenance, round(first(confidence ORDER BY k) FILTER (confidence IS NOT NULL), 6) AS confidence, first(line ORDER BY k) FILTER (line IS NOT NULL) AS line FROM r GROUP BY from_id, to_id, kind"),
+        "g01_impact": (g(_impact, PART, 3), _impact_sql(PART, 3)),
+        "g01_impact_unbounded": (g(_impact, CLASS, None), _impact_sql(CLASS, 40)),
+        "g02_affected_files": (g(traversal.affected_files, [FILE]), f"WITH RECURSIVE {_LENS}, {_FILE_IMPORTERS}, s AS (SELECT DISTINCT fr.file AS src, n.file AS dst FROM fr JOIN n ON n.id = fr.importer), r(id) AS (SELECT '{FILE}' UNION SELECT s.dst FROM r JOIN s ON s.src = r.id) SELECT id AS file FROM r WHERE id <> '{FILE}'"),
+        "g03_circular_imports": (g(traversal.circular_imports), f"WITH RECURSIVE {_LENS}, {_FILE_IMPORTS}, r(a, b) AS (SELECT file, imported FROM fi UNION SELECT r.a, fi.imported FROM r JOIN fi ON fi.file = r.b) SELECT min(y.b) AS component, x.a AS member FROM r x JOIN r y ON x.a = y.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a"),
+        "g04_explore": (g(traversal.explore, terms), None),
+        "d01_overrides": (lambda s, d: derive.dispatch_edges(*(lambda x: (x.nodes, x.edges))(lens.star_graph(s, d))).filter("kind = 'Overrides'").select("from_id", "to_id", "kind", "provenance"), f"WITH {_LENS}, {_MEMBERS} SELECT DISTINCT a.method AS from_id, b.method AS to_id, 'Overrides' AS kind, 'dispatch' AS provenance FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method"),
+        "j06_find_overrides": (lambda s, d: _with_dispatch(s, d, "overrides"), f"WITH {_LENS}, {_MEMBERS}, o AS (SELECT DISTINCT a.method AS from_id, b.method AS to_id FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method) SELECT DISTINCT o.to_id AS id FROM o JOIN n ON n.id = o.from_id WHERE n.name = '5-LOW'"),
+        "j07_find_overridden_by": (lambda s, d: _with_dispatch(s, d, "overridden_by"), f"WITH {_LENS}, {_MEMBERS}, o AS (SELECT DISTINCT a.method AS from_id, b.method AS to_id FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method) SELECT DISTINCT o.from_id AS id FROM o JOIN n ON n.id = o.to_id WHERE n.name = '5-LOW'"),
+        "m06_sync_changes": (lambda s, d: maintain.stale(*_slices(s, d)), """WITH x AS (SELECT 'u' || user_id AS path, event_id, value, event_type, event_id % 2 = 0 AS old FROM events),
+s AS (SELECT path, old, count(*) AS size, round(max(value), 3) AS t, arg_max(event_type, event_id) AS h FROM x GROUP BY path, old)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT * FROM s WHERE old) a FULL JOIN (SELECT * FROM s WHERE NOT old) b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR NOT (a.size = b.size AND (a.t = b.t OR a.h = b.h))"""),
+        "m01_remove_file": (lambda s, d: _removed(s, d), f"WITH {_LENS}, k AS (SELECT * FROM n WHERE file <> '{FILE}') SELECT 'node' AS kept, kind, count(*) AS n FROM k GROUP BY kind UNION ALL SELECT 'edge', e.kind, count(*) FROM e WHERE from_id NOT IN (SELECT id FROM n WHERE file = '{FILE}') GROUP BY e.kind"),
+        "st02_debounce": (_debounce, """WITH x AS (SELECT ts, 'u' || user_id AS path, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+y AS (SELECT *, sum(fresh) OVER (ORDER BY ts, path ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT ts, path, fresh FROM x)),
+z AS (SELECT ts, path, max(burst) OVER (PARTITION BY ts) AS burst FROM y) SELECT min(ts) AS opened, max(ts) + INTERVAL 60 SECOND AS closed, count(DISTINCT path) AS n_paths, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM z GROUP BY burst"""),
+    }
+    return out
+
+
+def _with_dispatch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    graph = lens.star_graph(spark, sf_dir)
+    derived = derive.dispatch_edges(graph.nodes, graph.edges)
+    return relations.relation(graph.with_edges(derived), "5-LOW", name).select("id")
+
+
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = lens.star_graph(spark, sf_dir)
+    paths = spark.createDataFrame([(FILE,)], "path string")
+    nodes, edges, _ = maintain.remove_files(graph.nodes, graph.edges, paths, paths)
+    return nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("kept"), "kind", "n").unionByName(edges.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge").alias("kept"), "kind", "n"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: run for name, (run, _) in _pairs().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _pairs().items() if sql is not None}
