@@ -344,7 +344,7 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
             take(held, True)
         yield from flush()
 
-    near = F.pmod(F.xxhash64("lead", F.col("sig").bitwiseAND(F.lit(7))), F.lit(1 << 20))
+    near = F.pmod(F.xxhash64("lead", F.col("sig").bitwiseAND(F.lit(1 if turn else 7))), F.lit(1 << 20))
     placed = rows.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "fp")
     return placed.select("sig", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
 
@@ -402,7 +402,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 first += c.n_docs
 
     found = _texts(docs).join(chosen, "doc_id").select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
-    return found.dropDuplicates(["fp"])
+    return found  # a repeated row gives its set again, and at worst the same edge again
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -452,7 +452,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(edges).withColumnRenamed("node", "fp")
         open_ = many.join(again, "sig", "left_semi").drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         mixed = open_.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high")
-        many = materialize(open_.join(mixed.select("sig", "n"), "sig"))
+        # signatures whose sets share their least component meet, as those of one large group mostly do
+        many = materialize(open_.drop("lead").join(mixed.select("sig", "n", F.col("low").alias("lead")), "sig"))
         found = materialize(group_pairs(many, turn))
         more = found.filter("a is not null").select("a", "b")
         if turn == ROUNDS - 1:
