@@ -290,7 +290,7 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
             cells = _profile_matrix(list(held_profiles), min(map(len, held_profiles)))
             if m <= WIDE:
                 at = [], []
-                step = max(1, 4_000_000 // (m * cells.shape[1]))  # blocks, so that the working set stays small
+                step = max(1, 1_000_000 // (m * cells.shape[1]))  # blocks, so that the working set stays small
                 for i in range(0, m, step):
                     block = slice(i, min(m, i + step))
                     ok = may_link(cells[block, None], size[block, None], cells[None, i:], size[None, i:])
@@ -344,7 +344,7 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
             take(held, True)
         yield from flush()
 
-    near = F.pmod(F.xxhash64("lead", F.col("sig").bitwiseAND(F.lit(1 if turn else 7))), F.lit(1 << 20))
+    near = F.pmod(F.xxhash64("lead", F.col("sig").bitwiseAND(F.lit(3 if turn else 7))), F.lit(1 << 20))
     placed = rows.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "fp")
     return placed.select("sig", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
 
