@@ -465,7 +465,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
                 row = base + done + np.arange(c.n_docs)
                 n, k = c.n_docs, len(word)
                 null = pa.nulls
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(c.offset)), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_frequent"], pa.int64()), pa.array(got["frequent_sum"]), pa.array(got["score"]), null(n, pa.int64()), null(n, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(c.offset)), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_frequent"], pa.int64()), pa.array(got["frequent_sum"].astype(float)), pa.array(got["score"].astype(float)), null(n, pa.int64()), null(n, pa.int64())], names=names)
                 if k:
                     yield pa.RecordBatch.from_arrays([pa.array(row[doc]), null(k, pa.int64()), null(k, pa.bool_()), null(k, pa.int64()), null(k, pa.int64()), null(k, pa.int64()), null(k, pa.float64()), null(k, pa.float64()), pa.array(word.view(np.int64)), pa.array(times, pa.int64())], names=names)
                 first += n

@@ -39,10 +39,10 @@ N2, K2 = 2, 1
 
 def size_bands(largest: int) -> np.ndarray:
     """Upper bounds of the bands: 4, 5, 7, 9, ... each at least 5/4 of the one before. Sets below 5 elements link only if equal."""
-    out = [0, 4]
-    while out[-1] < largest * 5 // 4 + 2:
+    out = [4, 5]
+    while out[-2] < largest:
         out.append(-(-out[-1] * 5 // 4))
-    return np.array(out[1:])
+    return np.array(out)
 
 
 def level_groups(bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
