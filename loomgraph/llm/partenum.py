@@ -153,7 +153,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             first = 0
-            for c in tk.chunks(batch.column("text")):
+            for c in tk.chunks(batch.column("text"), 500_000):
                 doc, element = shingle_sets(c)
                 size, fp, fp2 = fingerprints(doc, element, c.n_docs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), profiles(doc, element, c.n_docs)], names=["doc_id", "n_shingles", "fp", "fp2", "profile"])
@@ -168,14 +168,14 @@ def signed_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for c in tk.chunks(batch.column("text")):
+            for c in tk.chunks(batch.column("text"), 500_000):
                 doc, element = shingle_sets(c)
                 _, fp, _ = fingerprints(doc, element, c.n_docs)
                 new = np.zeros(c.n_docs, bool)
                 for i, f in enumerate(fp.tolist()):
                     new[i] = f not in seen
                     seen.add(f)
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 keep = new[doc]
                 owner, sig = signatures(doc[keep], element[keep], c.n_docs)
@@ -391,7 +391,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
         for batch in batches:
             first = 0
             asked = batch.column("fp").to_numpy()
-            for c in tk.chunks(batch.column("text")):
+            for c in tk.chunks(batch.column("text"), 500_000):
                 doc, element = shingle_sets(c)
                 size, fp, _ = fingerprints(doc, element, c.n_docs)
                 ok = fp.view(np.int64) == asked[first : first + c.n_docs]  # a doc_id may stand for several texts
