@@ -32,7 +32,8 @@ WIDTH = 5
 CELLS = 96
 PACKED = 5
 DENSE = 1  # pairs passed on for each set of a signature; with more, a centre stands for the group
-WIDE = 2048  # sets of a signature whose profiles are all compared
+WIDE = 2048  # sets of a signature whose profiles are all compared; those of one with more are dealt to bins of about half as many
+HELD = 65_536  # sets of one signature that a task holds
 ROUNDS = 3  # with another centre each; the last compares what is still apart
 N2, K2 = 2, 1
 
@@ -193,19 +194,16 @@ def _groups(key: np.ndarray) -> np.ndarray:
 def shared_signatures(signed: DataFrame) -> DataFrame:
     """(sig, a, b): for a signature of two sets the pair, with sig null; for one of more, a row per set, with its least set as b.
 
-    Pairs are distinct within a task, so that sets with hundreds of signatures in common leave one row a task.
+    Pairs are distinct within a task, so that sets with hundreds of signatures in common leave one row a task. Rows come ordered by
+    signature and set; of one signature at most HELD sets are held, the rest pass on as they come.
     """
 
     def run(batches):
         held_sig, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        going: tuple[int, int, int] | None = None  # (signature, least set, last set) of one too long to hold
         pairs: list[np.ndarray] = []
 
         def split(sig, fp):
-            order = np.lexsort((fp, sig))
-            sig, fp = sig[order], fp[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
-            sig, fp = sig[new], fp[new]
             bounds = _groups(sig)
             size = np.diff(bounds)
             two = bounds[:-1][size == 2]
@@ -221,14 +219,29 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
         for batch in batches:
             sig = np.concatenate([held_sig, batch.column("sig").to_numpy()])
             fp = np.concatenate([held_fp, batch.column("fp").to_numpy()])
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
+            sig, fp = sig[new], fp[new]
+            if going is not None and len(sig):
+                same = int(np.searchsorted(sig, going[0], "right"))
+                more = fp[:same][fp[:same] > going[2]]
+                if len(more):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(more), going[0])), pa.array(more), pa.array(np.full(len(more), going[1]))], names=["sig", "a", "b"])
+                    going = (going[0], going[1], int(more[-1]))
+                sig, fp = sig[same:], fp[same:]
+                if len(sig):
+                    going = None
             if not len(sig):
+                held_sig, held_fp = sig, fp
                 continue
             cut = int(np.searchsorted(sig, sig[-1]))
             if cut:
                 yield split(sig[:cut], fp[:cut])
-            # of the open signature keep distinct sets only: its copies from many tasks do not pile up
-            held_fp = np.unique(fp[cut:])
-            held_sig = np.full(len(held_fp), sig[-1])
+            held_sig, held_fp = sig[cut:], fp[cut:]
+            if len(held_fp) > HELD:
+                yield split(held_sig, held_fp)
+                going = (int(held_sig[0]), int(held_fp[0]), int(held_fp[-1]))
+                held_sig, held_fp = held_sig[:0], held_fp[:0]
             if sum(map(len, pairs)) > 2_000_000:
                 yield flush()
                 pairs.clear()
@@ -236,7 +249,7 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
             yield split(held_sig, held_fp)
         yield flush()
 
-    return signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, a long, b long")
+    return signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, a long, b long")
 
 
 def may_link(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> np.ndarray:
@@ -271,10 +284,12 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(sig, a, b) from rows (sig, fp, label, size, profile) of shared signatures.
+    """(sig, a, b) from rows (sig, fp, lead, n, label, size, profile) of shared signatures; n: sets of the signature.
 
-    All pairs across labels that profiles allow, if they are few for the number of sets or it is the last turn (for groups up to WIDE
-    sets); else those with the group's centre of this turn, and a row with b null that says that the signature needs another look.
+    All pairs across labels that profiles allow, if they are few for the number of sets or it is the last turn; else those with the
+    group's centre of this turn, and a row with a and b null that says that the signature needs another look. The sets of a signature
+    with more than WIDE are dealt anew in each turn to bins of about WIDE / 2, each a group of its own, so that no task holds them
+    all; such a signature always needs another look (after the last turn, the one by rare elements).
     Signatures with the same least set meet in a few tasks, so that a pair with many signatures in common leaves a row in each of these only.
     """
 
@@ -282,44 +297,42 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
     def run(batches):
         names, kinds = ["sig", "a", "b"], [pa.int64()] * 3
-        columns = ("sig", "fp", "label", "size", "profile")
+        columns = ("sig", "bin", "fp", "label", "size", "profile")
         held = None
 
-        def group(sig, fp, label, size, held_profiles):
+        def group(one_of_many, fp, label, size, held_profiles):
             m = len(fp)
             cells = _profile_matrix(list(held_profiles), min(map(len, held_profiles)))
-            if m <= WIDE:
-                at = [], []
-                step = max(1, 1_000_000 // (m * cells.shape[1]))  # blocks, so that the working set stays small
-                for i in range(0, m, step):
-                    block = slice(i, min(m, i + step))
-                    ok = may_link(cells[block, None], size[block, None], cells[None, i:], size[None, i:])
-                    ok &= np.arange(i, m)[None] > np.arange(block.start, block.stop)[:, None]
-                    ok &= label[block, None] != label[None, i:]
-                    x, y = np.nonzero(ok)
-                    at[0].append(x + i)
-                    at[1].append(y + i)
-                    if not last and sum(map(len, at[0])) > max(4, DENSE * m):
-                        break
-                else:
-                    x, y = np.concatenate(at[0]), np.concatenate(at[1])
-                    return np.full(len(x), sig), fp[x], fp[y], False
-            if last:
-                return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), True
+            at = [], []
+            step = max(1, 1_000_000 // (m * cells.shape[1]))  # blocks, so that the working set stays small
+            for i in range(0, m, step):
+                block = slice(i, min(m, i + step))
+                ok = may_link(cells[block, None], size[block, None], cells[None, i:], size[None, i:])
+                ok &= np.arange(i, m)[None] > np.arange(block.start, block.stop)[:, None]
+                ok &= label[block, None] != label[None, i:]
+                x, y = np.nonzero(ok)
+                at[0].append(x + i)
+                at[1].append(y + i)
+                if (not last or one_of_many) and sum(map(len, at[0])) > max(4, DENSE * m):
+                    break
+            else:
+                x, y = np.concatenate(at[0]), np.concatenate(at[1])
+                return fp[x], fp[y], one_of_many
             # the least set first: signatures of one group then mostly have the same centre
             c = int(tk.mix(fp.view(np.uint64) + U64(turn)).argmin()) if turn else 0
             other = np.flatnonzero(may_link(cells[c], size[c], cells, size) & (label != label[c]))
-            return np.full(len(other), sig), fp[np.minimum(other, c)], fp[np.maximum(other, c)], True
+            return fp[np.minimum(other, c)], fp[np.maximum(other, c)], True
 
         pairs: list[np.ndarray] = []
         again: list[int] = []
 
         def take(arrays, final):
-            sig = arrays[0]
-            cut = len(sig) if final or not len(sig) else int(np.searchsorted(sig, sig[-1]))
-            bounds = _groups(sig[:cut])
+            sig, bin_ = arrays[:2]
+            bounds = np.union1d(_groups(sig), _groups(bin_))
+            cut = len(sig) if final or not len(sig) else int(bounds[-2])
+            bounds = bounds[bounds <= cut]
             for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                _, x, y, open_ = group(sig[i], *(v[i:j] for v in arrays[1:]))
+                x, y, open_ = group(bin_[i] >= 0, *(v[i:j] for v in arrays[2:]))
                 pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 if open_:
                     again.append(int(sig[i]))
@@ -344,9 +357,11 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
             take(held, True)
         yield from flush()
 
-    near = F.pmod(F.xxhash64("lead", F.col("sig").bitwiseAND(F.lit(3 if turn else 7))), F.lit(1 << 20))
-    placed = rows.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "fp")
-    return placed.select("sig", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
+    bins = F.ceil(F.col("n") * 2 / WIDE)
+    binned = rows.withColumn("bin", F.when(F.col("n") > WIDE, F.pmod(F.xxhash64("fp", F.lit(turn)), bins)).otherwise(F.lit(-1).cast("long")))
+    near = F.pmod(F.xxhash64("lead", "bin", F.col("sig").bitwiseAND(F.lit(3 if turn else 7))), F.lit(1 << 20))
+    placed = binned.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "bin", "fp")
+    return placed.select("sig", "bin", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
 
 
 def unpacked(elements: bytes) -> np.ndarray:
@@ -441,7 +456,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = materialize(shared_signatures(signed_sets(docs)))
     sets = classes.filter("n_shingles > 0").groupBy("fp").agg(F.first("n_shingles").alias("size"), F.first("profile").alias("profile"))
     pairs = close_pairs(shared.filter("sig is null").select("a", "b").distinct(), sets)
-    many = materialize(shared.filter("sig is not null").select("sig", F.col("a").alias("fp"), F.col("b").alias("lead")).join(sets, "fp").withColumn("label", F.col("fp")))
+    several = shared.filter("sig is not null").select("sig", F.col("a").alias("fp"), F.col("b").alias("lead"))
+    wide = materialize(several.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > WIDE))
+    if wide.count() <= 1_000_000:  # two numbers a row; a larger table is a shuffled join
+        wide = F.broadcast(wide)
+    many = materialize(several.join(sets, "fp").join(wide, "sig", "left").withColumn("label", F.col("fp")).withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
     found = materialize(group_pairs(many, 0))
     pairs = materialize(pairs.unionByName(found.filter("a is not null").select("a", "b")).distinct())
     edges = verified(docs, classes, pairs)
@@ -450,7 +469,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if again.isEmpty():
             break
         labels = components(edges).withColumnRenamed("node", "fp")
-        open_ = many.join(again, "sig", "left_semi").drop("label").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        open_ = many.join(again, "sig", "left_semi").drop("label", "n").join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         mixed = open_.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low != high")
         # signatures whose sets share their least component meet, as those of one large group mostly do
         many = materialize(open_.drop("lead").join(mixed.select("sig", "n", F.col("low").alias("lead")), "sig"))
@@ -463,7 +482,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         more = materialize(more.distinct().join(pairs, ["a", "b"], "left_anti"))
         edges = materialize(edges.unionByName(verified(docs, classes, more)))
         pairs = pairs.unionByName(more)
-        many = many.drop("n")
         again = found.filter("a is null").select("sig").distinct()
     if edges.isEmpty():
         roots = classes.filter("n_shingles > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("component_id"))

@@ -198,12 +198,15 @@ def near_copies():
                     w[at : at + rnd.randrange(2)] = [rnd.choice(vocabulary)] * rnd.randrange(2)
                 out.append(" ".join(w))
     out += [" ".join([*passage, *(rnd.choice(vocabulary) for _ in range(rnd.randrange(5, 40)))]) for _ in range(120)]
+    group = [rnd.choice(vocabulary) for _ in range(120)]
+    out += [" ".join([*group[:at], rnd.choice(vocabulary), *group[at + 1 :]]) for at in (rnd.randrange(120) for _ in range(150))]
     return [(i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("wide", [2048, 6])
-def test_partenum_loses_no_link(spark, monkeypatch, wide):
+@pytest.mark.parametrize(("wide", "held"), [(2048, 65_536), (24, 3)])
+def test_partenum_loses_no_link(spark, monkeypatch, wide, held):
     monkeypatch.setattr(partenum, "WIDE", wide)
+    monkeypatch.setattr(partenum, "HELD", held)
     rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in partenum.near_duplicates(docs).collect())
