@@ -8,7 +8,8 @@ with the corpus count of the word and the document's own history are mixed by th
 
 All statistics cover the whole training part: token counts are exact; context tables have a fixed number of slots, are summed over
 all training texts, and so have a size that does not grow with the input. Of the tokens, at most ``known_words`` of the most
-frequent ones travel to the tasks; the counts of all others meet their occurrences in a shuffled join. Mixing weights and the
+frequent ones travel to the tasks; the counts of all others meet their occurrences in a shuffled join, and there enter the
+mixture as those of the frequent ones do, so that no result depends on ``known_words``. Mixing weights and the
 map come from a bounded sample of training words (``sample_words``), each left out of the counts that predict it.
 
 Edge cases: a null or empty text is one end token; a null doc_id is trained on; words of any length are coded whole; repeated
@@ -37,7 +38,8 @@ SEGMENT = 4096
 GATES = 9
 BUCKETS = 33
 CLASSES = 8
-CLASS_WORDS = 1 << 18
+#: occurrences by which a class's shares shrink towards those of all documents
+STRENGTH = 2000.0
 #: (weight of corpus counts, weight of the document's history, class whose counts it uses; -1: all documents) of each expert
 EXPERTS = ((0.9, 0.03, -1), (0.8, 0.12, -1), (0.55, 0.38, -1), *((0.8, 0.12, k) for k in range(CLASSES)), *((0.88, 0.05, k) for k in range(CLASSES)))
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
@@ -217,21 +219,29 @@ def _rows(docs: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
-    """(kind, key, n) of the training part: words by hash (kind 0), documents (1), pairs of adjacent letters (2)."""
+    """(kind, key, n, c0, c1, ...) of the training part: words by hash (kind 0) with their counts by class of text, documents (1),
+    pairs of adjacent letters (2)."""
 
     def run(batches):
         held, size, docs = [], 0, 0
         pairs = np.zeros(65536, np.int64)
 
         def words():
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int8)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+            key, label, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((label, key))
+            key, label, n = key[order], label[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int8)), pa.array(key[first].view(np.int64)), pa.array(label[first]), pa.array(np.add.reduceat(n, first))], names=["kind", "key", "class", "n"])
 
         for batch in batches:
             docs += batch.num_rows
             for c in tk.chunks(batch.column("text")):
-                held.append(c.word_hashes(lower=True))
-                size += len(held[-1])
+                unique, inverse = np.unique(c.word_hashes(lower=True), return_inverse=True)
+                n = np.bincount(inverse * CLASSES + text_classes(c)[c.doc], minlength=len(unique) * CLASSES)
+                at = np.flatnonzero(n)
+                if len(at):
+                    held.append((unique[at // CLASSES], (at % CLASSES).astype(np.int8), n[at]))
+                    size += len(at)
                 now = _FOLD[c.data].astype(np.int64)
                 now[tk.IS_SPACE[c.data]] = STOP
                 pairs += np.bincount(np.append(now, STOP) + 256 * np.concatenate(([STOP], now)), minlength=65536)
@@ -241,24 +251,24 @@ def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
         if size:
             yield words()
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), 2, np.int8), np.int8(1))), pa.array(np.append(at, 0)), pa.array(np.append(pairs[at], docs))], names=["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), 2, np.int8), np.int8(1))), pa.array(np.append(at, 0)), pa.array(np.zeros(len(at) + 1, np.int8)), pa.array(np.append(pairs[at], docs))], names=["kind", "key", "class", "n"])
 
-    return rows.filter("not held_out").select("text").mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    sent = rows.filter("not held_out").select("text").mapInArrow(run, "kind byte, key long, class byte, n long")
+    # a task has added up its own already: rows travel narrow, and become wide where they meet
+    by_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(CLASSES)]
+    return sent.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), *by_class)
 
 
-def context_counts(rows: DataFrame, codes, class_keys: np.ndarray, flush: int = 24_000_000, sample: int = 3000) -> DataFrame:
+def context_counts(rows: DataFrame, codes, flush: int = 24_000_000, sample: int = 3000) -> DataFrame:
     """(segment, payload) of the context tables, summed over tasks, and (-1, word) for a sample of the words.
 
     A task counts each distinct word of about ``flush`` bytes of text once. It sends its tables in compressed segments, which are added up
     as they stream in; no task holds more than its share of the fixed tables.
     """
     shape = (len(ORDERS), 2, 1 << TABLE_BITS)
-    sent_keys = rows.sparkSession.sparkContext.broadcast(class_keys)  # at most CLASS_WORDS hashes
 
     def run(batches):
         pack = zs.ZstdCompressor(level=1).compress
-        frequent = sent_keys.value
-        by_class = np.zeros(CLASS_WORDS * CLASSES, np.int64)
         tables = np.zeros(shape, np.int32)
         chosen: dict[int, bytes] = {}
         parts, size = [], 0
@@ -283,11 +293,7 @@ def context_counts(rows: DataFrame, codes, class_keys: np.ndarray, flush: int =
         for batch in batches:
             for c in tk.chunks(batch.column("text")):
                 hashes = c.word_hashes(lower=True)
-                unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, unique), len(frequent) - 1)
-                    at = np.where(frequent[at] == unique, at, -1)[inverse]
-                    by_class += np.bincount((at * CLASSES + text_classes(c)[c.doc])[at >= 0], minlength=len(by_class))
+                unique, first = np.unique(hashes, return_index=True)
                 length = c.end[first] - c.start[first]
                 ends = np.cumsum(length)
                 source = np.arange(int(length.sum())) + np.repeat(c.start[first] - (ends - length), length)
@@ -303,10 +309,6 @@ def context_counts(rows: DataFrame, codes, class_keys: np.ndarray, flush: int =
             used = [s for s in range(blocks.shape[2]) if blocks[k, :, s].any()]
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([k * blocks.shape[2] + s for s in used], pa.int64()), pa.array([pack(blocks[k, :, s].tobytes()) for s in used], pa.binary())], names=["segment", "payload"])
-        spread = by_class.astype(np.int32).reshape(-1, 2 * SEGMENT)
-        used = [s for s in range(len(spread)) if spread[s].any()]
-        if used:
-            yield pa.RecordBatch.from_arrays([pa.array([len(ORDERS) * blocks.shape[2] + s for s in used], pa.int64()), pa.array([pack(spread[s].tobytes()) for s in used], pa.binary())], names=["segment", "payload"])
         if chosen:
             yield pa.RecordBatch.from_arrays([pa.array([-1] * len(chosen), pa.int64()), pa.array(list(chosen.values()), pa.binary())], names=["segment", "payload"])
 
@@ -333,25 +335,22 @@ def context_counts(rows: DataFrame, codes, class_keys: np.ndarray, flush: int =
 
 
 @dataclass
-class Model:
-    mixer: Mixer
-    keys: np.ndarray  # hashes of the most frequent words, in order
-    counts: np.ndarray
+class Scale:
+    """What turns a word's counts into probabilities."""
+
     total: int  # N
     distinct: int  # V
     documents: int
-    class_keys: np.ndarray  # the most frequent of these words, in order
-    class_share: np.ndarray  # a word's share in each class
-    class_rest: np.ndarray  # what is left for all other words in a class, as a factor of their share in all documents
+    class_sizes: np.ndarray  # tokens of each class, ends included
 
 
-def _class_shares(counts: np.ndarray, overall: np.ndarray, strength: float = 2000.0) -> tuple[np.ndarray, np.ndarray]:
-    """Shares by class, shrunk towards the overall ones; with what classes leave for other words."""
-    known = overall.sum()
-    size = counts.sum(0) / max(known, 1e-9)
-    share = (counts + strength * overall[:, None]) / (size + strength)
-    rest = np.minimum(1.0, (1 - np.minimum(share.sum(0), 1)) / max(1 - known, 1e-9))
-    return share / np.maximum(share.sum(0) / max(known, 1e-9), 1.0), rest
+@dataclass
+class Model:
+    mixer: Mixer
+    keys: np.ndarray  # hashes of the most frequent words, in order
+    counts: np.ndarray
+    classes: np.ndarray  # their counts in each class
+    scale: Scale
 
 
 def learn(rows: DataFrame, counts: DataFrame, known_words: int, sample_words: int) -> Model:
@@ -363,52 +362,68 @@ def learn(rows: DataFrame, counts: DataFrame, known_words: int, sample_words: in
         if r["kind"] == 2:
             pairs[r["key"]] = r["n"]
     level = F.floor(8 * F.log2(F.col("n")))
-    histogram = sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True)  # at most 8 * 63 rows
+    histogram = sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(CLASSES))).collect(), reverse=True)  # at most 8 * 63 rows
     held, least = 0, None
     for r in histogram:
         held += r["words"]
         if held > known_words:
             break
         least = r["level"]
-    frequent = words.filter(level >= least).select("key", "n") if least is not None else words.select("key", "n").limit(0)
-    table = frequent.toArrow()
-    key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    names = [f"c{k}" for k in range(CLASSES)]
+    frequent = words.filter(level >= least) if least is not None else words.limit(0)
+    narrow = "int" if sum(r["n"] for r in histogram) < 2**31 else "long"
+    table = frequent.select("key", "n", *(F.col(c).cast(narrow).alias(c) for c in names)).toArrow()
+    key = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    key, n = key[order], n[order]
-    top = np.sort(np.lexsort((key, -n))[:CLASS_WORDS])
+    key, n, classes = key[order], table.column("n").to_numpy()[order], np.stack([table.column(c).to_numpy()[order] for c in names], 1)
+    del table
     codes = huffman_codes(pairs.reshape(256, 256))
     segments = (1 << TABLE_BITS) // SEGMENT
-    held_tables = np.zeros((len(ORDERS) * segments + CLASS_WORDS * CLASSES // (2 * SEGMENT), 2, SEGMENT), np.int64)
+    held_tables = np.zeros((len(ORDERS) * segments, 2, SEGMENT), np.int64)
     sample: list[bytes] = []
-    for r in context_counts(rows, codes, key[top]).toLocalIterator():
+    for r in context_counts(rows, codes).toLocalIterator():
         if r["segment"] < 0:
             sample.append(bytes(r["payload"]))
         else:
             held_tables[r["segment"]] = np.frombuffer(r["payload"], np.int64).reshape(2, SEGMENT)
     sample = [w for w in sorted(set(sample), key=lambda w: (hash_bytes(w), w)) if len(w) <= 200][:sample_words]
-    tables = held_tables[: len(ORDERS) * segments].reshape(len(ORDERS), segments, 2, SEGMENT)
-    by_class = held_tables[len(ORDERS) * segments :].reshape(-1, CLASSES)[: len(top)]
+    tables = held_tables.reshape(len(ORDERS), segments, 2, SEGMENT)
     flat = [tables[k].transpose(1, 0, 2).reshape(2, -1) for k in range(len(ORDERS))]
     distinct = sum(r["words"] for r in histogram) + (documents > 0)
     total = sum(r["n"] for r in histogram) + documents
-    return Model(fit_mixer(codes, flat, sample), key, n, total, distinct, documents, key[top], *_class_shares(by_class, n[top] / max(total, 1)))
+    known = (total - documents) / max(total, 1)
+    class_sizes = np.array([sum(r[c] for r in histogram) for c in names]) / max(known, 1e-9)
+    return Model(fit_mixer(codes, flat, sample), key, n, classes, Scale(total, distinct, documents, class_sizes))
 
 
 def hash_bytes(word: bytes) -> int:
     return int(tk.span_hashes(tk._BYTE[np.frombuffer(word, np.uint8)], np.array([0]), np.array([len(word)]))[0])
 
 
-def chunk_scores(c: tk.Chunk, model: Model) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per document: tokens, tokens known to the frequent table, their log10 sum, and the model's log10 probability; and the
-    occurrences of all other words (document, hash, times)."""
+def expert_logs(spelled: np.ndarray, count: np.ndarray, classes: np.ndarray, of: np.ndarray, history: np.ndarray, scale: Scale):
+    """Each expert's log probability of every occurrence: of word ``of``, after a share ``history`` of its document."""
+    spelling = np.exp(np.maximum(spelled, -700))
+    overall = count / max(1, scale.total)
+    for by_count, by_history, k in EXPERTS:
+        rest = 1 - by_count - by_history
+        corpus = overall if k < 0 else (classes[:, k] + STRENGTH * overall) / (scale.class_sizes[k] + STRENGTH)
+        p = (rest * spelling + by_count * corpus)[of] + by_history * history
+        logs = np.log(np.maximum(p, 1e-300))
+        tiny = p < 1e-290
+        if tiny.any():
+            logs[tiny] = np.log(rest) + spelled[of[tiny]]
+        yield logs
+
+
+def chunk_scores(c: tk.Chunk, model: Model) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per document: tokens, and of those known to the frequent table their number, their log10 sum and the experts' sums of logs;
+    and all other words (document, hash, spelling, occurrences, history of each occurrence)."""
     n = c.n_docs
     hashes = c.word_hashes(lower=True)
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     at = np.minimum(np.searchsorted(model.keys, unique), max(0, len(model.keys) - 1))
     known = model.keys[at] == unique if len(model.keys) else np.zeros(len(unique), bool)
-    count = np.where(known, model.counts[at], 0) if len(model.keys) else np.zeros(len(unique), np.int64)
     spelled = model.mixer.bits(_FOLD[c.data], c.start[first], c.end[first])
-    total = max(1, model.total)
     # times that the word has occurred before in its document
     key = c.doc * np.int64(len(unique) + 1) + inverse
     order = np.argsort(key, kind="stable")
@@ -416,62 +431,116 @@ def chunk_scores(c: tk.Chunk, model: Model) -> tuple[dict[str, np.ndarray], tupl
     fresh = np.ones(len(ranked), bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     run = np.flatnonzero(fresh)
+    times = np.diff(np.append(run, len(ranked)))
     before = np.empty(len(ranked), np.int64)
-    before[order] = np.arange(len(ranked)) - np.repeat(run, np.diff(np.append(run, len(ranked))))
+    before[order] = np.arange(len(ranked)) - np.repeat(run, times)
     first_word = np.searchsorted(c.doc, np.arange(n))
     place = np.arange(len(hashes)) - first_word[c.doc]
     history = before / np.maximum(place, 1)
-    spelling = np.exp(np.maximum(spelled, -700))[inverse]
-    overall = count / total
-    at = np.minimum(np.searchsorted(model.class_keys, unique), max(0, len(model.class_keys) - 1))
-    typed = model.class_keys[at] == unique if len(model.class_keys) else np.zeros(len(unique), bool)
-    corpus = {-1: overall[inverse]}
-    for k in range(CLASSES):
-        corpus[k] = (np.where(typed, model.class_share[at, k], overall * model.class_rest[k]) if len(model.class_keys) else overall)[inverse]
-    scores = np.empty((len(EXPERTS), n))
-    for j, (by_count, by_history, k) in enumerate(EXPERTS):
-        rest = 1 - by_count - by_history
-        p = rest * spelling + by_count * corpus[k] + by_history * history
-        logs = np.log(np.maximum(p, 1e-300))
-        tiny = p < 1e-290
-        if tiny.any():
-            logs[tiny] = np.log(rest) + spelled[inverse[tiny]]
-        scores[j] = np.bincount(c.doc, weights=logs, minlength=n) + np.log(by_count * max(model.documents, 1) / max(total, 1))
-    top = scores.max(0)
-    mixed = top + np.log(np.exp(scores - top).mean(0))
     known_at = known[inverse]
-    sums = np.bincount(c.doc, weights=np.log10(count + 1.0)[inverse] * known_at, minlength=n)
-    rare = fresh & ~known[inverse[order]]
-    times = np.diff(np.append(run, len(ranked)))[~known[inverse[order[run]]]]
+    doc, of = c.doc[known_at], (np.cumsum(known) - 1)[inverse[known_at]]
+    count = model.counts[at[known]]
+    scores = np.zeros((n, len(EXPERTS)))
+    for j, logs in enumerate(expert_logs(spelled[known], count, model.classes[at[known]], of, history[known_at], model.scale)):
+        scores[:, j] = np.bincount(doc, weights=logs, minlength=n)
+    sums = np.bincount(doc, weights=np.log10(count + 1.0)[of], minlength=n)
+    rare = ~known[inverse[order[run]]]
+    start = order[run[rare]]
     return (
-        {"n_tokens": c.n_words + 1, "n_frequent": np.bincount(c.doc, weights=known_at, minlength=n).astype(np.int64), "frequent_sum": sums, "score": mixed / np.log(10)},
-        (c.doc[order[rare]], hashes[order[rare]], times),
+        {"n_tokens": c.n_words + 1, "n_frequent": np.bincount(doc, minlength=n), "frequent_sum": sums, "scores": scores},
+        (c.doc[start], hashes[start], spelled[inverse[start]], times[rare], history[order[~known_at[order]]]),
     )
 
 
+_DOCUMENT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "n_frequent": pa.int64(), "frequent_sum": pa.float64(), "scores": pa.list_(pa.float64())}
+_WORD = {"word": pa.int64(), "spelled": pa.float64(), "history": pa.list_(pa.float64())}
+
+
+def _lists(length: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(values, pa.float64()))
+
+
 def scored(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows of documents (word null) and of their words outside the frequent table (word, times), told together by ``row``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # fixed tables and at most known_words counts
+    """Rows of documents (word null) and of their words outside the frequent table (word, spelling, history of each occurrence), told
+    together by ``row``."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # the tables and at most known_words counts
 
     def run(batches):
         m = sent.value
         base = TaskContext.get().partitionId() << 40
         done = 0
-        names = ["row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_frequent", "frequent_sum", "score", "word", "times"]
+        names = ["row", *_DOCUMENT, *_WORD]
         for batch in batches:
             first = 0
             for c in tk.chunks(batch.column("text")):
-                got, (doc, word, times) = chunk_scores(c, m)
+                got, (doc, word, spelled, times, history) = chunk_scores(c, m)
                 row = base + done + np.arange(c.n_docs)
                 n, k = c.n_docs, len(word)
-                null = pa.nulls
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(c.offset)), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_frequent"], pa.int64()), pa.array(got["frequent_sum"].astype(float)), pa.array(got["score"].astype(float)), null(n, pa.int64()), null(n, pa.int64())], names=names)
+                lists = _lists(np.full(n, len(EXPERTS)), got["scores"].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(c.offset)), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_frequent"], pa.int64()), pa.array(got["frequent_sum"].astype(float)), lists, *(pa.nulls(n, t) for t in _WORD.values())], names=names)
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), null(k, pa.int64()), null(k, pa.bool_()), null(k, pa.int64()), null(k, pa.int64()), null(k, pa.int64()), null(k, pa.float64()), null(k, pa.float64()), pa.array(word.view(np.int64)), pa.array(times, pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *(pa.nulls(k, t) for t in _DOCUMENT.values()), pa.array(word.view(np.int64)), pa.array(spelled), _lists(times, history)], names=names)
                 first += n
                 done += n
 
-    return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_frequent long, frequent_sum double, score double, word long, times long")
+    return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_frequent long, frequent_sum double, scores array<double>, word long, spelled double, history array<double>")
+
+
+def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
+    """The result's rows: each document's sums, with those of its words outside the frequent table, whose counts come by a join.
+
+    A document's row comes before those of its words; only the sums of the last document are held.
+    """
+    names = [f"c{k}" for k in range(CLASSES)]
+    size, end = float(np.log10(scale.total + scale.distinct + 1)), float(np.log10(scale.documents + 1))
+    experts = len(EXPERTS)
+    ends = np.log(np.array([by_count for by_count, _, _ in EXPERTS]) * max(scale.documents, 1) / max(scale.total, 1))
+
+    def run(batches):
+        def result(docs, sums):
+            scores = docs.column("scores").flatten().to_numpy().reshape(-1, experts) + sums[:, :experts] + ends
+            top = scores.max(1)
+            score = (top + np.log(np.exp(scores - top[:, None]).mean(1))) / np.log(10)
+            tokens = docs.column("n_tokens").to_numpy()
+            known = docs.column("n_frequent").to_numpy() + sums[:, experts].astype(np.int64) + int(scale.documents > 0)
+            base = docs.column("frequent_sum").to_numpy() + sums[:, experts + 1] + end - tokens * size
+            bits = -score * np.log2(10) / np.maximum(docs.column("n_bytes").to_numpy(), 1)
+            out = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), scale.total, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(bits)}
+            return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            is_doc = batch.column("n_bytes").is_valid().to_numpy(zero_copy_only=False)
+            owner = np.cumsum(is_doc)  # 0: the document held
+            sums = np.zeros((int(owner[-1]) + 1, experts + 2))
+            if not is_doc.all():
+                rare, who = batch.filter(pa.array(~is_doc)), owner[~is_doc]
+                times = rare.column("history").value_lengths().to_numpy()
+                of = np.repeat(np.arange(len(times)), times)
+                n = rare.column("n").to_numpy()
+                classes = np.stack([rare.column(c).to_numpy() for c in names], 1)
+                logs = expert_logs(rare.column("spelled").to_numpy(), n, classes, of, rare.column("history").flatten().to_numpy(), scale)
+                for j, x in enumerate([*logs, (n > 0)[of], np.log10(n + 1.0)[of]]):
+                    sums[:, j] = np.bincount(who[of], weights=x, minlength=len(sums))
+            docs = batch.select(list(_DOCUMENT)).filter(pa.array(is_doc))
+            if held is None:
+                sums = sums[1:]
+            else:
+                sums[0] += held[1]
+                docs = pa.Table.from_batches([held[0], docs]).combine_chunks().to_batches()[0]
+            if docs.num_rows > 1:
+                yield result(docs.slice(0, docs.num_rows - 1), sums[:-1])
+            held = docs.slice(docs.num_rows - 1), sums[-1]
+        if held is not None:
+            yield result(held[0], held[1][None])
+
+    counts = words.select(F.col("key").alias("word"), "n", *names)
+    rare = found.filter("word is not null").select("row", "word", "spelled", "history").join(counts, "word", "left").drop("word").fillna(0, ["n", *names])
+    docs = found.filter("word is null").select("row", *_DOCUMENT)
+    together = docs.unionByName(rare, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", F.col("n_bytes").isNull())
+    return together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, known_words: int = 1 << 20, sample_words: int = 20_000) -> DataFrame:
@@ -480,13 +549,4 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, known_words: int = 1
     counts = materialize(token_counts(rows))
     model = learn(rows, counts, known_words, sample_words)
     found = materialize(scored(rows, model))
-    words = counts.filter("kind = 0").select(F.col("key").alias("word"), "n")
-    rare = found.filter("word is not null").select("row", "word", "times").join(words, "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_sum"), F.sum("times").alias("n_rare"))
-    size = float(np.log10(model.total + model.distinct + 1))
-    end = float(np.log10(model.documents + 1))
-    out = found.filter("word is null").join(rare, "row", "left")
-    base = F.col("frequent_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(size)
-    known = F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(model.documents > 0))
-    bits = -F.col("score") * F.lit(float(np.log2(10))) / F.greatest(F.col("n_bytes"), F.lit(1))
-    return out.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", bits.alias("bits_per_byte"))
+    return mixed(found, counts.filter("kind = 0"), model.scale)

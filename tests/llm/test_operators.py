@@ -101,6 +101,13 @@ def test_context_mixing_base_and_gain(spark, known):
     assert context_mixing.score(empty(spark)).count() == 0
 
 
+def test_context_mixing_score_has_every_count(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(tricky(spark).filter("doc_id is not null").select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
+    few, all_ = (sorted((r["doc_id"], r["n_known"], r["score"]) for r in context_mixing.score(docs, known_words=k).collect()) for k in (4, 1 << 20))
+    assert [x[:2] for x in few] == [x[:2] for x in all_] and len(few) == docs.count()
+    assert [x[2] for x in few] == pytest.approx([x[2] for x in all_], rel=1e-9)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all one- and two-letter words over a small alphabet add up to less than one, with none lost to bits."""
     pairs = np.zeros((256, 256), np.int64)
