@@ -6,8 +6,8 @@ tree that depends on the letter before. Each decision is predicted by several ta
 longer contexts have seen) selects, and refined by an adaptive probability map. Per document, experts that combine this spelling
 with the corpus count of the word and the document's own history are mixed by their posterior, which each token updates.
 
-All statistics cover the whole training part: token counts are exact; context tables have a fixed number of slots, are summed over
-all training texts, and so have a size that does not grow with the input. Of the tokens, at most ``known_words`` of the most
+All statistics cover the whole training part and do not depend on how the input is split into partitions: token counts are exact, and
+context tables, of a fixed number of slots, learn each distinct word with its number of occurrences. Of the tokens, at most ``known_words`` of the most
 frequent ones travel to the tasks; the counts of all others meet their occurrences in a shuffled join, and there enter the
 mixture as those of the frequent ones do, so that no result depends on ``known_words``. Mixing weights and the
 map come from a bounded sample of training words (``sample_words``), each left out of the counts that predict it.
@@ -218,120 +218,125 @@ def _rows(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training(modulus, held)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each span."""
+    length = end - start
+    ends = np.cumsum(length)
+    source = np.arange(int(length.sum())) + np.repeat(start - (ends - length), length)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32).tobytes()), pa.py_buffer(data[source].tobytes())])
+
+
 def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
-    """(kind, key, n, c0, c1, ...) of the training part: words by hash (kind 0) with their counts by class of text, documents (1),
-    pairs of adjacent letters (2)."""
+    """(kind, key, letters, n, c0, c1, ...) of the training part: words by hash (kind 0) with their counts by class of text, documents
+    (1), pairs of adjacent letters (2)."""
 
     def run(batches):
         held, size, docs = [], 0, 0
+        names = ["kind", "key", "letters", "class", "n"]
         pairs = np.zeros(65536, np.int64)
 
         def words():
-            key, label, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, label, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
+            spelling = pa.concat_arrays([x[3] for x in held])
             order = np.lexsort((label, key))
             key, label, n = key[order], label[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int8)), pa.array(key[first].view(np.int64)), pa.array(label[first]), pa.array(np.add.reduceat(n, first))], names=["kind", "key", "class", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int8)), pa.array(key[first].view(np.int64)), spelling.take(pa.array(order[first])), pa.array(label[first]), pa.array(np.add.reduceat(n, first))], names=names)
 
         for batch in batches:
             docs += batch.num_rows
             for c in tk.chunks(batch.column("text")):
-                unique, inverse = np.unique(c.word_hashes(lower=True), return_inverse=True)
+                unique, first, inverse = np.unique(c.word_hashes(lower=True), return_index=True, return_inverse=True)
                 n = np.bincount(inverse * CLASSES + text_classes(c)[c.doc], minlength=len(unique) * CLASSES)
                 at = np.flatnonzero(n)
                 if len(at):
-                    held.append((unique[at // CLASSES], (at % CLASSES).astype(np.int8), n[at]))
-                    size += len(at)
+                    spelling = spans(_FOLD[c.data], c.start[first[at // CLASSES]], c.end[first[at // CLASSES]])
+                    held.append((unique[at // CLASSES], (at % CLASSES).astype(np.int8), n[at], spelling))
+                    size += len(at) + spelling.nbytes // 16
                 now = _FOLD[c.data].astype(np.int64)
                 now[tk.IS_SPACE[c.data]] = STOP
-                pairs += np.bincount(np.append(now, STOP) + 256 * np.concatenate(([STOP], now)), minlength=65536)
+                filled = np.diff(c.offset) > 0
+                before = np.concatenate(([STOP], now))
+                before[c.offset[:-1][filled]] = STOP  # a text does not go on in the next one
+                pairs += np.bincount(now + 256 * before[:-1], minlength=65536) + np.bincount(STOP + 256 * now[c.offset[1:][filled] - 1], minlength=65536)
                 if size > flush:
                     yield words()
                     held, size = [], 0
         if size:
             yield words()
         at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), 2, np.int8), np.int8(1))), pa.array(np.append(at, 0)), pa.array(np.zeros(len(at) + 1, np.int8)), pa.array(np.append(pairs[at], docs))], names=["kind", "key", "class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), 2, np.int8), np.int8(1))), pa.array(np.append(at, 0)), pa.nulls(len(at) + 1, pa.binary()), pa.array(np.zeros(len(at) + 1, np.int8)), pa.array(np.append(pairs[at], docs))], names=names)
 
-    sent = rows.filter("not held_out").select("text").mapInArrow(run, "kind byte, key long, class byte, n long")
+    sent = rows.filter("not held_out").select("text").mapInArrow(run, "kind byte, key long, letters binary, class byte, n long")
     # a task has added up its own already: rows travel narrow, and become wide where they meet
     by_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(CLASSES)]
-    return sent.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("n").alias("n"), *by_class)
+    return sent.repartition("kind", "key").groupBy("kind", "key", "letters").agg(F.sum("n").alias("n"), *by_class)
+
 
+def _vocabulary(batch: pa.RecordBatch, limit: int = 300_000):
+    """(letters, start, end, n) of some of a batch's words at a time, about ``limit`` letters together."""
+    column = batch.column("letters")
+    _, offset, data = column.buffers()
+    offset = np.frombuffer(offset, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    n = batch.column("n").to_numpy()
+    for part in _slices(np.diff(offset) + 1, limit):
+        yield data, offset[:-1][part], offset[1:][part], n[part]
 
-def context_counts(rows: DataFrame, codes, flush: int = 24_000_000, sample: int = 3000) -> DataFrame:
-    """(segment, payload) of the context tables, summed over tasks, and (-1, word) for a sample of the words.
 
-    A task counts each distinct word of about ``flush`` bytes of text once. It sends its tables in compressed segments, which are added up
-    as they stream in; no task holds more than its share of the fixed tables.
+def context_counts(words: DataFrame, codes) -> DataFrame:
+    """(segment, payload) of the context tables: each distinct word of the training part once, with its number of occurrences.
+
+    A task holds the slots that its words use, and sends them in compressed segments, which are added up as they stream in.
     """
-    shape = (len(ORDERS), 2, 1 << TABLE_BITS)
+    segments = (1 << TABLE_BITS) // SEGMENT
 
     def run(batches):
         pack = zs.ZstdCompressor(level=1).compress
-        tables = np.zeros(shape, np.int32)
-        chosen: dict[int, bytes] = {}
-        parts, size = [], 0
-
-        def learn():
-            hashes = np.concatenate([p[0] for p in parts])
-            shift = np.cumsum([0] + [len(p[3]) for p in parts[:-1]])
-            start = np.concatenate([p[1] + s for p, s in zip(parts, shift, strict=True)])
-            end = np.concatenate([p[2] + s for p, s in zip(parts, shift, strict=True)])
-            data = np.concatenate([p[3] for p in parts])
-            unique, first = np.unique(hashes, return_index=True)
-            for h, i in list(zip(unique[:sample].tolist(), first[:sample].tolist(), strict=True)):
-                chosen[h] = data[start[i] : end[i]].tobytes()
-            for h in sorted(chosen)[sample:]:
-                del chosen[h]
-            first = np.sort(first)
-            for part in _slices(end[first] - start[first] + 1, 400_000):
-                _, bit, slots = decisions(*letters(data, start[first[part]], end[first[part]]), codes)
-                for k, s in enumerate(slots):
-                    tables[k] += np.bincount(s + (bit.astype(np.int64) << TABLE_BITS), minlength=2 << TABLE_BITS).reshape(2, -1).astype(np.int32)
+        slot, total = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, size = [], 0
+
+        def add():
+            key = np.concatenate([slot, *(h[0] for h in held)])
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], np.concatenate([total, *(h[1] for h in held)])[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            return key[first], np.add.reduceat(n, first)
 
         for batch in batches:
-            for c in tk.chunks(batch.column("text")):
-                hashes = c.word_hashes(lower=True)
-                unique, first = np.unique(hashes, return_index=True)
-                length = c.end[first] - c.start[first]
-                ends = np.cumsum(length)
-                source = np.arange(int(length.sum())) + np.repeat(c.start[first] - (ends - length), length)
-                parts.append((unique, ends - length, ends, _FOLD[c.data[source]]))
-                size += len(c.data)
-                if size > flush:
-                    learn()
-                    parts, size = [], 0
-        if parts:
-            learn()
-        blocks = tables.reshape(len(ORDERS), 2, -1, SEGMENT)
-        for k in range(len(ORDERS)):
-            used = [s for s in range(blocks.shape[2]) if blocks[k, :, s].any()]
-            if used:
-                yield pa.RecordBatch.from_arrays([pa.array([k * blocks.shape[2] + s for s in used], pa.int64()), pa.array([pack(blocks[k, :, s].tobytes()) for s in used], pa.binary())], names=["segment", "payload"])
-        if chosen:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(chosen), pa.int64()), pa.array(list(chosen.values()), pa.binary())], names=["segment", "payload"])
-
-    def add(batches):
+            for data, start, end, n in _vocabulary(batch):
+                word, bit, slots = decisions(*letters(data, start, end), codes)
+                key = np.concatenate([(((k << TABLE_BITS) + s) << 1) + bit for k, s in enumerate(slots)])
+                key, of = np.unique(key, return_inverse=True)
+                held.append((key, np.bincount(of, weights=np.tile(n[word], len(slots))).astype(np.int64)))  # exact below 2**53
+                size += len(key)
+                if size > 2_000_000 + len(slot):
+                    slot, total = add()
+                    held, size = [], 0
+        if held:
+            slot, total = add()
+        at = slot // (2 * SEGMENT)
+        bounds = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
+        for i in range(0, len(bounds) - 1, 256):
+            ends = bounds[i : i + 257].tolist()
+            packed = [pack((slot[x:y] % (2 * SEGMENT)).astype(np.uint16).tobytes() + total[x:y].tobytes()) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at[ends[:-1]]), pa.array(packed, pa.binary())], names=["segment", "payload"])
+
+    def add_up(batches):
         unpack = zs.ZstdDecompressor().decompress
         sums: dict[int, np.ndarray] = {}
-        words: set[bytes] = set()
         for batch in batches:
             for s, payload in zip(batch.column("segment").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if s < 0:
-                    words.add(payload)
-                else:
-                    got = np.frombuffer(unpack(payload), np.int32).astype(np.int64)
-                    sums[s] = sums[s] + got if s in sums else got
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["segment", "payload"])
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(words), pa.int64()), pa.array(list(words), pa.binary())], names=["segment", "payload"])
+                raw = unpack(payload)
+                m = len(raw) // 10
+                if s not in sums:
+                    sums[s] = np.zeros(2 * SEGMENT, np.int64)
+                sums[s][np.frombuffer(raw, np.uint16, m)] += np.frombuffer(raw[2 * m :], np.int64)
+        for s, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["segment", "payload"])
 
     schema = "segment long, payload binary"
-    sent = rows.filter("not held_out").select("text").mapInArrow(run, schema)
-    # sampled words spread by themselves; a segment's parts meet in one task as a stream
-    return sent.repartition(F.when(F.col("segment") < 0, F.xxhash64("payload")).otherwise(F.col("segment"))).mapInArrow(add, schema)
+    return words.select("letters", "n").mapInArrow(run, schema).repartition("segment").mapInArrow(add_up, schema)
 
 
 @dataclass
@@ -353,7 +358,7 @@ class Model:
     scale: Scale
 
 
-def learn(rows: DataFrame, counts: DataFrame, known_words: int, sample_words: int) -> Model:
+def learn(counts: DataFrame, known_words: int, sample_words: int) -> Model:
     words = counts.filter("kind = 0")
     small = counts.filter("kind > 0").collect()  # at most 65,537 rows
     documents = sum(r["n"] for r in small if r["kind"] == 1)
@@ -379,16 +384,11 @@ def learn(rows: DataFrame, counts: DataFrame, known_words: int, sample_words: in
     del table
     codes = huffman_codes(pairs.reshape(256, 256))
     segments = (1 << TABLE_BITS) // SEGMENT
-    held_tables = np.zeros((len(ORDERS) * segments, 2, SEGMENT), np.int64)
-    sample: list[bytes] = []
-    for r in context_counts(rows, codes).toLocalIterator():
-        if r["segment"] < 0:
-            sample.append(bytes(r["payload"]))
-        else:
-            held_tables[r["segment"]] = np.frombuffer(r["payload"], np.int64).reshape(2, SEGMENT)
-    sample = [w for w in sorted(set(sample), key=lambda w: (hash_bytes(w), w)) if len(w) <= 200][:sample_words]
-    tables = held_tables.reshape(len(ORDERS), segments, 2, SEGMENT)
-    flat = [tables[k].transpose(1, 0, 2).reshape(2, -1) for k in range(len(ORDERS))]
+    held_tables = np.zeros((len(ORDERS) * segments, SEGMENT, 2), np.float32)
+    for r in materialize(context_counts(words, codes)).toLocalIterator():
+        held_tables[r["segment"]] = np.frombuffer(r["payload"], np.float32).reshape(SEGMENT, 2)
+    sample = [bytes(r["letters"]) for r in words.filter("length(letters) <= 200").orderBy("key").limit(sample_words).select("letters").collect()]
+    flat = [x.reshape(-1, 2).T for x in held_tables.reshape(len(ORDERS), -1, 2)]
     distinct = sum(r["words"] for r in histogram) + (documents > 0)
     total = sum(r["n"] for r in histogram) + documents
     known = (total - documents) / max(total, 1)
@@ -396,10 +396,6 @@ def learn(rows: DataFrame, counts: DataFrame, known_words: int, sample_words: in
     return Model(fit_mixer(codes, flat, sample), key, n, classes, Scale(total, distinct, documents, class_sizes))
 
 
-def hash_bytes(word: bytes) -> int:
-    return int(tk.span_hashes(tk._BYTE[np.frombuffer(word, np.uint8)], np.array([0]), np.array([len(word)]))[0])
-
-
 def expert_logs(spelled: np.ndarray, count: np.ndarray, classes: np.ndarray, of: np.ndarray, history: np.ndarray, scale: Scale):
     """Each expert's log probability of every occurrence: of word ``of``, after a share ``history`` of its document."""
     spelling = np.exp(np.maximum(spelled, -700))
@@ -547,6 +543,6 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, known_words: int = 1
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability) and bits_per_byte."""
     rows = _rows(docs, modulus, held)
     counts = materialize(token_counts(rows))
-    model = learn(rows, counts, known_words, sample_words)
+    model = learn(counts, known_words, sample_words)
     found = materialize(scored(rows, model))
     return mixed(found, counts.filter("kind = 0"), model.scale)

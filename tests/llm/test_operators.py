@@ -108,6 +108,24 @@ def test_context_mixing_score_has_every_count(spark):
     assert [x[2] for x in few] == pytest.approx([x[2] for x in all_], rel=1e-9)
 
 
+def test_context_mixing_by_any_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = (sorted((r["doc_id"], r["score"]) for r in context_mixing.score(docs.repartition(n, "doc_id")).collect()) for n in (1, 7))
+    assert [x[0] for x in one] == [x[0] for x in many]
+    assert [x[1] for x in one] == pytest.approx([x[1] for x in many], rel=1e-9)
+
+
+def test_context_tables_weigh_occurrences(spark):
+    """Tables of one text are those of its words repeated: the order-1 slots of "aab" three times and "b" once."""
+    docs = spark.createDataFrame([(1, "aab b AAB"), (3, "aab")], "doc_id long, text string")
+    counts = context_mixing.materialize(context_mixing.token_counts(context_mixing._rows(docs, 10**6, 10**6)))
+    pairs = np.zeros((256, 256), np.int64)
+    codes = context_mixing.huffman_codes(pairs)
+    first = context_mixing.context_counts(counts.filter("kind = 0"), codes).collect()
+    total = sum(np.frombuffer(r["payload"], np.float32).sum() for r in first)
+    assert total == len(context_mixing.ORDERS) * sum(n * sum(codes[1][a * 256 + b] for a, b in zip(b" " + w, w + b" ", strict=True)) for w, n in ((b"aab", 3), (b"b", 1)))
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all one- and two-letter words over a small alphabet add up to less than one, with none lost to bits."""
     pairs = np.zeros((256, 256), np.int64)
