@@ -10,7 +10,8 @@ All statistics cover the whole training part and do not depend on how the input
 context tables, of a fixed number of slots, learn each distinct word with its number of occurrences. Of the tokens, at most ``known_words`` of the most
 frequent ones travel to the tasks; the counts of all others meet their occurrences in a shuffled join, and there enter the
 mixture as those of the frequent ones do, so that no result depends on ``known_words``. Mixing weights and the
-map come from a bounded sample of training words (``sample_words``), each left out of the counts that predict it.
+map are fitted by passes over all decisions of the training part, each without itself in the counts that predict it; passes add up over
+tasks. They are fixed while a text is coded, so that a text's score depends on no order; what each token updates is the posterior.
 
 Edge cases: a null or empty text is one end token; a null doc_id is trained on; words of any length are coded whole; repeated
 rows each give a row; without training texts every count is 0 and the tables are flat; an empty table gives an empty result.
@@ -120,29 +121,70 @@ def _slices(size: np.ndarray, limit: int):
 
 @dataclass
 class Mixer:
-    """Count tables as predictions: ``table[k]`` holds the logit of a 1 and ``seen[k]`` how much a slot has seen (0, 1, 2)."""
+    """Count tables, ``counts[k]`` of shape (slots, 2), as predictions mixed by ``weights`` and refined by the map ``refined``."""
 
     codes: tuple
-    table: list[np.ndarray]
-    seen: list[np.ndarray]
+    counts: list[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray
 
+    def inputs(self, bit: np.ndarray, slots: list[np.ndarray], left_out: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(gate, inputs of the mixture) of decisions; left out: without the occurrence that is predicted."""
+        x, seen = [], []
+        for k, s in enumerate(slots):
+            n = self.counts[k][s]
+            if left_out:
+                n[np.arange(len(bit)), bit] -= 1
+                np.maximum(n, 0, out=n)
+            x.append(np.log((n[:, 1] + np.float32(0.2)) / (n[:, 0] + np.float32(0.2))))
+            seen.append(n.sum(1) if k >= 2 else None)
+        gate = 3 * ((seen[3] > 2).astype(np.int64) + (seen[3] > 30)) + (seen[2] > 2) + (seen[2] > 30)
+        return gate, np.stack([*x, np.ones(len(bit), np.float32)])
+
+    def mix(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(gate))
+        for k in range(len(x)):
+            out += self.weights[gate, k] * x[k]
+        return out
+
     def bits(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability, its stop included."""
         out = np.zeros(len(start))
-        for part in _slices(end - start + 1, 150_000):
+        for part in _slices(end - start + 1, 100_000):
             word, bit, slots = decisions(*letters(data, start[part], end[part]), self.codes)
-            gate = 3 * self.seen[3][slots[3]].astype(np.int64) + self.seen[2][slots[2]]
-            w = self.weights[gate]
-            x = w[:, -1].copy()
-            for k in range(len(ORDERS)):
-                x += w[:, k] * self.table[k][slots[k]]
-            p = refine(x, gate, self.refined)
+            gate, x = self.inputs(bit, slots, False)
+            p = refine(self.mix(gate, x), gate, self.refined)
             np.subtract(1, p, out=p, where=bit == 0)
             out[part] = np.bincount(word, weights=np.log(p), minlength=part.stop - part.start)
         return out
 
+    def slopes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """By gate: loss, gradient and curvature of the weights over all decisions of words that occur ``times``."""
+        m = self.weights.shape[1]
+        out = np.zeros((GATES, 1 + m + m * m))
+        word, bit, slots = decisions(*letters(data, start, end), self.codes)
+        gate, x = self.inputs(bit, slots, True)
+        n = times[word].astype(float)
+        mixed = np.clip(self.mix(gate, x), -12, 12)
+        p = 1 / (1 + np.exp(-mixed))
+        out[:, 0] = np.bincount(gate, weights=-n * np.log(np.where(bit == 1, p, 1 - p)), minlength=GATES)
+        for g in range(GATES):
+            at = np.flatnonzero(gate == g)
+            if len(at):
+                v = x[:, at].astype(float)
+                out[g, 1 : 1 + m] = v @ (n[at] * (p[at] - bit[at]))
+                out[g, 1 + m :] = ((v * (n[at] * p[at] * (1 - p[at]))) @ v.T).ravel()
+        return out
+
+    def outcomes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of the map's places: decisions and ones among all decisions of words that occur ``times``."""
+        word, bit, slots = decisions(*letters(data, start, end), self.codes)
+        gate, x = self.inputs(bit, slots, True)
+        low, part = _bucket(self.mix(gate, x))
+        near = gate * BUCKETS + low + (part > 0.5)
+        n = times[word].astype(float)
+        return np.stack([np.bincount(near, weights=n * y, minlength=GATES * BUCKETS) for y in (1.0, bit)], 1)
+
 
 def _bucket(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = (np.clip(x, -7.99, 7.99) + 8) * ((BUCKETS - 1) / 16)
@@ -159,39 +201,41 @@ def refine(x: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
     return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-np.clip(x, -12, 12))), 1e-6, 1 - 1e-6)
 
 
-def _logits(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    total = zeros + ones
-    return np.log((ones + 0.2) / (zeros + 0.2)).astype(np.float32), ((total > 2).astype(np.int64) + (total > 30)).astype(np.int8)
-
-
-def fit_mixer(codes, counts: list[np.ndarray], words: list[bytes], seed: int = 5) -> Mixer:
-    """Weights by online gradient steps, then the map by counting, on words left out of the counts that predict them."""
-    table, seen = zip(*(_logits(c[0], c[1]) for c in counts), strict=True)
-    weights = np.tile(np.array([0.1, 0.2, 0.35, 0.35, 0.0]), (GATES, 1))
-    centers = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
-    refined = np.tile(centers, (GATES, 1))
-    if words:
-        words = [words[i] for i in np.random.default_rng(seed).permutation(len(words))]
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        data = np.frombuffer(b"".join(words), np.uint8)
-        end = np.cumsum(size)
-        word, bit, slots = decisions(*letters(data, end - size, end), codes)
-        left = [_logits(np.maximum(counts[k][0][s] - (bit == 0), 0), np.maximum(counts[k][1][s] - (bit == 1), 0)) for k, s in enumerate(slots)]
-        x = np.stack([a for a, _ in left] + [np.ones(len(bit))], 1)
-        gate = 3 * left[3][1].astype(np.int64) + left[2][1]
-        half = int(np.searchsorted(word, len(words) // 2))
-        for step in range(3):
-            for i in range(0, half, 512):
-                j = slice(i, min(half, i + 512))
-                p = 1 / (1 + np.exp(-np.clip((weights[gate[j]] * x[j]).sum(1), -12, 12)))
-                np.add.at(weights, gate[j], (0.02 / (1 + step)) * (bit[j] - p)[:, None] * x[j] / 4)
-        rest = slice(half, None)
-        low, part = _bucket((weights[gate[rest]] * x[rest]).sum(1))
-        near = gate[rest] * BUCKETS + low + (part > 0.5)
-        n = np.bincount(near, minlength=GATES * BUCKETS).astype(float)
-        ones = np.bincount(near, weights=bit[rest], minlength=GATES * BUCKETS)
-        refined = ((ones.reshape(GATES, -1) + 20 * centers) / (n.reshape(GATES, -1) + 20)).clip(1e-5, 1 - 1e-5)
-    return Mixer(codes, list(table), list(seen), weights, refined)
+_START = np.array([0.1, 0.2, 0.35, 0.35, 0.0])
+_CENTERS = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
+
+
+def fit(over, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and then the map, over all training decisions, each without itself in the counts that predict it.
+
+    ``over(name, weights)`` is the sum of Mixer's ``slopes`` or ``outcomes`` over all training words: what a pass gathers adds up, in any
+    order and partition. A pass moves each gate's weights by a Newton step from where they are; a step that made the loss worse is halved.
+    """
+    m = len(_START)
+    best, best_loss = np.tile(_START, (GATES, 1)), np.full(GATES, np.inf)
+    step = np.zeros_like(best)
+    for _ in range(passes + 1):
+        got = over("slopes", best + step)
+        loss = got[:, 0] + ((best + step - _START) ** 2).sum(1) / 2  # gates that see little stay near the start
+        better = loss <= best_loss
+        best, best_loss = np.where(better[:, None], best + step, best), np.where(better, loss, best_loss)
+        slope = got[:, 1 : 1 + m] + best - _START
+        newton = -np.linalg.solve(got[:, 1 + m :].reshape(GATES, m, m) + np.eye(m), slope[:, :, None])[:, :, 0]
+        step = np.where(better[:, None], newton, step / 2)
+        if np.abs(step).max() < 1e-4:
+            break
+    n, ones = over("outcomes", best).T
+    return best, ((ones.reshape(GATES, -1) + 20 * _CENTERS) / (n.reshape(GATES, -1) + 20)).clip(1e-5, 1 - 1e-5)
+
+
+def fit_mixer(codes, counts: list[np.ndarray], words: list[bytes]) -> Mixer:
+    """:func:`fit` over words at hand, with tables of shape (2, slots)."""
+    tables = [np.ascontiguousarray(c.T, np.float32) for c in counts]
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    times = np.ones(len(words), np.int64)
+    return Mixer(codes, tables, *fit(lambda name, weights: getattr(Mixer(codes, tables, weights, _CENTERS), name)(data, start, end, times)))
 
 
 def training(modulus: int, held: int) -> Column:
@@ -339,6 +383,27 @@ def context_counts(words: DataFrame, codes) -> DataFrame:
     return words.select("letters", "n").mapInArrow(run, schema).repartition("segment").mapInArrow(add_up, schema)
 
 
+def over_words(words: DataFrame, sent):
+    """What :func:`fit` asks for, over a table of words (letters, n); ``sent`` is the broadcast (codes, tables)."""
+
+    def over(name: str, weights: np.ndarray) -> np.ndarray:
+        m = weights.shape[1]
+        shape = {"slopes": (GATES, 1 + m + m * m), "outcomes": (GATES * BUCKETS, 2)}[name]
+
+        def run(batches):
+            ask = getattr(Mixer(*sent.value, weights, _CENTERS), name)
+            total = np.zeros(shape)
+            for batch in batches:
+                for part in _vocabulary(batch, 100_000):
+                    total += ask(*part)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["payload"])
+
+        got = words.select("letters", "n").mapInArrow(run, "payload binary").collect()  # a small row a task
+        return np.sum([np.frombuffer(r["payload"]).reshape(shape) for r in got] + [np.zeros(shape)], axis=0)
+
+    return over
+
+
 @dataclass
 class Scale:
     """What turns a word's counts into probabilities."""
@@ -351,14 +416,16 @@ class Scale:
 
 @dataclass
 class Model:
-    mixer: Mixer
+    weights: np.ndarray
+    refined: np.ndarray
     keys: np.ndarray  # hashes of the most frequent words, in order
     counts: np.ndarray
     classes: np.ndarray  # their counts in each class
     scale: Scale
 
 
-def learn(counts: DataFrame, known_words: int, sample_words: int) -> Model:
+def learn(counts: DataFrame, known_words: int):
+    """(model, broadcast of its codes and tables)."""
     words = counts.filter("kind = 0")
     small = counts.filter("kind > 0").collect()  # at most 65,537 rows
     documents = sum(r["n"] for r in small if r["kind"] == 1)
@@ -387,13 +454,13 @@ def learn(counts: DataFrame, known_words: int, sample_words: int) -> Model:
     held_tables = np.zeros((len(ORDERS) * segments, SEGMENT, 2), np.float32)
     for r in materialize(context_counts(words, codes)).toLocalIterator():
         held_tables[r["segment"]] = np.frombuffer(r["payload"], np.float32).reshape(SEGMENT, 2)
-    sample = [bytes(r["letters"]) for r in words.filter("length(letters) <= 200").orderBy("key").limit(sample_words).select("letters").collect()]
-    flat = [x.reshape(-1, 2).T for x in held_tables.reshape(len(ORDERS), -1, 2)]
+    sent = counts.sparkSession.sparkContext.broadcast((codes, list(held_tables.reshape(len(ORDERS), -1, 2))))
+    del held_tables
     distinct = sum(r["words"] for r in histogram) + (documents > 0)
     total = sum(r["n"] for r in histogram) + documents
     known = (total - documents) / max(total, 1)
     class_sizes = np.array([sum(r[c] for r in histogram) for c in names]) / max(known, 1e-9)
-    return Model(fit_mixer(codes, flat, sample), key, n, classes, Scale(total, distinct, documents, class_sizes))
+    return Model(*fit(over_words(words, sent)), key, n, classes, Scale(total, distinct, documents, class_sizes)), sent
 
 
 def expert_logs(spelled: np.ndarray, count: np.ndarray, classes: np.ndarray, of: np.ndarray, history: np.ndarray, scale: Scale):
@@ -411,7 +478,7 @@ def expert_logs(spelled: np.ndarray, count: np.ndarray, classes: np.ndarray, of:
         yield logs
 
 
-def chunk_scores(c: tk.Chunk, model: Model) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per document: tokens, and of those known to the frequent table their number, their log10 sum and the experts' sums of logs;
     and all other words (document, hash, spelling, occurrences, history of each occurrence)."""
     n = c.n_docs
@@ -419,7 +486,7 @@ def chunk_scores(c: tk.Chunk, model: Model) -> tuple[dict[str, np.ndarray], tupl
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     at = np.minimum(np.searchsorted(model.keys, unique), max(0, len(model.keys) - 1))
     known = model.keys[at] == unique if len(model.keys) else np.zeros(len(unique), bool)
-    spelled = model.mixer.bits(_FOLD[c.data], c.start[first], c.end[first])
+    spelled = mixer.bits(_FOLD[c.data], c.start[first], c.end[first])
     # times that the word has occurred before in its document
     key = c.doc * np.int64(len(unique) + 1) + inverse
     order = np.argsort(key, kind="stable")
@@ -456,20 +523,21 @@ def _lists(length: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(values, pa.float64()))
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
+def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
     """Rows of documents (word null) and of their words outside the frequent table (word, spelling, history of each occurrence), told
     together by ``row``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # the tables and at most known_words counts
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # at most known_words counts
 
     def run(batches):
         m = sent.value
+        mixer = Mixer(*tables.value, m.weights, m.refined)
         base = TaskContext.get().partitionId() << 40
         done = 0
         names = ["row", *_DOCUMENT, *_WORD]
         for batch in batches:
             first = 0
             for c in tk.chunks(batch.column("text")):
-                got, (doc, word, spelled, times, history) = chunk_scores(c, m)
+                got, (doc, word, spelled, times, history) = chunk_scores(c, m, mixer)
                 row = base + done + np.arange(c.n_docs)
                 n, k = c.n_docs, len(word)
                 lists = _lists(np.full(n, len(EXPERTS)), got["scores"].ravel())
@@ -539,10 +607,10 @@ def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
     return together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, known_words: int = 1 << 20, sample_words: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, known_words: int = 1 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability) and bits_per_byte."""
     rows = _rows(docs, modulus, held)
     counts = materialize(token_counts(rows))
-    model = learn(counts, known_words, sample_words)
-    found = materialize(scored(rows, model))
+    model, tables = learn(counts, known_words)
+    found = materialize(scored(rows, model, tables))
     return mixed(found, counts.filter("kind = 0"), model.scale)

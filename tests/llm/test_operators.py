@@ -126,6 +126,22 @@ def test_context_tables_weigh_occurrences(spark):
     assert total == len(context_mixing.ORDERS) * sum(n * sum(codes[1][a * 256 + b] for a, b in zip(b" " + w, w + b" ", strict=True)) for w, n in ((b"aab", 3), (b"b", 1)))
 
 
+def test_mixing_weights_are_fitted_on_every_decision(spark):
+    """The fit over a table of words is that over all of them at hand, each as often as it occurs, and lowers the loss."""
+    rnd = random.Random(8)
+    vocabulary = [("".join(rnd.choice("abcde") for _ in range(1 + i % 9)).encode() + str(i).encode(), 1 + i % 4) for i in range(500)]
+    codes = context_mixing.huffman_codes(np.ones((256, 256), np.int64))
+    tables = [np.ascontiguousarray(np.random.default_rng(k).integers(0, 40, (1 << context_mixing.TABLE_BITS, 2)), np.float32) for k in range(4)]
+    words = spark.createDataFrame([(bytearray(w), n) for w, n in vocabulary], "letters binary, n long").repartition(5)
+    over = context_mixing.over_words(words, spark.sparkContext.broadcast((codes, tables)))
+    weights, refined = context_mixing.fit(over)
+    mixer = context_mixing.fit_mixer(codes, [t.T for t in tables], [w for w, n in vocabulary for _ in range(n)])
+    assert np.allclose(weights, mixer.weights, rtol=1e-6, atol=1e-9) and np.allclose(refined, mixer.refined, rtol=1e-6)
+    start = np.tile(context_mixing._START, (context_mixing.GATES, 1))
+    assert over("slopes", weights)[:, 0].sum() < over("slopes", start)[:, 0].sum()
+    assert over("outcomes", weights)[:, 0].sum() == sum(n * sum(codes[1][a * 256 + b] for a, b in zip(b" " + w, w + b" ", strict=True)) for w, n in vocabulary)
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all one- and two-letter words over a small alphabet add up to less than one, with none lost to bits."""
     pairs = np.zeros((256, 256), np.int64)
