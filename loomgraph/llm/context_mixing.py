@@ -7,7 +7,8 @@ longer contexts have seen) selects, and refined by an adaptive probability map.
 with the corpus count of the word and the document's own history are mixed by their posterior, which each token updates.
 
 All statistics cover the whole training part and do not depend on how the input is split into partitions: token counts are exact, and
-context tables, of a fixed number of slots, learn each distinct word with its number of occurrences. Of the tokens, at most ``known_words`` of the most
+context tables, at least twice as large as the number of distinct contexts and nodes, learn each distinct word with its number of
+occurrences. Of the tokens, at most ``known_words`` of the most
 frequent ones travel to the tasks; the counts of all others meet their occurrences in a shuffled join, and there enter the
 mixture as those of the frequent ones do, so that no result depends on ``known_words``. Mixing weights and the
 map are fitted by passes over all decisions of the training part, each without itself in the counts that predict it; passes add up over
@@ -34,7 +35,8 @@ from .common import materialize
 
 STOP = 32  # ends a word: no word holds it
 ORDERS = (1, 2, 3, 5)
-TABLE_BITS = 20
+TABLE_BITS = 20  # at least; more as more contexts are there
+SPARSE = 16  # contexts of which one is counted to size the tables
 SEGMENT = 4096
 GATES = 9
 BUCKETS = 33
@@ -90,22 +92,41 @@ def letters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return word, letter, last
 
 
-def decisions(word: np.ndarray, letter: np.ndarray, last: list[np.ndarray], codes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(word, bit, slots per order) of every binary decision."""
-    start, length, nodes, bits = codes
+def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, letter with its last letters packed into one number) of each letter and stop. All decisions of a letter follow from it."""
+    word, letter, last = letters(data, start, end)
+    gram = letter.astype(np.int64)
+    for back, x in enumerate(last):
+        gram |= x.astype(np.int64) << (8 * back + 8)
+    return word, gram
+
+
+def unpacked(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(index, letter, last letters) of packed letters."""
+    letter, *last = (((gram >> (8 * i)) & 255).astype(np.uint8) for i in range(max(ORDERS) + 1))
+    return np.arange(len(gram)), letter, last
+
+
+def contexts(last: list[np.ndarray], order: int, mult: np.uint64) -> np.ndarray:
+    """Hash of the last ``order`` letters."""
+    context = np.full(len(last[0]), order, np.uint64)
+    for back in range(order):
+        context = (context + last[back]) * mult
+    return context ^ (context >> np.uint64(29))
+
+
+def decisions(word: np.ndarray, letter: np.ndarray, last: list[np.ndarray], codes, bits: list[int]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(word, bit, slots per order) of every binary decision; order 1 has a slot for each letter and node, others 2**bits."""
+    start, length, nodes, ways = codes
     key = last[0].astype(np.int64) * 256 + letter
     count = length[key]
     offset = np.cumsum(count) - count
     at = np.repeat(start[key] - offset, count) + np.arange(int(count.sum()))
-    node, bit = nodes[at], bits[at]
+    node, bit = nodes[at], ways[at]
     slots = [np.repeat(last[0].astype(np.int64) << 8, count) + node]
-    for order, mult in zip(ORDERS[1:], _MULT, strict=False):
-        context = np.full(len(letter), order, np.uint64)
-        for back in range(order):
-            context = (context + last[back]) * mult
-        context ^= context >> np.uint64(29)
-        mixed = (np.repeat(context, count) + node.astype(np.uint64)) * _MULT[3]
-        slots.append((mixed >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
+    for order, mult, width in zip(ORDERS[1:], _MULT, bits[1:], strict=False):
+        hashed = (np.repeat(contexts(last, order, mult), count) + node.astype(np.uint64)) * _MULT[3]
+        slots.append((hashed >> np.uint64(64 - width)).astype(np.int64))
     return np.repeat(word, count), bit, slots
 
 
@@ -128,6 +149,9 @@ class Mixer:
     weights: np.ndarray
     refined: np.ndarray
 
+    def widths(self) -> list[int]:
+        return [len(n).bit_length() - 1 for n in self.counts]
+
     def inputs(self, bit: np.ndarray, slots: list[np.ndarray], left_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """(gate, inputs of the mixture) of decisions; left out: without the occurrence that is predicted."""
         x, seen = [], []
@@ -150,19 +174,28 @@ class Mixer:
     def bits(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Natural logarithm of each word's probability, its stop included."""
         out = np.zeros(len(start))
-        for part in _slices(end - start + 1, 100_000):
-            word, bit, slots = decisions(*letters(data, start[part], end[part]), self.codes)
+        for part in _slices(end - start + 1, 2_000_000):
+            word, gram = grams(data, start[part], end[part])
+            gram, of = np.unique(gram, return_inverse=True)
+            out[part] = np.bincount(word, weights=self.logs(gram)[of], minlength=part.stop - part.start)
+        return out
+
+    def logs(self, gram: np.ndarray) -> np.ndarray:
+        """Natural logarithm of each packed letter's probability."""
+        out = np.zeros(len(gram))
+        for i in range(0, len(gram), 50_000):
+            index, bit, slots = decisions(*unpacked(gram[i : i + 50_000]), self.codes, self.widths())
             gate, x = self.inputs(bit, slots, False)
             p = refine(self.mix(gate, x), gate, self.refined)
             np.subtract(1, p, out=p, where=bit == 0)
-            out[part] = np.bincount(word, weights=np.log(p), minlength=part.stop - part.start)
+            out[i : i + 50_000] = np.bincount(index, weights=np.log(p), minlength=min(50_000, len(gram) - i))
         return out
 
-    def slopes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """By gate: loss, gradient and curvature of the weights over all decisions of words that occur ``times``."""
+    def slopes(self, gram: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """By gate: loss, gradient and curvature of the weights over all decisions of letters that occur ``times``."""
         m = self.weights.shape[1]
         out = np.zeros((GATES, 1 + m + m * m))
-        word, bit, slots = decisions(*letters(data, start, end), self.codes)
+        word, bit, slots = decisions(*unpacked(gram), self.codes, self.widths())
         gate, x = self.inputs(bit, slots, True)
         n = times[word].astype(float)
         mixed = np.clip(self.mix(gate, x), -12, 12)
@@ -176,9 +209,9 @@ class Mixer:
                 out[g, 1 + m :] = ((v * (n[at] * p[at] * (1 - p[at]))) @ v.T).ravel()
         return out
 
-    def outcomes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Of the map's places: decisions and ones among all decisions of words that occur ``times``."""
-        word, bit, slots = decisions(*letters(data, start, end), self.codes)
+    def outcomes(self, gram: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of the map's places: decisions and ones among all decisions of letters that occur ``times``."""
+        word, bit, slots = decisions(*unpacked(gram), self.codes, self.widths())
         gate, x = self.inputs(bit, slots, True)
         low, part = _bucket(self.mix(gate, x))
         near = gate * BUCKETS + low + (part > 0.5)
@@ -208,7 +241,7 @@ _CENTERS = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
 def fit(over, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and then the map, over all training decisions, each without itself in the counts that predict it.
 
-    ``over(name, weights)`` is the sum of Mixer's ``slopes`` or ``outcomes`` over all training words: what a pass gathers adds up, in any
+    ``over(name, weights)`` is the sum of Mixer's ``slopes`` or ``outcomes`` over all training letters: what a pass gathers adds up, in any
     order and partition. A pass moves each gate's weights by a Newton step from where they are; a step that made the loss worse is halved.
     """
     m = len(_START)
@@ -222,7 +255,7 @@ def fit(over, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
         slope = got[:, 1 : 1 + m] + best - _START
         newton = -np.linalg.solve(got[:, 1 + m :].reshape(GATES, m, m) + np.eye(m), slope[:, :, None])[:, :, 0]
         step = np.where(better[:, None], newton, step / 2)
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     n, ones = over("outcomes", best).T
     return best, ((ones.reshape(GATES, -1) + 20 * _CENTERS) / (n.reshape(GATES, -1) + 20)).clip(1e-5, 1 - 1e-5)
@@ -233,9 +266,9 @@ def fit_mixer(codes, counts: list[np.ndarray], words: list[bytes]) -> Mixer:
     tables = [np.ascontiguousarray(c.T, np.float32) for c in counts]
     end = np.cumsum([len(w) for w in words])
     start = end - [len(w) for w in words]
-    data = np.frombuffer(b"".join(words), np.uint8)
-    times = np.ones(len(words), np.int64)
-    return Mixer(codes, tables, *fit(lambda name, weights: getattr(Mixer(codes, tables, weights, _CENTERS), name)(data, start, end, times)))
+    _, gram = grams(np.frombuffer(b"".join(words), np.uint8), start, end)
+    times = np.ones(len(gram), np.int64)
+    return Mixer(codes, tables, *fit(lambda name, weights: getattr(Mixer(codes, tables, weights, _CENTERS), name)(gram, times)))
 
 
 def training(modulus: int, held: int) -> Column:
@@ -317,23 +350,73 @@ def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
     return sent.repartition("kind", "key").groupBy("kind", "key", "letters").agg(F.sum("n").alias("n"), *by_class)
 
 
-def _vocabulary(batch: pa.RecordBatch, limit: int = 300_000):
-    """(letters, start, end, n) of some of a batch's words at a time, about ``limit`` letters together."""
-    column = batch.column("letters")
-    _, offset, data = column.buffers()
-    offset = np.frombuffer(offset, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    n = batch.column("n").to_numpy()
-    for part in _slices(np.diff(offset) + 1, limit):
-        yield data, offset[:-1][part], offset[1:][part], n[part]
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first)
+
+
+def letter_counts(words: DataFrame) -> DataFrame:
+    """(gram, n): occurrences of each letter with its last letters, from all words (letters, n)."""
 
+    def run(batches):
+        held, size = [], 0
 
-def context_counts(words: DataFrame, codes) -> DataFrame:
-    """(segment, payload) of the context tables: each distinct word of the training part once, with its number of occurrences.
+        def flush():
+            key, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["gram", "n"])
 
-    A task holds the slots that its words use, and sends them in compressed segments, which are added up as they stream in.
+        for batch in batches:
+            column = batch.column("letters")
+            if not len(column):
+                continue
+            _, offset, data = column.buffers()
+            offset = np.frombuffer(offset, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            data, n = np.frombuffer(data, np.uint8), batch.column("n").to_numpy()
+            for part in _slices(np.diff(offset) + 1, 1_000_000):
+                word, gram = grams(data, offset[:-1][part], offset[1:][part])
+                held.append((gram, n[part][word]))
+                size += len(gram)
+                if size > 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return words.select("letters", "n").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def table_bits(runs: DataFrame, codes, least: int = TABLE_BITS) -> list[int]:
+    """Bits of each order's table: at least twice as many slots as distinct (context, node) pairs of the training part.
+
+    The pairs of one context in SPARSE are counted exactly; this decides about sizes only.
     """
-    segments = (1 << TABLE_BITS) // SEGMENT
+
+    def run(batches):
+        start, length, nodes, _ = codes
+        for batch in batches:
+            _, letter, last = unpacked(batch.column("gram").to_numpy())
+            key = last[0].astype(np.int64) * 256 + letter
+            for k, mult in zip(range(1, len(ORDERS)), _MULT, strict=False):
+                context = contexts(last, ORDERS[k], mult)
+                at = np.flatnonzero(tk.mix(context) % np.uint64(SPARSE) == 0)
+                count = length[key[at]]
+                node = nodes[np.repeat(start[key[at]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+                pair = np.unique((np.repeat(context[at], count) + node.astype(np.uint64)) * _MULT[3])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), k, np.int32)), pa.array(pair.view(np.int64))], names=["order", "pair"])
+
+    found = runs.select("gram").mapInArrow(run, "order int, pair long").distinct().groupBy("order").count().collect()  # a row an order
+    pairs = {r["order"]: r["count"] * SPARSE for r in found}
+    return [16] + [max(least, (2 * pairs.get(k, 0)).bit_length()) for k in range(1, len(ORDERS))]
+
+
+def context_counts(runs: DataFrame, codes, bits: list[int]) -> DataFrame:
+    """(segment, payload) of the context tables: each distinct letter with its last letters once, with its number of occurrences.
+
+    A task holds the slots that its letters use, and sends them in compressed segments, which are added up as they stream in.
+    """
+    base = np.concatenate(([0], np.cumsum([1 << b for b in bits])))
 
     def run(batches):
         pack = zs.ZstdCompressor(level=1).compress
@@ -341,22 +424,16 @@ def context_counts(words: DataFrame, codes) -> DataFrame:
         held, size = [], 0
 
         def add():
-            key = np.concatenate([slot, *(h[0] for h in held)])
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], np.concatenate([total, *(h[1] for h in held)])[order]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            return key[first], np.add.reduceat(n, first)
+            return _summed(np.concatenate([slot, *(h[0] for h in held)]), np.concatenate([total, *(h[1] for h in held)]))
 
         for batch in batches:
-            for data, start, end, n in _vocabulary(batch):
-                word, bit, slots = decisions(*letters(data, start, end), codes)
-                key = np.concatenate([(((k << TABLE_BITS) + s) << 1) + bit for k, s in enumerate(slots)])
-                key, of = np.unique(key, return_inverse=True)
-                held.append((key, np.bincount(of, weights=np.tile(n[word], len(slots))).astype(np.int64)))  # exact below 2**53
-                size += len(key)
-                if size > 2_000_000 + len(slot):
-                    slot, total = add()
-                    held, size = [], 0
+            index, bit, slots = decisions(*unpacked(batch.column("gram").to_numpy()), codes, bits)
+            n = batch.column("n").to_numpy()[index]
+            held.append((np.concatenate([((base[k] + s) << 1) + bit for k, s in enumerate(slots)]), np.tile(n, len(slots))))
+            size += len(held[-1][0])
+            if size > 2_000_000 + len(slot):
+                slot, total = add()
+                held, size = [], 0
         if held:
             slot, total = add()
         at = slot // (2 * SEGMENT)
@@ -380,11 +457,11 @@ def context_counts(words: DataFrame, codes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["segment", "payload"])
 
     schema = "segment long, payload binary"
-    return words.select("letters", "n").mapInArrow(run, schema).repartition("segment").mapInArrow(add_up, schema)
+    return runs.mapInArrow(run, schema).repartition("segment").mapInArrow(add_up, schema)
 
 
-def over_words(words: DataFrame, sent):
-    """What :func:`fit` asks for, over a table of words (letters, n); ``sent`` is the broadcast (codes, tables)."""
+def over_letters(runs: DataFrame, sent):
+    """What :func:`fit` asks for, over the table of letters (gram, n); ``sent`` is the broadcast (codes, tables)."""
 
     def over(name: str, weights: np.ndarray) -> np.ndarray:
         m = weights.shape[1]
@@ -394,11 +471,10 @@ def over_words(words: DataFrame, sent):
             ask = getattr(Mixer(*sent.value, weights, _CENTERS), name)
             total = np.zeros(shape)
             for batch in batches:
-                for part in _vocabulary(batch, 100_000):
-                    total += ask(*part)
+                total += ask(batch.column("gram").to_numpy(), batch.column("n").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["payload"])
 
-        got = words.select("letters", "n").mapInArrow(run, "payload binary").collect()  # a small row a task
+        got = runs.mapInArrow(run, "payload binary").collect()  # a small row a task
         return np.sum([np.frombuffer(r["payload"]).reshape(shape) for r in got] + [np.zeros(shape)], axis=0)
 
     return over
@@ -450,17 +526,19 @@ def learn(counts: DataFrame, known_words: int):
     key, n, classes = key[order], table.column("n").to_numpy()[order], np.stack([table.column(c).to_numpy()[order] for c in names], 1)
     del table
     codes = huffman_codes(pairs.reshape(256, 256))
-    segments = (1 << TABLE_BITS) // SEGMENT
-    held_tables = np.zeros((len(ORDERS) * segments, SEGMENT, 2), np.float32)
-    for r in materialize(context_counts(words, codes)).toLocalIterator():
-        held_tables[r["segment"]] = np.frombuffer(r["payload"], np.float32).reshape(SEGMENT, 2)
-    sent = counts.sparkSession.sparkContext.broadcast((codes, list(held_tables.reshape(len(ORDERS), -1, 2))))
-    del held_tables
+    runs = materialize(letter_counts(words))
+    bits = table_bits(runs, codes)
+    tables = [np.zeros((1 << b, 2), np.float32) for b in bits]
+    segments = [table[i : i + SEGMENT] for table in tables for i in range(0, len(table), SEGMENT)]
+    for r in materialize(context_counts(runs, codes, bits)).toLocalIterator():
+        segments[r["segment"]][:] = np.frombuffer(r["payload"], np.float32).reshape(SEGMENT, 2)
+    sent = counts.sparkSession.sparkContext.broadcast((codes, tables))
+    del tables, segments
     distinct = sum(r["words"] for r in histogram) + (documents > 0)
     total = sum(r["n"] for r in histogram) + documents
     known = (total - documents) / max(total, 1)
     class_sizes = np.array([sum(r[c] for r in histogram) for c in names]) / max(known, 1e-9)
-    return Model(*fit(over_words(words, sent)), key, n, classes, Scale(total, distinct, documents, class_sizes)), sent
+    return Model(*fit(over_letters(runs, sent)), key, n, classes, Scale(total, distinct, documents, class_sizes)), sent
 
 
 def expert_logs(spelled: np.ndarray, count: np.ndarray, classes: np.ndarray, of: np.ndarray, history: np.ndarray, scale: Scale):

@@ -121,7 +121,7 @@ def test_context_tables_weigh_occurrences(spark):
     counts = context_mixing.materialize(context_mixing.token_counts(context_mixing._rows(docs, 10**6, 10**6)))
     pairs = np.zeros((256, 256), np.int64)
     codes = context_mixing.huffman_codes(pairs)
-    first = context_mixing.context_counts(counts.filter("kind = 0"), codes).collect()
+    first = context_mixing.context_counts(context_mixing.letter_counts(counts.filter("kind = 0")), codes, [16, 20, 20, 20]).collect()
     total = sum(np.frombuffer(r["payload"], np.float32).sum() for r in first)
     assert total == len(context_mixing.ORDERS) * sum(n * sum(codes[1][a * 256 + b] for a, b in zip(b" " + w, w + b" ", strict=True)) for w, n in ((b"aab", 3), (b"b", 1)))
 
@@ -133,7 +133,7 @@ def test_mixing_weights_are_fitted_on_every_decision(spark):
     codes = context_mixing.huffman_codes(np.ones((256, 256), np.int64))
     tables = [np.ascontiguousarray(np.random.default_rng(k).integers(0, 40, (1 << context_mixing.TABLE_BITS, 2)), np.float32) for k in range(4)]
     words = spark.createDataFrame([(bytearray(w), n) for w, n in vocabulary], "letters binary, n long").repartition(5)
-    over = context_mixing.over_words(words, spark.sparkContext.broadcast((codes, tables)))
+    over = context_mixing.over_letters(context_mixing.letter_counts(words), spark.sparkContext.broadcast((codes, tables)))
     weights, refined = context_mixing.fit(over)
     mixer = context_mixing.fit_mixer(codes, [t.T for t in tables], [w for w, n in vocabulary for _ in range(n)])
     assert np.allclose(weights, mixer.weights, rtol=1e-6, atol=1e-9) and np.allclose(refined, mixer.refined, rtol=1e-6)
@@ -142,6 +142,21 @@ def test_mixing_weights_are_fitted_on_every_decision(spark):
     assert over("outcomes", weights)[:, 0].sum() == sum(n * sum(codes[1][a * 256 + b] for a, b in zip(b" " + w, w + b" ", strict=True)) for w, n in vocabulary)
 
 
+def test_context_tables_grow_with_contexts(spark):
+    rnd = random.Random(6)
+    codes = context_mixing.huffman_codes(np.ones((256, 256), np.int64))
+    sizes = []
+    for n in (100, 6000):
+        some = [bytes(rnd.randrange(97, 123) for _ in range(8)) for _ in range(n)]
+        words = spark.createDataFrame([(bytearray(w), 1) for w in some], "letters binary, n long")
+        bits = context_mixing.table_bits(context_mixing.letter_counts(words), codes, 12)
+        end = np.cumsum([len(w) for w in some])
+        _, _, slots = context_mixing.decisions(*context_mixing.letters(np.frombuffer(b"".join(some), np.uint8), end - 8, end), codes, [16, 60, 60, 60])
+        assert all((1 << b) >= 1.6 * len(np.unique(s)) for b, s in zip(bits[1:], slots[1:], strict=True))
+        sizes.append(bits[3])
+    assert sizes[0] + 4 <= sizes[1]
+
+
 def test_spelling_is_a_distribution():
     """Probabilities of all one- and two-letter words over a small alphabet add up to less than one, with none lost to bits."""
     pairs = np.zeros((256, 256), np.int64)
