@@ -13,8 +13,8 @@ passes on the few pairs that may link. A signature whose sets are mostly alike,
 only; sets that lie in different components after that are compared further. No group is ever expanded into all its pairs.
 
 Edge cases: a document without words has an empty set and links with nothing; with fewer words than a shingle, the whole sequence
-is its one element; repeated rows and equal texts are one class; a null doc_id is a row of its own kind and links as -1 would; an empty
-table gives an empty result; texts are never cut.
+is its one element; repeated rows and equal texts are one class; a row with a null doc_id links as any
+other, and names a component only if all of its rows have none; an empty table gives an empty result; texts are never cut.
 """
 
 from __future__ import annotations
@@ -134,7 +134,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def profiles(doc: np.ndarray, element: np.ndarray, n: int) -> pa.Array:
@@ -149,7 +150,7 @@ def profiles(doc: np.ndarray, element: np.ndarray, n: int) -> pa.Array:
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp, fp2, profile of every document."""
+    """doc_id, key (of the text), n_shingles, fp, fp2, profile of every document."""
 
     def run(batches):
         for batch in batches:
@@ -157,10 +158,10 @@ def set_classes(docs: DataFrame) -> DataFrame:
             for c in tk.chunks(batch.column("text"), 500_000):
                 doc, element = shingle_sets(c)
                 size, fp, fp2 = fingerprints(doc, element, c.n_docs)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), profiles(doc, element, c.n_docs)], names=["doc_id", "n_shingles", "fp", "fp2", "profile"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), batch.column("key").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), profiles(doc, element, c.n_docs)], names=["doc_id", "key", "n_shingles", "fp", "fp2", "profile"])
                 first += c.n_docs
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, fp long, fp2 long, profile binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, fp long, fp2 long, profile binary")
 
 
 def signed_sets(docs: DataFrame) -> DataFrame:
@@ -398,8 +399,9 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     Elements travel as 40 bits of their hash, packed: two sets of n elements then show a false common one with probability
     n * n / 2**40 at most.
     """
-    chosen = materialize(classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    if chosen.count() <= 1_000_000:  # two numbers a row; a larger table is a shuffled join
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    chosen = materialize(classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(least.alias("row")).select("fp", F.col("row.doc_id").alias("asked_id"), F.col("row.key").alias("asked_key")))
+    if chosen.count() <= 1_000_000:  # three numbers a row; a larger table is a shuffled join
         chosen = F.broadcast(chosen)
 
     def run(batches):
@@ -409,14 +411,15 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
             for c in tk.chunks(batch.column("text"), 500_000):
                 doc, element = shingle_sets(c)
                 size, fp, _ = fingerprints(doc, element, c.n_docs)
-                ok = fp.view(np.int64) == asked[first : first + c.n_docs]  # a doc_id may stand for several texts
+                ok = fp.view(np.int64) == asked[first : first + c.n_docs]  # keys may clash
                 offset = np.concatenate(([0], np.cumsum(size))) * PACKED
                 packed = np.ascontiguousarray(element.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED])
                 column = pa.Array.from_buffers(pa.binary(), c.n_docs, [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
                 yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(size, pa.int64()), column], names=["fp", "size", "elements"]).filter(pa.array(ok))
                 first += c.n_docs
 
-    found = _texts(docs).join(chosen, "doc_id").select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
+    same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("key") == F.col("asked_key"))
+    found = _texts(docs).join(chosen, same).select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
     return found  # a repeated row gives its set again, and at worst the same edge again
 
 

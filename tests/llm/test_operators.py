@@ -278,6 +278,13 @@ def test_partenum_edges(spark):
     assert partenum.near_duplicates(empty(spark)).count() == 0
 
 
+def test_partenum_links_rows_without_id(spark):
+    base = [f"n{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (7, " ".join([*base, "tail"])), (None, " ".join(base[::-1])), (None, " ".join([*base[::-1], "one"])), (9, " ".join([*base[::-1], "one", "two"])), (3, "not like these at all")]
+    got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 56, 7), (0, 56, 9), (0, 57, 9), (3, 1, 3), (7, 57, 7), (9, 58, 9)]
+
+
 def test_token_scan_over_binary_files(spark, tmp_path):
     lengths = [3, 0, 0, 7, 1, 12, 5]
     ids = [x for n in lengths for x in [*range(1, n + 1), 50256]] + [5, 6]
