@@ -14,7 +14,7 @@ only; sets that lie in different components after that are compared further. No
 
 Edge cases: a document without words has an empty set and links with nothing; with fewer words than a shingle, the whole sequence
 is its one element; repeated rows and equal texts are one class; a row with a null doc_id links as any
-other, and names a component only if all of its rows have none; an empty table gives an empty result; texts are never cut.
+other, and a component's name is null only if no row of it has a doc_id; an empty table gives an empty result; texts are never cut.
 """
 
 from __future__ import annotations
@@ -399,9 +399,11 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     Elements travel as 40 bits of their hash, packed: two sets of n elements then show a false common one with probability
     n * n / 2**40 at most.
     """
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    chosen = materialize(classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp").agg(least.alias("row")).select("fp", F.col("row.doc_id").alias("asked_id"), F.col("row.key").alias("asked_key")))
-    if chosen.count() <= 1_000_000:  # three numbers a row; a larger table is a shuffled join
+    rows = classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp", "doc_id", "key").agg(F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies"))
+    chosen = materialize(rows.groupBy("fp").agg(least.alias("row")).select("fp", F.col("row.doc_id").alias("asked_id"), F.col("row.key").alias("asked_key"), (F.col("row.copies") > 1).alias("repeated")))
+    some = not chosen.filter("repeated").isEmpty()
+    if chosen.count() <= 1_000_000:  # four values a row; a larger table is a shuffled join
         chosen = F.broadcast(chosen)
 
     def run(batches):
@@ -419,8 +421,10 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 first += c.n_docs
 
     same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("key") == F.col("asked_key"))
-    found = _texts(docs).join(chosen, same).select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
-    return found  # a repeated row gives its set again, and at worst the same edge again
+    found = _texts(docs).join(chosen, same).select("fp", "repeated", "text")
+    if some:  # of a row that is repeated, one stays: each set is given once
+        found = found.filter("not repeated").unionByName(found.filter("repeated").dropDuplicates(["fp"]))
+    return found.select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -285,6 +285,15 @@ def test_partenum_links_rows_without_id(spark):
     assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in got) == [(0, 56, 7), (0, 56, 9), (0, 57, 9), (3, 1, 3), (7, 57, 7), (9, 58, 9)]
 
 
+def test_partenum_compares_a_repeated_row_once(spark):
+    text = " ".join(f"r{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text)] * 3 + [(None, text + " x")] * 2 + [(2, text + " x y")], "doc_id long, text string")
+    classes = partenum.materialize(partenum.set_classes(docs))
+    sets = partenum.class_sets(docs, classes, classes.select("fp")).collect()
+    assert sorted(r["size"] for r in sets) == [36, 37, 38]
+    assert {r["component_id"] for r in partenum.near_duplicates(docs).collect()} == {1}
+
+
 def test_token_scan_over_binary_files(spark, tmp_path):
     lengths = [3, 0, 0, 7, 1, 12, 5]
     ids = [x for n in lengths for x in [*range(1, n + 1), 50256]] + [5, 6]
