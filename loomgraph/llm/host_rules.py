@@ -1,7 +1,8 @@
 """Host-level quality rules: rule failures by host, shrunk by an empirical beta prior, joined back to documents.
 
-Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; repeated rows each
-count and each get a verdict; an empty table gives an empty result; extra columns of the input are left aside.
+Edge cases: a null or empty text has no words and fails the base rules; a very long text is measured whole; a null host is a host
+of its own; rows with a null or shared doc_id, and repeated rows, each count and each get a verdict; an empty table gives an empty
+result; extra columns of the input, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -57,10 +58,12 @@ def chunk_metrics(c: tk.Chunk, width: int = 8) -> dict[str, np.ndarray]:
 
 
 def _measure(batches):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     for batch in batches:
         parts = [chunk_metrics(c) for c in tk.chunks(batch.column("text"))]
-        arrays = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.empty(0), pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("host").cast(pa.string()), *arrays], names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+        arrays = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.empty(0), pa.int64()) for k in names]
+        kept = [k for k in batch.schema.names if k != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *arrays], names=[*kept, *names])
 
 
 def text_metrics(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -72,33 +75,53 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def host_verdicts(measured: DataFrame, reject_rate: float = 0.5, min_strength: float = 2.0) -> DataFrame:
-    """One row per host: documents, failures, shrunk failure rate and verdict.
+def host_verdicts(measured: DataFrame, factor: float = 2.0, z: float = 1.645, min_strength: float = 2.0) -> DataFrame:
+    """One row per host: documents, failures, shrunk failure rate, its lower bound and the verdict.
 
     The prior Beta(m*k, (1-m)*k) has the mean m of all documents; its strength k is fitted by moments: with the variance v of
     host rates (weighted by documents), k = m(1-m)/v - 1, at least ``min_strength``, and at most the number of documents. The
-    verdict rejects a host whose shrunk rate reaches ``reject_rate``, so that a small host needs more evidence than a large one.
+    verdict rejects a host that is worse than the corpus by ``factor`` with near certainty: the odds of failure at the lower bound
+    of its posterior (mean less ``z`` deviations: 95% of it lies above) exceed ``factor`` times the odds at m. A small host
+    therefore needs more evidence than a large one.
     """
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(base_failed().cast("long")).alias("host_failed"))
+    hosts = materialize(hosts)
     rate = F.col("host_failed") / F.col("host_docs")
     n, failed, squares = hosts.agg(F.sum("host_docs"), F.sum("host_failed"), F.sum(rate * F.col("host_failed"))).first()
     if not n:
-        return hosts.withColumns({"host_rate": F.lit(None).cast("double"), "host_rejected": F.lit(False)})
+        none = F.lit(None).cast("double")
+        return hosts.withColumns({"host_rate": none, "host_low": none, "host_rejected": F.lit(False)})
     mean = failed / n
     variance = max(squares / n - mean * mean, 0.0)
     strength = min(float(n), max(min_strength, mean * (1 - mean) / variance - 1)) if variance > 0 else float(n)
     shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", F.col("host_rate") >= reject_rate)
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("host_docs") + F.lit(strength + 1)))
+    hosts = hosts.withColumn("host_rate", shrunk).withColumn("host_low", F.col("host_rate") - F.lit(z) * deviation)
+    return hosts.withColumn("host_rejected", F.col("host_low") * F.lit(1 - mean) > F.lit(factor * mean) * (1 - F.col("host_low")))
 
 
-def judge_documents(docs: DataFrame, host: str = "source", reject_rate: float = 0.5, small_hosts: int = 100_000) -> DataFrame:
-    """Measures each document, judges its host, and joins the verdict back.
+def _with_verdicts(measured: DataFrame, verdicts: DataFrame, small_hosts: int) -> DataFrame:
+    """The host table is broadcast only while it has at most ``small_hosts`` rows (counted); beyond that it is a shuffled join,
+    whose hot hosts adaptive execution splits."""
+    verdicts = verdicts.withColumnRenamed("host", "verdict_host")
+    side = F.broadcast(verdicts) if verdicts.count() <= small_hosts else verdicts
+    joined = measured.join(side, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
+    return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~F.coalesce("host_rejected", F.lit(False))})
 
-    The host table is broadcast only while it has at most ``small_hosts`` rows (counted); beyond that it is a shuffled join,
-    whose hot hosts adaptive execution splits.
-    """
+
+def judge_documents(docs: DataFrame, host: str = "source", factor: float = 2.0, small_hosts: int = 100_000) -> DataFrame:
+    """Measures each document, judges its host, and joins the verdict back."""
     measured = materialize(text_metrics(docs, host))
-    verdicts = materialize(host_verdicts(measured, reject_rate)).withColumnRenamed("host", "verdict_host")
-    side = F.broadcast(verdicts) if verdicts.count() <= small_hosts else verdicts
-    out = measured.join(side, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"), "host_rate", "host_rejected")
+    judged = _with_verdicts(measured, host_verdicts(measured, factor), small_hosts)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_low", "host_rejected")
+
+
+def kept_rows(docs: DataFrame, host: str = "source", factor: float = 2.0, small_hosts: int = 100_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules keep. Texts are measured twice: for the hosts' rates, then on the way through,
+    so that each row has its own verdict and no text is written in between."""
+    verdicts = host_verdicts(text_metrics(docs, host), factor)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    schema = rows.drop("text").schema
+    for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
+        schema = schema.add(name, "long")
+    return _with_verdicts(rows.mapInArrow(_measure, schema), verdicts, small_hosts).filter("kept").select("row.*")

@@ -14,14 +14,15 @@ only; sets that lie in different components after that are compared further. No
 
 Edge cases: a document without words has an empty set and links with nothing; with fewer words than a shingle, the whole sequence
 is its one element; repeated rows and equal texts are one class; a row with a null doc_id links as any
-other, and a component's name is null only if no row of it has a doc_id; an empty table gives an empty result; texts are never cut.
+other, and a component's name is null only if no row of it has a doc_id; an empty table gives an empty result; texts are never cut;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -30,11 +31,12 @@ from .common import materialize
 U64 = np.uint64
 WIDTH = 5
 CELLS = 96
-PACKED = 5
+PACKED = 8  # bytes of an element
 DENSE = 1  # pairs passed on for each set of a signature; with more, a centre stands for the group
 WIDE = 2048  # sets of a signature whose profiles are all compared; those of one with more are dealt to bins of about half as many
 HELD = 65_536  # sets of one signature that a task holds
 ROUNDS = 3  # with another centre each; the last compares what is still apart
+PLACE = 4096  # rows of one component's signatures that meet in a task, about
 N2, K2 = 2, 1
 
 
@@ -291,7 +293,8 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
     group's centre of this turn, and a row with a and b null that says that the signature needs another look. The sets of a signature
     with more than WIDE are dealt anew in each turn to bins of about WIDE / 2, each a group of its own, so that no task holds them
     all; such a signature always needs another look (after the last turn, the one by rare elements).
-    Signatures with the same least set meet in a few tasks, so that a pair with many signatures in common leaves a row in each of these only.
+    Signatures with the same least set meet in as few tasks as PLACE rows each allow, so that a pair with many signatures in common
+    leaves a row in each of these only.
     """
 
     last = turn == ROUNDS - 1
@@ -360,15 +363,17 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
     bins = F.ceil(F.col("n") * 2 / WIDE)
     binned = rows.withColumn("bin", F.when(F.col("n") > WIDE, F.pmod(F.xxhash64("fp", F.lit(turn)), bins)).otherwise(F.lit(-1).cast("long")))
-    near = F.pmod(F.xxhash64("lead", "bin", F.col("sig").bitwiseAND(F.lit(3 if turn else 7))), F.lit(1 << 20))
+    heavy = materialize(rows.groupBy("lead").agg(F.count("*").alias("rows")).filter(F.col("rows") > PLACE).select("lead", F.ceil(F.col("rows") / PLACE).alias("places")))
+    if heavy.count() <= 1_000_000:  # two numbers a row; a larger table is a shuffled join
+        heavy = F.broadcast(heavy)
+    binned = binned.join(heavy, "lead", "left")
+    near = F.xxhash64("lead", "bin", F.pmod(F.xxhash64("sig"), F.coalesce("places", F.lit(1).cast("long"))))
     placed = binned.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "bin", "fp")
     return placed.select("sig", "bin", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
 
 
 def unpacked(elements: bytes) -> np.ndarray:
-    wide = np.zeros((len(elements) // PACKED, 8), np.uint8)
-    wide[:, 8 - PACKED :] = np.frombuffer(elements, np.uint8).reshape(-1, PACKED)
-    return wide.view(">u8").ravel().astype(np.int64)
+    return np.frombuffer(elements, ">u8").astype(np.uint64)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -396,8 +401,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(fp, size, elements in order) of the wanted sets, computed again from the text of one document of each.
 
-    Elements travel as 40 bits of their hash, packed: two sets of n elements then show a false common one with probability
-    n * n / 2**40 at most.
+    Elements travel as the 64 bits of their hash, which also made the sets.
     """
     rows = classes.join(wanted.distinct(), "fp", "left_semi").groupBy("fp", "doc_id", "key").agg(F.count("*").alias("copies"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies"))
@@ -415,8 +419,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
                 size, fp, _ = fingerprints(doc, element, c.n_docs)
                 ok = fp.view(np.int64) == asked[first : first + c.n_docs]  # keys may clash
                 offset = np.concatenate(([0], np.cumsum(size))) * PACKED
-                packed = np.ascontiguousarray(element.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :PACKED])
-                column = pa.Array.from_buffers(pa.binary(), c.n_docs, [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+                column = pa.Array.from_buffers(pa.binary(), c.n_docs, [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(element.astype(">u8").tobytes())])
                 yield pa.RecordBatch.from_arrays([_signed(fp), pa.array(size, pa.int64()), column], names=["fp", "size", "elements"]).filter(pa.array(ok))
                 first += c.n_docs
 
@@ -427,11 +430,12 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     return found.select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, label): the least node that each can reach. Least labels of neighbours, then of labels, until nothing changes."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label): the least node that each can reach. Least labels of neighbours, then of labels, until nothing changes: labels
+    only fall, so it ends."""
     both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("heard")), "other").groupBy("node").agg(F.min("heard").alias("heard"))
         nearer = labels.join(heard, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -439,7 +443,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if nearer.filter(F.col("was") != F.col("label")).isEmpty():
             return nearer.select("node", "label")
         labels = nearer.select("node", "label")
-    raise RuntimeError("components did not settle")
 
 
 def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -459,6 +462,11 @@ def _rare_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links of similarity 0.8 or more reach."""
+    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, label (of the component; null without words) and component_id of every row."""
     classes = materialize(set_classes(docs))
     shared = materialize(shared_signatures(signed_sets(docs)))
     sets = classes.filter("n_shingles > 0").groupBy("fp").agg(F.first("n_shingles").alias("size"), F.first("profile").alias("profile"))
@@ -491,15 +499,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(more)
         again = found.filter("a is null").select("sig").distinct()
     if edges.isEmpty():
-        roots = classes.filter("n_shingles > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("component_id"))
+        roots = classes.filter("n_shingles > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("component_id")).withColumn("label", F.col("fp"))
     else:
         labels = components(edges)
         ids = classes.filter("n_shingles > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
         least = ids.groupBy("label").agg(F.min("least").alias("component_id"))
-        roots = ids.join(least, "label").select("fp", "fp2", "component_id")
+        roots = ids.join(least, "label").select("fp", "fp2", "component_id", "label")
     roots = materialize(roots)
-    placed = classes.filter("n_shingles > 0").select("doc_id", "n_shingles", "fp", "fp2").join(roots, ["fp", "fp2"]).select("doc_id", "n_shingles", "component_id")
-    return placed.unionByName(classes.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    columns = ["doc_id", "key", "n_shingles", "label", "component_id"]
+    placed = classes.filter("n_shingles > 0").select("doc_id", "key", "n_shingles", "fp", "fp2").join(roots, ["fp", "fp2"]).select(columns)
+    wordless = classes.filter("n_shingles = 0").select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return placed.unionByName(wordless)
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -508,6 +518,27 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return materialize(linked(pairs, materialize(class_sets(docs, classes, wanted))))
 
 
-def is_kept() -> Column:
-    """One document of each group stays: the one that names it."""
-    return F.col("doc_id") == F.col("component_id")
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each component one row stays, that of the least doc_id (nulls
+    last), then the least key of its text; rows without words all stay.
+
+    A row is told by its doc_id and a hash of its text, so that rows with a null or shared doc_id are judged each; of rows that are
+    equal in both, one stays for its component.
+    """
+    rows = materialize(grouped(docs).filter("label is not null").groupBy("label", "doc_id", "key").agg(F.count("*").alias("copies")))
+    least = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    judged = rows.join(least, "label").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
+    told = judged.filter("not stays or copies > 1").select(F.col("doc_id").alias("told_id"), F.col("key").alias("told_key"), "stays")
+    told = materialize(told)
+    names = docs.columns
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__key": F.xxhash64(F.col("text").cast("string"))})
+
+    def sided(table: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(table) if table.count() <= 500_000 else table  # three values a row; a larger table is a shuffled join
+        return keyed.join(side, F.col("__id").eqNullSafe(F.col("told_id")) & (F.col("__key") == F.col("told_key")), how)
+
+    plain = sided(told, "left_anti").select(names)
+    repeated = told.filter("stays")
+    if repeated.isEmpty():
+        return plain
+    return plain.unionByName(sided(repeated, "left_semi").dropDuplicates(["__id", "__key"]).select(names))

@@ -46,7 +46,7 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "key")
 
 
 def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op7_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host_rate", "host_rejected")
+    return host_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host_rate", "host_low", "host_rejected")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

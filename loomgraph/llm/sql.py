@@ -18,7 +18,7 @@ FROM d JOIN leaf ON d.h >> (60 - leaf.depth) = leaf.prefix
 _OP4 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '~')), 1, 15))::BIGINT AS key FROM documents),
+         ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '~') || ':' || coalesce(text, '~')), 1, 15))::BIGINT AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_rank FROM s),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(source_rank % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM r),
@@ -53,7 +53,9 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS x FROM f GROUP BY source),
 p AS (SELECT sum(n) AS n, sum(x) / sum(n) AS mean, greatest(sum(x * x / n) / sum(n) - (sum(x) / sum(n)) ** 2, 0) AS v FROM h),
 k AS (SELECT mean, CASE WHEN v > 0 THEN least(n, greatest(2.0, mean * (1 - mean) / v - 1)) ELSE n END AS strength FROM p),
-j AS (SELECT source, (x + mean * strength) / (n + strength) >= 0.5 AS rejected FROM h, k)
+b AS (SELECT source, mean, (x + mean * strength) / (n + strength) AS rate, n + strength AS weight FROM h, k),
+l AS (SELECT source, mean, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1)) AS low FROM b),
+j AS (SELECT source, low * (1 - mean) > 2.0 * mean * (1 - low) AS rejected FROM l)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM f JOIN j ON f.source IS NOT DISTINCT FROM j.source
 """

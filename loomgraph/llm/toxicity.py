@@ -246,8 +246,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_per_class: i
     return fit(sample[True], sample[False], share), share
 
 
-def score(docs: DataFrame, model: Model | None, share: float, modulus: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+def _scoring(model: Model | None, share: float):
+    """A map over batches with a column ``text``: all other columns, score and predicted."""
 
     def run(batches):
         tools = model.compressors() if model is not None else []
@@ -260,12 +260,26 @@ def score(docs: DataFrame, model: Model | None, share: float, modulus: int = 5)
                     x = (features(c, tools) - model.center) / model.scale
                     parts.append(1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -700, 700))))
             got = np.concatenate(parts) if parts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            kept = [k for k in batch.schema.names if k != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+
+    return run
 
+
+def score(docs: DataFrame, model: Model | None, share: float, modulus: int = 5) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(fold(modulus), F.lit(0)) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(_scoring(model, share), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
     model, share = train(docs, labels, modulus)
     return score(docs, model, share, modulus)
+
+
+def ordinary_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic; each row by its own text."""
+    model, share = train(docs, labels, modulus)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
+    return rows.mapInArrow(_scoring(model, share), schema).filter("predicted = 0").select("row.*")

@@ -370,3 +370,50 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none if none is not None else docs_like, "/root/testdata/sf0.01")
     assert none.count() == 0
+
+def test_pipeline_judges_each_row(spark):
+    """Null, shared and repeated ids, clashing columns: every row by its own content, in every stage."""
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(900)) for _ in range(n))
+    different = [text(60) for _ in range(4)]
+    rows = [(1, different[0]), (1, different[1]), (None, different[2]), (None, different[3]), (2, different[0] + " tail"), (None, different[2] + " tail"), (7, different[1]), (7, different[1]), (7, "too short"), (None, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key long, label string, n_words int")
+    by_name = dict(corpus_pipeline.STAGES)
+    labels = "/root/testdata/sf0.001"
+    found = lambda df: sorted((r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    every = sorted((i or 0, t or "") for i, t in rows)
+    assert found(by_name["toxicity"](spark, docs, labels)) == every
+    long = [x for x in every if len(x[1].split()) >= 20]
+    assert found(by_name["quality"](spark, docs, labels)) == long
+    near = by_name["near_duplicates"](spark, docs, labels)
+    assert near.columns == corpus_pipeline.COLUMNS
+    kept = found(near)
+    stays = different[2] if (0, different[2]) in kept else different[2] + " tail"  # the one whose text hashes lower
+    assert kept == sorted([(0, ""), (0, different[3]), (0, stays), (1, different[0]), (1, different[1]), (7, "too short"), (8, "")])
+    mixed = by_name["mixing"](spark, docs, labels)
+    times = collections.Counter(found(mixed))
+    asked = mixing.mix(docs).filter("taken > 0").collect()
+    assert sum(times.values()) == sum(r["taken"] // r["size"] for r in asked) and set(times) <= set(every)
+    assert by_name["bpe"](spark, docs, labels).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), labels).count() == 0
+
+
+def test_host_verdict_changes_for_a_named_host(spark):
+    """The hosts of the given table are alike and none is rejected; with half of src7's texts cut short, that one alone is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = host_rules.host_verdicts(host_rules.text_metrics(docs))
+    assert plain.filter("host_rejected").count() == 0 and plain.count() > 5
+    worse = docs.withColumn("text", F.when((F.col("source") == "src7") & (F.floor(F.col("doc_id") / 20) % 2 == 0), F.substring("text", 1, 30)).otherwise(F.col("text")))
+    assert [r["host"] for r in host_rules.host_verdicts(host_rules.text_metrics(worse)).filter("host_rejected").collect()] == ["src7"]
+    judged = host_rules.judge_documents(worse).join(worse.select("doc_id", "source"), "doc_id")
+    assert judged.filter("source = 'src7' and kept").count() == 0 and judged.filter("source = 'src7' and not base_failed").count() > 0
+    assert judged.filter("source <> 'src7' and kept <> not base_failed").count() == 0
+
+
+def test_mixing_cut_in_passes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (sorted((r["doc_id"], r["taken"]) for r in mixing.mix(docs, bins=b, last_rows=n).collect()) for b, n in ((1024, 20_000), (3, 2)))
+    assert one == many
