@@ -2,7 +2,13 @@
 
 Stages work on all that their predecessor kept, and their decisions take effect: toxic documents go, documents that the quality rules
 reject go, one document of each near-duplicate group stays, a document that the mix takes twice appears twice and one that it does not
-take goes, and what remains is encoded. A table without rows passes through every stage.
+take goes, and what remains is encoded.
+
+Edge cases, in every stage: each row is judged by its own content, so that rows with a null doc_id, or with one that other texts share,
+are kept or rejected one by one; rows that are equal in all columns are copies of each other, of which near_duplicates keeps one; a
+null or empty text scores as one without windows, fails the quality rules (fewer than 20 words), and would stay in near_duplicates and
+not be taken by the mix; texts of any length are worked on whole; columns beyond those of documents are left aside at the start; a
+table without rows passes through.
 """
 
 from __future__ import annotations
@@ -10,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, host_rules, mixing, partenum, toxicity
 from loomgraph.llm.common import materialize
@@ -19,45 +24,34 @@ from loomgraph.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _chosen(docs: DataFrame, ids: DataFrame, small: int = 2_000_000) -> DataFrame:
-    """The documents whose id is in ``ids`` (doc_id): a broadcast of at most ``small`` numbers, else a shuffled join."""
-    ids = materialize(ids.select(F.col("doc_id").cast("long").alias("kept_id")))
-    side = F.broadcast(ids) if ids.count() <= small else ids
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = toxicity.classify(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("toxic_id")).distinct()
-    rejected = materialize(rejected)
-    side = F.broadcast(rejected) if rejected.count() <= 2_000_000 else rejected
-    return docs.join(side, F.col("doc_id") == F.col("toxic_id"), "left_anti").select(COLUMNS)
+    return toxicity.ordinary_rows(docs.select(COLUMNS), labels)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = host_rules.judge_documents(docs.select("doc_id", "text", "source"))
-    rejected = judged.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("kept")
-    return _chosen(docs, rejected).select(COLUMNS)
+    return host_rules.kept_rows(docs.select(COLUMNS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = partenum.near_duplicates(docs).filter(partenum.is_kept()).select("doc_id").distinct()
-    return _chosen(docs, kept).dropDuplicates(["doc_id"]).select(COLUMNS)
+    return partenum.one_of_each_group(docs.select(COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).filter("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size"))).alias("times"))
-    taken = materialize(taken.select(F.col("doc_id").alias("taken_id"), F.col("times").cast("int").alias("times")))
-    side = F.broadcast(taken) if taken.count() <= 2_000_000 else taken
-    mixed = docs.join(side, F.col("doc_id") == F.col("taken_id"))
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    return mixing.mixed_rows(docs.select(COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, tokenizer_path(), keep_ids=True)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("toxicity", drop_toxic), ("quality", apply_quality_rules), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("bpe", encode)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality", apply_quality_rules),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 #: compression, PartEnum and BPE have no SQL form; tests/llm compares the stages with brute-force versions
 ORACLE_SQL = None
 
