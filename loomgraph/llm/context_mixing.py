@@ -1,21 +1,22 @@
 """Language-model scores by online logistic context mixing over hashed contexts.
 
-A text is a sequence of tokens: lower-cased words, then one end. A word's letters are coded by binary decisions along a Huffman
-tree that depends on the letter before. Each decision is predicted by several tables of counts, indexed by a hash of the last
-1, 2, 3 or 5 letters and the tree node; the predictions are mixed in the logistic domain by weights that a gate (how much the
-longer contexts have seen) selects, and refined by an adaptive probability map. Per document, experts that combine this spelling
-with the corpus count of the word and the document's own history are mixed by their posterior, which each token updates.
-
-All statistics cover the whole training part and do not depend on how the input is split into partitions: token counts are exact, and
-context tables, at least twice as large as the number of distinct contexts and nodes, learn each distinct word with its number of
-occurrences. Of the tokens, at most ``known_words`` of the most
-frequent ones travel to the tasks; the counts of all others meet their occurrences in a shuffled join, and there enter the
-mixture as those of the frequent ones do, so that no result depends on ``known_words``. Mixing weights and the
-map are fitted by passes over all decisions of the training part, each without itself in the counts that predict it; passes add up over
-tasks. They are fixed while a text is coded, so that a text's score depends on no order; what each token updates is the posterior.
+A text is a sequence of tokens: lower-cased words, then one end. A token is coded by binary decisions down a code tree of the frequent
+words, whose predictors, gated weights and adaptive map :mod:`.word_mixer` carries along each document, online. A word outside the tree
+is an escape, and then spelled: its letters are binary decisions along a Huffman tree that depends on the letter before, predicted by
+tables of counts indexed by a hash of the last 1, 2, 3 or 5 letters and the node, mixed in the logistic domain by weights that a gate
+(how much the longer contexts have seen) selects, and refined by a probability map. The spelling shares the escape with the exact
+training counts of the words outside the tree, and with those that the document has held before.
+
+All statistics cover the whole training part and do not depend on how the input is split into partitions: token counts are exact.
+A word is in the tree if it occurs at least twice and makes up at least 2**-``share_bits`` of all training tokens, so that the tree has
+at most 2**``share_bits`` words whatever the input's size; the counts of all others meet their occurrences in a shuffled join. The
+spelling has to code new words, and learns from each distinct training word once; its tables are at least twice as large as the number
+of distinct contexts and nodes, and its weights and map are fitted by passes over all those decisions, each without itself in the
+counts that predict it.
 
 Edge cases: a null or empty text is one end token; a null doc_id is trained on; words of any length are coded whole; repeated
-rows each give a row; without training texts every count is 0 and the tables are flat; an empty table gives an empty result.
+rows each give a row; without training texts every count is 0 and the tables are flat; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,21 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from . import word_mixer
 from .common import materialize
 
 STOP = 32  # ends a word: no word holds it
-ORDERS = (1, 2, 3, 5)
+ORDERS = (1, 2, 3, 4, 6)
 TABLE_BITS = 20  # at least; more as more contexts are there
 SPARSE = 16  # contexts of which one is counted to size the tables
 SEGMENT = 4096
 GATES = 9
 BUCKETS = 33
 CLASSES = 8
-#: occurrences by which a class's shares shrink towards those of all documents
-STRENGTH = 2000.0
-#: (weight of corpus counts, weight of the document's history, class whose counts it uses; -1: all documents) of each expert
-EXPERTS = ((0.9, 0.03, -1), (0.8, 0.12, -1), (0.55, 0.38, -1), *((0.8, 0.12, k) for k in range(CLASSES)), *((0.88, 0.05, k) for k in range(CLASSES)))
-_MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
+#: of an escaped word's probability: the largest share of what the document has escaped before, and how soon it is reached
+REPEATS, REPEATS_AFTER = 0.5, 4.0
+#: taken from each count of a word outside the tree, for words never seen
+DISCOUNT = 0.5
+END_KEY = np.uint64(0xE4D)
+_MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xFF51AFD7ED558CCD))
+_NODE = np.uint64(0xD6E8FEB86659FD93)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -125,7 +129,7 @@ def decisions(word: np.ndarray, letter: np.ndarray, last: list[np.ndarray], code
     node, bit = nodes[at], ways[at]
     slots = [np.repeat(last[0].astype(np.int64) << 8, count) + node]
     for order, mult, width in zip(ORDERS[1:], _MULT, bits[1:], strict=False):
-        hashed = (np.repeat(contexts(last, order, mult), count) + node.astype(np.uint64)) * _MULT[3]
+        hashed = (np.repeat(contexts(last, order, mult), count) + node.astype(np.uint64)) * _NODE
         slots.append((hashed >> np.uint64(64 - width)).astype(np.int64))
     return np.repeat(word, count), bit, slots
 
@@ -162,7 +166,7 @@ class Mixer:
                 np.maximum(n, 0, out=n)
             x.append(np.log((n[:, 1] + np.float32(0.2)) / (n[:, 0] + np.float32(0.2))))
             seen.append(n.sum(1) if k >= 2 else None)
-        gate = 3 * ((seen[3] > 2).astype(np.int64) + (seen[3] > 30)) + (seen[2] > 2) + (seen[2] > 30)
+        gate = 3 * ((seen[-1] > 2).astype(np.int64) + (seen[-1] > 30)) + (seen[-2] > 2) + (seen[-2] > 30)
         return gate, np.stack([*x, np.ones(len(bit), np.float32)])
 
     def mix(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -234,7 +238,7 @@ def refine(x: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
     return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-np.clip(x, -12, 12))), 1e-6, 1 - 1e-6)
 
 
-_START = np.array([0.1, 0.2, 0.35, 0.35, 0.0])
+_START = np.array([0.1, 0.1, 0.2, 0.3, 0.4, 0.0])
 _CENTERS = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
 
 
@@ -304,13 +308,12 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
 
 
 def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
-    """(kind, key, letters, n, c0, c1, ...) of the training part: words by hash (kind 0) with their counts by class of text, documents
-    (1), pairs of adjacent letters (2)."""
+    """(kind, key, letters, n, c0, c1, ...) of the training part: words by hash (kind 0) with their counts by class of text, and
+    documents (1)."""
 
     def run(batches):
         held, size, docs = [], 0, 0
         names = ["kind", "key", "letters", "class", "n"]
-        pairs = np.zeros(65536, np.int64)
 
         def words():
             key, label, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:3])
@@ -330,21 +333,14 @@ def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
                     spelling = spans(_FOLD[c.data], c.start[first[at // CLASSES]], c.end[first[at // CLASSES]])
                     held.append((unique[at // CLASSES], (at % CLASSES).astype(np.int8), n[at], spelling))
                     size += len(at) + spelling.nbytes // 16
-                now = _FOLD[c.data].astype(np.int64)
-                now[tk.IS_SPACE[c.data]] = STOP
-                filled = np.diff(c.offset) > 0
-                before = np.concatenate(([STOP], now))
-                before[c.offset[:-1][filled]] = STOP  # a text does not go on in the next one
-                pairs += np.bincount(now + 256 * before[:-1], minlength=65536) + np.bincount(STOP + 256 * now[c.offset[1:][filled] - 1], minlength=65536)
                 if size > flush:
                     yield words()
                     held, size = [], 0
         if size:
             yield words()
-        at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.full(len(at), 2, np.int8), np.int8(1))), pa.array(np.append(at, 0)), pa.nulls(len(at) + 1, pa.binary()), pa.array(np.zeros(len(at) + 1, np.int8)), pa.array(np.append(pairs[at], docs))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int8()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([0], pa.int8()), pa.array([docs], pa.int64())], names=names)
 
-    sent = rows.filter("not held_out").select("text").mapInArrow(run, "kind byte, key long, letters binary, class byte, n long")
+    sent = rows.filter("not held_out").select("text").mapInArrow(tk.lean(run), "kind byte, key long, letters binary, class byte, n long")
     # a task has added up its own already: rows travel narrow, and become wide where they meet
     by_class = [F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(CLASSES)]
     return sent.repartition("kind", "key").groupBy("kind", "key", "letters").agg(F.sum("n").alias("n"), *by_class)
@@ -384,7 +380,7 @@ def letter_counts(words: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return words.select("letters", "n").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return words.select("letters", "n").mapInArrow(tk.lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def table_bits(runs: DataFrame, codes, least: int = TABLE_BITS) -> list[int]:
@@ -403,10 +399,10 @@ def table_bits(runs: DataFrame, codes, least: int = TABLE_BITS) -> list[int]:
                 at = np.flatnonzero(tk.mix(context) % np.uint64(SPARSE) == 0)
                 count = length[key[at]]
                 node = nodes[np.repeat(start[key[at]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
-                pair = np.unique((np.repeat(context[at], count) + node.astype(np.uint64)) * _MULT[3])
+                pair = np.unique((np.repeat(context[at], count) + node.astype(np.uint64)) * _NODE)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), k, np.int32)), pa.array(pair.view(np.int64))], names=["order", "pair"])
 
-    found = runs.select("gram").mapInArrow(run, "order int, pair long").distinct().groupBy("order").count().collect()  # a row an order
+    found = runs.select("gram").mapInArrow(tk.lean(run), "order int, pair long").distinct().groupBy("order").count().collect()  # a row an order
     pairs = {r["order"]: r["count"] * SPARSE for r in found}
     return [16] + [max(least, (2 * pairs.get(k, 0)).bit_length()) for k in range(1, len(ORDERS))]
 
@@ -457,7 +453,7 @@ def context_counts(runs: DataFrame, codes, bits: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["segment", "payload"])
 
     schema = "segment long, payload binary"
-    return runs.mapInArrow(run, schema).repartition("segment").mapInArrow(add_up, schema)
+    return runs.mapInArrow(tk.lean(run), schema).repartition("segment").mapInArrow(tk.lean(add_up), schema)
 
 
 def over_letters(runs: DataFrame, sent):
@@ -474,7 +470,7 @@ def over_letters(runs: DataFrame, sent):
                 total += ask(batch.column("gram").to_numpy(), batch.column("n").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["payload"])
 
-        got = runs.mapInArrow(run, "payload binary").collect()  # a small row a task
+        got = runs.mapInArrow(tk.lean(run), "payload binary").collect()  # a small row a task
         return np.sum([np.frombuffer(r["payload"]).reshape(shape) for r in got] + [np.zeros(shape)], axis=0)
 
     return over
@@ -482,51 +478,47 @@ def over_letters(runs: DataFrame, sent):
 
 @dataclass
 class Scale:
-    """What turns a word's counts into probabilities."""
+    """What turns counts into probabilities."""
 
     total: int  # N
     distinct: int  # V
     documents: int
-    class_sizes: np.ndarray  # tokens of each class, ends included
+    escaped: float  # what the words outside the tree weigh: their tokens, and the words seen once for those never seen
+    novel: float  # of that, what is left to spelling
 
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    weights: np.ndarray  # of the spelling
     refined: np.ndarray
-    keys: np.ndarray  # hashes of the most frequent words, in order
+    keys: np.ndarray  # hashes of the tree's words, in order
     counts: np.ndarray
-    classes: np.ndarray  # their counts in each class
+    tree: word_mixer.Tree
     scale: Scale
 
 
-def learn(counts: DataFrame, known_words: int):
-    """(model, broadcast of its codes and tables)."""
+def learn(counts: DataFrame, share_bits: int):
+    """(model, broadcast of the spelling's codes and tables)."""
     words = counts.filter("kind = 0")
-    small = counts.filter("kind > 0").collect()  # at most 65,537 rows
-    documents = sum(r["n"] for r in small if r["kind"] == 1)
-    pairs = np.zeros(65536, np.int64)
-    for r in small:
-        if r["kind"] == 2:
-            pairs[r["key"]] = r["n"]
-    level = F.floor(8 * F.log2(F.col("n")))
-    histogram = sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(CLASSES))).collect(), reverse=True)  # at most 8 * 63 rows
-    held, least = 0, None
-    for r in histogram:
-        held += r["words"]
-        if held > known_words:
-            break
-        least = r["level"]
+    documents = counts.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     names = [f"c{k}" for k in range(CLASSES)]
-    frequent = words.filter(level >= least) if least is not None else words.limit(0)
-    narrow = "int" if sum(r["n"] for r in histogram) < 2**31 else "long"
-    table = frequent.select("key", "n", *(F.col(c).cast(narrow).alias(c) for c in names)).toArrow()
+    tokens, distinct, *sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first()
+    total = tokens + documents
+    least = max(2, -(-total >> share_bits))
+    rare = words.filter(F.col("n") < least)
+    n_rare, rare_tokens, once = rare.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    # a word's class is the one of whose tokens it makes up the largest share
+    shares = F.array(*(F.col(c) / F.lit(float(max(size, 1))) for c, size in zip(names, sizes, strict=True)))
+    table = words.filter(F.col("n") >= least).select("key", "n", (F.array_position(shares, F.array_max(shares)) - 1).cast("byte").alias("class")).toArrow()  # at most 2**share_bits rows
     key = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    key, n, classes = key[order], table.column("n").to_numpy()[order], np.stack([table.column(c).to_numpy()[order] for c in names], 1)
-    del table
+    key, n, classes = key[order], table.column("n").to_numpy()[order], table.column("class").to_numpy()[order]
+    tree = word_mixer.code_tree(n, classes, float(documents), float(rare_tokens + once))
+    runs = materialize(letter_counts(words.select("letters", F.lit(1).cast("long").alias("n"))))  # each distinct word once: new words are like them
+    pairs = np.zeros(65536, np.int64)
+    for r in runs.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect():  # at most 65,536 rows
+        pairs[r["pair"]] = r["n"]
     codes = huffman_codes(pairs.reshape(256, 256))
-    runs = materialize(letter_counts(words))
     bits = table_bits(runs, codes)
     tables = [np.zeros((1 << b, 2), np.float32) for b in bits]
     segments = [table[i : i + SEGMENT] for table in tables for i in range(0, len(table), SEGMENT)]
@@ -534,67 +526,61 @@ def learn(counts: DataFrame, known_words: int):
         segments[r["segment"]][:] = np.frombuffer(r["payload"], np.float32).reshape(SEGMENT, 2)
     sent = counts.sparkSession.sparkContext.broadcast((codes, tables))
     del tables, segments
-    distinct = sum(r["words"] for r in histogram) + (documents > 0)
-    total = sum(r["n"] for r in histogram) + documents
-    known = (total - documents) / max(total, 1)
-    class_sizes = np.array([sum(r[c] for r in histogram) for c in names]) / max(known, 1e-9)
-    return Model(*fit(over_letters(runs, sent)), key, n, classes, Scale(total, distinct, documents, class_sizes)), sent
-
-
-def expert_logs(spelled: np.ndarray, count: np.ndarray, classes: np.ndarray, of: np.ndarray, history: np.ndarray, scale: Scale):
-    """Each expert's log probability of every occurrence: of word ``of``, after a share ``history`` of its document."""
-    spelling = np.exp(np.maximum(spelled, -700))
-    overall = count / max(1, scale.total)
-    for by_count, by_history, k in EXPERTS:
-        rest = 1 - by_count - by_history
-        corpus = overall if k < 0 else (classes[:, k] + STRENGTH * overall) / (scale.class_sizes[k] + STRENGTH)
-        p = (rest * spelling + by_count * corpus)[of] + by_history * history
-        logs = np.log(np.maximum(p, 1e-300))
-        tiny = p < 1e-290
-        if tiny.any():
-            logs[tiny] = np.log(rest) + spelled[of[tiny]]
-        yield logs
-
-
-def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per document: tokens, and of those known to the frequent table their number, their log10 sum and the experts' sums of logs;
-    and all other words (document, hash, spelling, occurrences, history of each occurrence)."""
+    escaped = float(max(rare_tokens + once, 1))
+    scale = Scale(total, distinct + (documents > 0), documents, escaped, escaped - (rare_tokens - DISCOUNT * n_rare))
+    return Model(*fit(over_letters(runs, sent)), key, n, tree, scale), sent
+
+
+def escape_logs(spelled: np.ndarray, count: np.ndarray, of: np.ndarray, kept: np.ndarray, repeated: np.ndarray, scale: Scale) -> np.ndarray:
+    """Natural logarithm of every occurrence's probability after an escape: of word ``of``, with the share ``kept`` for corpus and
+    spelling, and ``repeated`` from the document."""
+    corpus = np.maximum(count - DISCOUNT, 0) / scale.escaped
+    novel = np.log(scale.novel / scale.escaped)
+    p = (corpus + np.exp(np.maximum(spelled + novel, -700)))[of] * kept + repeated
+    return np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), spelled[of] + novel + np.log(kept))
+
+
+def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
+    """Per document: tokens, bytes of words and ends, those in the tree with their log10 sum, and the log probability of all tokens in
+    the tree and of the escapes; and all other words (document, hash, spelling, occurrences, kept and repeated share of each)."""
     n = c.n_docs
     hashes = c.word_hashes(lower=True)
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     at = np.minimum(np.searchsorted(model.keys, unique), max(0, len(model.keys) - 1))
     known = model.keys[at] == unique if len(model.keys) else np.zeros(len(unique), bool)
-    spelled = mixer.bits(_FOLD[c.data], c.start[first], c.end[first])
-    # times that the word has occurred before in its document
-    key = c.doc * np.int64(len(unique) + 1) + inverse
+    leaf_of = np.where(known, at, len(model.keys) + 1)
+    # the tokens in order, each document's end after its words
+    doc = np.concatenate([c.doc, np.arange(n)])
+    order = np.argsort(doc, kind="stable")
+    leaf = np.concatenate([leaf_of[inverse], np.full(n, len(model.keys))])[order]
+    logs = word_mixer.document_logs(model.tree, leaf, doc[order], np.concatenate([hashes, np.full(n, END_KEY)])[order], n)
+    known_at = known[inverse]
+    base = np.log10(model.counts[at[known]] + 1.0) if known.any() else np.zeros(0)
+    sums = np.bincount(c.doc[known_at], weights=base[(np.cumsum(known) - 1)[inverse[known_at]]], minlength=n)
+    # words outside the tree: how often they, and all such words, have come before in their document
+    rare = np.flatnonzero(~known_at)
+    spells = np.flatnonzero(~known)
+    spelled = np.zeros(len(unique))
+    spelled[spells] = mixer.bits(_FOLD[c.data], c.start[first[spells]], c.end[first[spells]])
+    key = c.doc[rare] * np.int64(len(unique) + 1) + inverse[rare]
     order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    fresh = np.ones(len(ranked), bool)
-    fresh[1:] = ranked[1:] != ranked[:-1]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = key[order][1:] != key[order][:-1]
     run = np.flatnonzero(fresh)
-    times = np.diff(np.append(run, len(ranked)))
-    before = np.empty(len(ranked), np.int64)
-    before[order] = np.arange(len(ranked)) - np.repeat(run, times)
-    first_word = np.searchsorted(c.doc, np.arange(n))
-    place = np.arange(len(hashes)) - first_word[c.doc]
-    history = before / np.maximum(place, 1)
-    known_at = known[inverse]
-    doc, of = c.doc[known_at], (np.cumsum(known) - 1)[inverse[known_at]]
-    count = model.counts[at[known]]
-    scores = np.zeros((n, len(EXPERTS)))
-    for j, logs in enumerate(expert_logs(spelled[known], count, model.classes[at[known]], of, history[known_at], model.scale)):
-        scores[:, j] = np.bincount(doc, weights=logs, minlength=n)
-    sums = np.bincount(doc, weights=np.log10(count + 1.0)[of], minlength=n)
-    rare = ~known[inverse[order[run]]]
-    start = order[run[rare]]
+    times = np.diff(np.append(run, len(order)))
+    before = np.arange(len(order)) - np.repeat(run, times)
+    place = np.arange(len(rare)) - np.searchsorted(c.doc[rare], np.arange(n))[c.doc[rare]]
+    place = place[order]
+    share = REPEATS * place / (place + REPEATS_AFTER)
+    start = rare[order[run]]
     return (
-        {"n_tokens": c.n_words + 1, "n_frequent": np.bincount(doc, minlength=n), "frequent_sum": sums, "scores": scores},
-        (c.doc[start], hashes[start], spelled[inverse[start]], times[rare], history[order[~known_at[order]]]),
+        {"n_tokens": c.n_words + 1, "n_bytes": np.bincount(c.doc, weights=c.end - c.start, minlength=n).astype(np.int64) + c.n_words + 1, "n_tree": np.bincount(c.doc[known_at], minlength=n), "tree_sum": sums, "logs": logs},
+        (c.doc[start], hashes[start], spelled[inverse[start]], times, 1 - share, share * before / np.maximum(place, 1)),
     )
 
 
-_DOCUMENT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "n_frequent": pa.int64(), "frequent_sum": pa.float64(), "scores": pa.list_(pa.float64())}
-_WORD = {"word": pa.int64(), "spelled": pa.float64(), "history": pa.list_(pa.float64())}
+_DOCUMENT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "n_tree": pa.int64(), "tree_sum": pa.float64(), "logs": pa.float64()}
+_WORD = {"word": pa.int64(), "spelled": pa.float64(), "kept": pa.list_(pa.float64()), "repeated": pa.list_(pa.float64())}
 
 
 def _lists(length: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -602,9 +588,9 @@ def _lists(length: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
-    """Rows of documents (word null) and of their words outside the frequent table (word, spelling, history of each occurrence), told
-    together by ``row``."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # at most known_words counts
+    """Rows of documents (word null) and of their words outside the tree (word, spelling, shares of each occurrence), told together
+    by ``row``."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # at most 2**share_bits words
 
     def run(batches):
         m = sent.value
@@ -614,39 +600,33 @@ def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
         names = ["row", *_DOCUMENT, *_WORD]
         for batch in batches:
             first = 0
-            for c in tk.chunks(batch.column("text")):
-                got, (doc, word, spelled, times, history) = chunk_scores(c, m, mixer)
+            for c in tk.chunks(batch.column("text"), 1_000_000):
+                got, (doc, word, spelled, times, kept, repeated) = chunk_scores(c, m, mixer)
                 row = base + done + np.arange(c.n_docs)
                 n, k = c.n_docs, len(word)
-                lists = _lists(np.full(n, len(EXPERTS)), got["scores"].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), pa.array(np.diff(c.offset)), pa.array(got["n_tokens"], pa.int64()), pa.array(got["n_frequent"], pa.int64()), pa.array(got["frequent_sum"].astype(float)), lists, *(pa.nulls(n, t) for t in _WORD.values())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), *(pa.array(got[name], kind) for name, kind in list(_DOCUMENT.items())[2:]), *(pa.nulls(n, t) for t in _WORD.values())], names=names)
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *(pa.nulls(k, t) for t in _DOCUMENT.values()), pa.array(word.view(np.int64)), pa.array(spelled), _lists(times, history)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *(pa.nulls(k, t) for t in _DOCUMENT.values()), pa.array(word.view(np.int64)), pa.array(spelled), _lists(times, kept), _lists(times, repeated)], names=names)
                 first += n
                 done += n
 
-    return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_frequent long, frequent_sum double, scores array<double>, word long, spelled double, history array<double>")
+    return rows.mapInArrow(tk.lean(run), "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_tree long, tree_sum double, logs double, word long, spelled double, kept array<double>, repeated array<double>")
 
 
 def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
-    """The result's rows: each document's sums, with those of its words outside the frequent table, whose counts come by a join.
+    """The result's rows: each document's sums, with those of its words outside the tree, whose counts come by a join.
 
     A document's row comes before those of its words; only the sums of the last document are held.
     """
-    names = [f"c{k}" for k in range(CLASSES)]
     size, end = float(np.log10(scale.total + scale.distinct + 1)), float(np.log10(scale.documents + 1))
-    experts = len(EXPERTS)
-    ends = np.log(np.array([by_count for by_count, _, _ in EXPERTS]) * max(scale.documents, 1) / max(scale.total, 1))
 
     def run(batches):
         def result(docs, sums):
-            scores = docs.column("scores").flatten().to_numpy().reshape(-1, experts) + sums[:, :experts] + ends
-            top = scores.max(1)
-            score = (top + np.log(np.exp(scores - top[:, None]).mean(1))) / np.log(10)
+            score = (docs.column("logs").to_numpy() + sums[:, 0]) / np.log(10)
             tokens = docs.column("n_tokens").to_numpy()
-            known = docs.column("n_frequent").to_numpy() + sums[:, experts].astype(np.int64) + int(scale.documents > 0)
-            base = docs.column("frequent_sum").to_numpy() + sums[:, experts + 1] + end - tokens * size
-            bits = -score * np.log2(10) / np.maximum(docs.column("n_bytes").to_numpy(), 1)
+            known = docs.column("n_tree").to_numpy() + sums[:, 1].astype(np.int64) + int(scale.documents > 0)
+            base = docs.column("tree_sum").to_numpy() + sums[:, 2] + end - tokens * size
+            bits = -score * np.log2(10) / docs.column("n_bytes").to_numpy()
             out = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), scale.total, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(bits)}
             return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
@@ -656,15 +636,14 @@ def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
                 continue
             is_doc = batch.column("n_bytes").is_valid().to_numpy(zero_copy_only=False)
             owner = np.cumsum(is_doc)  # 0: the document held
-            sums = np.zeros((int(owner[-1]) + 1, experts + 2))
+            sums = np.zeros((int(owner[-1]) + 1, 3))
             if not is_doc.all():
                 rare, who = batch.filter(pa.array(~is_doc)), owner[~is_doc]
-                times = rare.column("history").value_lengths().to_numpy()
+                times = rare.column("kept").value_lengths().to_numpy()
                 of = np.repeat(np.arange(len(times)), times)
                 n = rare.column("n").to_numpy()
-                classes = np.stack([rare.column(c).to_numpy() for c in names], 1)
-                logs = expert_logs(rare.column("spelled").to_numpy(), n, classes, of, rare.column("history").flatten().to_numpy(), scale)
-                for j, x in enumerate([*logs, (n > 0)[of], np.log10(n + 1.0)[of]]):
+                logs = escape_logs(rare.column("spelled").to_numpy(), n, of, rare.column("kept").flatten().to_numpy(), rare.column("repeated").flatten().to_numpy(), scale)
+                for j, x in enumerate([logs, (n > 0)[of], np.log10(n + 1.0)[of]]):
                     sums[:, j] = np.bincount(who[of], weights=x, minlength=len(sums))
             docs = batch.select(list(_DOCUMENT)).filter(pa.array(is_doc))
             if held is None:
@@ -678,17 +657,18 @@ def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
         if held is not None:
             yield result(held[0], held[1][None])
 
-    counts = words.select(F.col("key").alias("word"), "n", *names)
-    rare = found.filter("word is not null").select("row", "word", "spelled", "history").join(counts, "word", "left").drop("word").fillna(0, ["n", *names])
+    counts = words.select(F.col("key").alias("word"), "n")
+    rare = found.filter("word is not null").select("row", *_WORD).join(counts, "word", "left").drop("word").fillna(0, ["n"])
     docs = found.filter("word is null").select("row", *_DOCUMENT)
     together = docs.unionByName(rare, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", F.col("n_bytes").isNull())
-    return together.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return together.mapInArrow(tk.lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, known_words: int = 1 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability) and bits_per_byte."""
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, share_bits: int = 20) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability) and bits_per_byte (of the words
+    and one byte for each token's end)."""
     rows = _rows(docs, modulus, held)
     counts = materialize(token_counts(rows))
-    model, tables = learn(counts, known_words)
+    model, tables = learn(counts, share_bits)
     found = materialize(scored(rows, model, tables))
     return mixed(found, counts.filter("kind = 0"), model.scale)

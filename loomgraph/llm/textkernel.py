@@ -6,7 +6,8 @@ out as NumPy arrays; no Python object is made per word. White space is the six A
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -132,3 +133,18 @@ def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray
 def salted(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Hashes that are equal only within one document of the chunk."""
     return mix(hashes ^ mix(doc.astype(np.uint64) + U64(0x51)))
+
+
+def lean(run: Callable) -> Callable:
+    """A map over batches whose worker gives memory back: Arrow's buffers as they are freed, the rest at a task's end. Workers live on
+    from stage to stage, and would otherwise keep the most that any of their tasks ever held."""
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return wrapped

@@ -36,7 +36,7 @@ def read_token_files(spark: SparkSession, path: str, id_bytes: int, block_tokens
                 for k in range(0, view.size, step):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // step], pa.int64()), pa.array([view.slice(k, min(step, view.size - k)).to_pybytes()], pa.binary())], names=["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tk.lean(cut), BLOCKS)
 
 
 def byte_token_blocks(docs: DataFrame, block_tokens: int = 1 << 20) -> DataFrame:
@@ -68,7 +68,7 @@ def byte_token_blocks(docs: DataFrame, block_tokens: int = 1 << 20) -> DataFrame
         if size:
             yield row(np.concatenate(held).tobytes(), number=block)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(write, f"{BLOCKS}, first long, doc_ids array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.lean(write), f"{BLOCKS}, first long, doc_ids array<long>")
 
 
 def scan_blocks(blocks: DataFrame, end_id: int, id_bytes: int) -> DataFrame:
@@ -84,7 +84,7 @@ def scan_blocks(blocks: DataFrame, end_id: int, id_bytes: int) -> DataFrame:
                 types = [pa.string(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array([np.diff(ends) - 1], pa.list_(pa.int64()))], names=["file", "block", "tokens", "ends", "head", "tail", "between"])
 
-    return blocks.select("file", "block", "payload").mapInArrow(scan, "file string, block long, tokens long, ends long, head long, tail long, between array<long>")
+    return blocks.select("file", "block", "payload").mapInArrow(tk.lean(scan), "file string, block long, tokens long, ends long, head long, tail long, between array<long>")
 
 
 def document_lengths(summaries: DataFrame, blocks_per_group: int = 1024) -> DataFrame:
