@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_more
 from .operators import aggregates, derive, maintain, relations, search, traversal
 from .plans import lens
 from .streaming import changes
@@ -53,7 +54,7 @@ def _graph(f: Callable[..., DataFrame], *args) -> Query:
 
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("body"))
+    return docs.select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("qualified_name"), F.col("text").alias("body"))
 
 
 def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +123,33 @@ def _match(q: str) -> str:
     return f"CASE WHEN lower(name) = '{q}' OR lower(qualified_name) = '{q}' THEN 100 WHEN starts_with(lower(name), '{q}') THEN 60 WHEN contains(lower(name), '{q}') THEN 30 WHEN contains(lower(qualified_name), '{q}') THEN 12 ELSE 0 END + greatest(0, 16 - length(name))"
 
 
-def _hit(*columns: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.select(*columns)
+def _node_view_sql(ref: str) -> str:
+    """All relations of the first match, and the other matches."""
+    parts = [f"WITH {_LENS}, m AS (SELECT id, row_number() OVER (ORDER BY seq) AS rn FROM n WHERE name = '{ref}'), x AS (SELECT id FROM m WHERE rn = 1)", "SELECT CASE WHEN rn = 1 THEN 'self' ELSE 'alternative' END AS relation, id FROM m"]
+    for name in ("callers", "callees", "implementations", "interfaces", "referrers", "overrides", "overridden_by"):
+        direction, kinds = relations.RELATIONS[name]
+        near, far = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
+        parts.append(f"UNION ALL SELECT DISTINCT '{name}', n.id FROM e JOIN x ON e.{near} = x.id JOIN n ON n.id = e.{far} WHERE e.kind IN ({', '.join(repr(k) for k in kinds)})")
+    parts.append("UNION ALL SELECT 'member', to_id FROM e JOIN x ON e.from_id = x.id WHERE kind = 'Defines'")
+    return "\n".join(parts)
+
+
+def _explore_sql(terms: list[str]) -> str:
+    kinds = ", ".join(f"'{k}'" for k in traversal.IMPACT_KINDS)
+    values = ", ".join(f"('{t}')" for t in terms)
+    return f"""WITH RECURSIVE {_LENS}, t(term) AS (VALUES {values}),
+x AS (SELECT n.id, term, row_number() OVER (PARTITION BY term ORDER BY {_BONUS} + CASE WHEN lower(name) = term OR lower(qualified_name) = term THEN 100 WHEN starts_with(lower(name), term) THEN 60 WHEN contains(lower(name), term) THEN 30 ELSE 12 END + greatest(0, 16 - length(name)) DESC, qualified_name, id) AS r
+      FROM n, t WHERE contains(lower(name), term) OR contains(lower(qualified_name), term)),
+h AS (SELECT id, row_number() OVER (ORDER BY count(*) DESC, min(r), id) AS position, count(*) OVER () AS total FROM x WHERE r <= 200 GROUP BY id),
+m AS (SELECT h.id, n.file, position, total FROM h JOIN n ON n.id = h.id WHERE position <= 15),
+s AS (SELECT DISTINCT to_id AS src, from_id AS dst FROM e WHERE kind IN ({kinds})),
+r(seed, id) AS (SELECT id, id FROM m UNION SELECT r.seed, s.dst FROM r JOIN s ON s.src = r.id JOIN n ON n.id = s.dst),
+b AS (SELECT DISTINCT n.id, n.file, n.qualified_name, {_BONUS} AS score FROM r JOIN n ON n.id = r.id WHERE r.seed <> r.id),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, qualified_name, id) AS position, count(*) OVER () AS total FROM b)
+SELECT 'match' AS section, CAST(NULL AS VARCHAR) AS symbol, id, file, CAST(position AS INT) AS position, total FROM m
+UNION ALL SELECT DISTINCT 'callers', m.id, n.id, n.file, NULL, NULL FROM m JOIN e ON e.to_id = m.id JOIN n ON n.id = e.from_id WHERE e.kind IN ('Calls', 'Instantiates')
+UNION ALL SELECT DISTINCT 'callees', m.id, n.id, n.file, NULL, NULL FROM m JOIN e ON e.from_id = m.id JOIN n ON n.id = e.to_id WHERE e.kind IN ('Calls', 'Instantiates')
+UNION ALL SELECT 'impact', NULL, id, file, CAST(position AS INT), total FROM k WHERE position <= 40"""
 
 
 def _pairs() -> dict[str, tuple[Query, str | None]]:
@@ -135,7 +161,7 @@ def _pairs() -> dict[str, tuple[Query, str | None]]:
         "f02_nodes_by_name": (lambda s, d: lens.star_graph(s, d).named(PART).select("id", "kind", "qualified_name"), f"WITH {_LENS} SELECT id, kind, qualified_name FROM n WHERE name = '{PART}'"),
         "f03_edges_from": (lambda s, d: lens.star_graph(s, d).edges_from("nation/3", "Defines").select("from_id", "to_id", "seq"), f"WITH {_LENS} SELECT from_id, to_id, seq FROM e WHERE from_id = 'nation/3' AND kind = 'Defines'"),
         "f04_resolve": (lambda s, d: relations.resolve(lens.star_graph(s, d), "C12").select("id", "kind"), f"WITH {_LENS} SELECT id, kind FROM n WHERE name = 'C12'"),
-        "f19_route_tests_match": (_route_match, r"""
+        "j21_route_tests_match": (_route_match, r"""
 WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/+$', '') AS path FROM pages),
 r AS (SELECT page_id AS route, list_filter(string_split(regexp_replace(path, '[0-9]+', ':x', 'g'), '/'), lambda x: x <> '') AS pat FROM p WHERE path <> ''),
 q AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM p WHERE path <> ''),
@@ -144,7 +170,7 @@ SELECT min(page_id) AS seq, 'page#' || page_id AS from_id, 'route#' || route AS
         "j15_defined_by": (lambda s, d: relations.defined_by(lens.star_graph(s, d), "nation/3").select("id", "position"), f"WITH {_LENS} SELECT n.id, CAST(row_number() OVER (ORDER BY coalesce(start_line, 0), e.seq) AS INT) AS position FROM e JOIN n ON n.id = e.to_id WHERE e.kind = 'Defines' AND e.from_id = 'nation/3'"),
         "j17_file_importers": (g(relations.file_importers), f"WITH {_LENS}, {_FILE_IMPORTERS} SELECT file, importer FROM fr"),
         "j18_file_imports": (g(relations.file_imports), f"WITH {_LENS}, {_FILE_IMPORTS} SELECT file, imported FROM fi"),
-        "c01_node_view": (lambda s, d: relations.node_view(lens.star_graph(s, d), "C3").filter("relation in ('self', 'member', 'interfaces')"), f"WITH {_LENS}, x AS (SELECT id FROM n WHERE name = 'C3') SELECT 'self' AS relation, id FROM x UNION ALL SELECT 'member', to_id FROM e JOIN x ON e.from_id = x.id WHERE kind = 'Defines' UNION ALL SELECT DISTINCT 'interfaces', to_id FROM e JOIN x ON e.from_id = x.id WHERE kind = 'Implements'"),
+        "c01_node_view": (lambda s, d: relations.node_view(lens.star_graph(s, d), "2-HIGH"), _node_view_sql("2-HIGH")),
         "c02_file_skeleton": (lambda s, d: relations.skeleton(lens.star_graph(s, d), FILE), f"""WITH {_LENS}, {_FILE_IMPORTS},
 w AS (SELECT DISTINCT e.from_id AS id FROM e JOIN n t ON t.id = e.to_id AND t.file = '{FILE}' WHERE e.kind = 'Imports' AND e.from_id <> '{FILE}'),
 d AS (SELECT n.id, row_number() OVER (ORDER BY {_BONUS} DESC, qualified_name, n.id) AS position, count(*) OVER () AS total FROM w JOIN n ON n.id = w.id)
@@ -173,10 +199,9 @@ SELECT facet, value, CAST(sum(k) AS BIGINT) AS n FROM u GROUP BY ALL"""),
         "g01_impact_unbounded": (g(_impact, CLASS, None), _impact_sql(CLASS, 40)),
         "g02_affected_files": (g(traversal.affected_files, [FILE]), f"WITH RECURSIVE {_LENS}, {_FILE_IMPORTERS}, s AS (SELECT DISTINCT fr.file AS src, n.file AS dst FROM fr JOIN n ON n.id = fr.importer), r(id) AS (SELECT '{FILE}' UNION SELECT s.dst FROM r JOIN s ON s.src = r.id) SELECT id AS file FROM r WHERE id <> '{FILE}'"),
         "g03_circular_imports": (g(traversal.circular_imports), f"WITH RECURSIVE {_LENS}, {_FILE_IMPORTS}, r(a, b) AS (SELECT file, imported FROM fi UNION SELECT r.a, fi.imported FROM r JOIN fi ON fi.file = r.b) SELECT min(y.b) AS component, x.a AS member FROM r x JOIN r y ON x.a = y.a JOIN r z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a"),
-        "g04_explore": (g(traversal.explore, terms), None),
-        "d01_overrides": (lambda s, d: derive.dispatch_edges(*(lambda x: (x.nodes, x.edges))(lens.star_graph(s, d))).filter("kind = 'Overrides'").select("from_id", "to_id", "kind", "provenance"), f"WITH {_LENS}, {_MEMBERS} SELECT DISTINCT a.method AS from_id, b.method AS to_id, 'Overrides' AS kind, 'dispatch' AS provenance FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method"),
-        "j06_find_overrides": (lambda s, d: _with_dispatch(s, d, "overrides"), f"WITH {_LENS}, {_MEMBERS}, o AS (SELECT DISTINCT a.method AS from_id, b.method AS to_id FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method) SELECT DISTINCT o.to_id AS id FROM o JOIN n ON n.id = o.from_id WHERE n.name = '5-LOW'"),
-        "j07_find_overridden_by": (lambda s, d: _with_dispatch(s, d, "overridden_by"), f"WITH {_LENS}, {_MEMBERS}, o AS (SELECT DISTINCT a.method AS from_id, b.method AS to_id FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method) SELECT DISTINCT o.from_id AS id FROM o JOIN n ON n.id = o.to_id WHERE n.name = '5-LOW'"),
+        "g04_explore": (g(traversal.explore, "what is the small ring brand"), _explore_sql(terms)),
+        "j06_find_overrides": (lambda s, d: _with_dispatch(s, d, "overrides"), f"WITH {_LENS}, {_MEMBERS}, o AS (SELECT DISTINCT a.method AS from_id, b.method AS to_id FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method) SELECT DISTINCT o.to_id AS id, 'Overrides' AS via, 'dispatch' AS provenance, 2 AS score FROM o JOIN n ON n.id = o.from_id WHERE n.name = '5-LOW'"),
+        "j07_find_overridden_by": (lambda s, d: _with_dispatch(s, d, "overridden_by"), f"WITH {_LENS}, {_MEMBERS}, o AS (SELECT DISTINCT a.method AS from_id, b.method AS to_id FROM e JOIN mem a ON a.owner = e.from_id JOIN mem b ON b.owner = e.to_id AND a.name = b.name WHERE e.kind IN ('Inherits', 'Implements') AND a.method <> b.method) SELECT DISTINCT o.from_id AS id, 'Overrides' AS via, 'dispatch' AS provenance, 2 AS score FROM o JOIN n ON n.id = o.to_id WHERE n.name = '5-LOW'"),
         "m06_sync_changes": (lambda s, d: maintain.stale(*_slices(s, d)), """WITH x AS (SELECT 'u' || user_id AS path, event_id, value, event_type, event_id % 2 = 0 AS old FROM events),
 s AS (SELECT path, old, count(*) AS size, round(max(value), 3) AS t, arg_max(event_type, event_id) AS h FROM x GROUP BY path, old)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
@@ -186,13 +211,13 @@ FROM (SELECT * FROM s WHERE old) a FULL JOIN (SELECT * FROM s WHERE NOT old) b O
 y AS (SELECT *, sum(fresh) OVER (ORDER BY ts, path ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT ts, path, fresh FROM x)),
 z AS (SELECT ts, path, max(burst) OVER (PARTITION BY ts) AS burst FROM y) SELECT min(ts) AS opened, max(ts) + INTERVAL 60 SECOND AS closed, count(DISTINCT path) AS n_paths, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM z GROUP BY burst"""),
     }
-    return out
+    return out | catalog_more.pairs()
 
 
 def _with_dispatch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     graph = lens.star_graph(spark, sf_dir)
     derived = derive.dispatch_edges(graph.nodes, graph.edges)
-    return relations.relation(graph.with_edges(derived), "5-LOW", name).select("id")
+    return relations.relation(graph.with_edges(derived), "5-LOW", name).select("id", "via", "provenance", "score")
 
 
 def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import language
+from ..functions.text import glob_regex, language
 from ..graph import Graph
 from ..schemas import PROVENANCES, STRATEGIES
 
@@ -16,15 +16,15 @@ REFERENCE_KINDS = ("Calls", "References", "UsesType", "Returns", "Instantiates",
 def schema_census(graph: Graph) -> DataFrame:
     """(facet, value, n): nodes by kind; edges whose source exists by kind, provenance (absent: resolved) and strategy, zeros filled in."""
     e = graph.edges.join(graph.nodes.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    facets = [graph.nodes.select(F.lit("node_kind").alias("facet"), F.col("kind").alias("value")), e.select(F.lit("edge_kind").alias("facet"), F.col("kind").alias("value")), e.select(F.lit("provenance").alias("facet"), F.coalesce("provenance", F.lit("resolved")).alias("value"))]
-    if "strategy" in graph.edges.columns:
-        facets.append(e.filter("strategy is not null").select(F.lit("strategy").alias("facet"), F.col("strategy").alias("value")))
-    rows = facets[0]
-    for f in facets[1:]:
-        rows = rows.unionByName(f)
+    strategy = F.col("strategy") if "strategy" in graph.edges.columns else F.lit(None).cast("string")
+    e = e.groupBy("kind", F.coalesce("provenance", F.lit("resolved")).alias("provenance"), strategy.alias("strategy")).agg(F.count("*").alias("n"))
+    # one pass over the edges; a few counts are then told apart by facet
+    facet = F.explode(F.array(*(F.struct(F.lit(f).alias("facet"), F.col(c).alias("value")) for f, c in (("edge_kind", "kind"), ("provenance", "provenance"), ("strategy", "strategy")))))
+    rows = e.select("n", facet.alias("f")).select("f.*", "n").filter("value is not null")
+    rows = rows.unionByName(graph.nodes.groupBy(F.col("kind").alias("value")).agg(F.count("*").alias("n")).withColumn("facet", F.lit("node_kind")))
     known = [("provenance", v) for v in PROVENANCES] + [("strategy", v) for v in STRATEGIES]
     zeros = graph.nodes.sparkSession.createDataFrame(known, "facet string, value string").withColumn("n", F.lit(0).cast("long"))
-    return rows.groupBy("facet", "value").agg(F.count("*").alias("n")).unionByName(zeros).groupBy("facet", "value").agg(F.sum("n").alias("n"))
+    return rows.unionByName(zeros).groupBy("facet", "value").agg(F.sum("n").alias("n"))
 
 
 def top_and_other(counts: DataFrame, name: str = "name", cap: int = 100) -> DataFrame:
@@ -92,3 +92,29 @@ def members_by_file(graph: Graph) -> DataFrame:
     return graph.nodes.groupBy("file").agg(F.count("*").alias("n"), F.min(F.struct("seq", "id"))["id"].alias("first"))
 
 
+
+
+def counts(graph: Graph) -> DataFrame:
+    """One row: nodes and edges."""
+    return graph.nodes.agg(F.count("*").alias("nodes")).crossJoin(graph.edges.agg(F.count("*").alias("edges")))
+
+
+def listed_files(files: DataFrame, part: str | None = None, glob: str | None = None) -> DataFrame:
+    """Files (path) that hold a substring, or match a glob over whole paths."""
+    if part:
+        files = files.filter(F.contains("path", F.lit(part)))
+    return files.filter(F.col("path").rlike(glob_regex(glob))) if glob else files
+
+
+def project_of(projects: DataFrame, path: str) -> DataFrame:
+    """The project (project, root) whose root is or contains the path; of several, the longest root."""
+    here = F.lit(path)
+    inside = projects.filter((F.col("root") == here) | F.startswith(here, F.concat("root", F.lit("/"))))
+    return inside.orderBy(F.desc(F.length("root"))).limit(1)
+
+
+def saved_share(runs: DataFrame) -> DataFrame:
+    """Totals of benchmark rows (calls, tokens, base_calls, base_tokens), and the shares saved in percent."""
+    names = ("calls", "tokens", "base_calls", "base_tokens")
+    totals = runs.agg(*(F.sum(c).alias(c) for c in names))
+    return totals.withColumns({f"{c}_saved": F.round((1 - F.col(c) / F.col(f"base_{c}")) * 100, 3) for c in ("calls", "tokens")})

@@ -60,7 +60,7 @@ def _by_scope(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, kinds:
 
 
 def _candidates(nodes: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
-    found = edges.filter(F.startswith("to_id", F.lit(prefix))).select("seq", "from_id", F.substring("to_id", len(prefix) + 1, 100_000).alias("name"), "kind")
+    found = edges.filter(F.startswith("to_id", F.lit(prefix))).select("seq", "from_id", F.expr(f"substring(to_id, {len(prefix) + 1})").alias("name"), "kind")
     return found.join(nodes.select(F.col("id").alias("from_id"), "file"), "from_id").withColumn("name", simple_name(F.col("name"))).select("seq", "from_id", "name", "kind", "file")
 
 
@@ -89,7 +89,7 @@ def route_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     split = lambda c: (F.upper(F.substring_index(c, " ", 1)), segments(F.expr(f"substring({c}, instr({c}, ' ') + 1)")))
     verb, segs = split("name")
     routes = nodes.filter(F.col("kind") == "Route").select(F.col("id").alias("route"), F.col("seq").alias("route_seq"), verb.alias("route_verb"), segs.alias("pattern")).withColumn("n", F.size("pattern"))
-    asked = edges.filter(F.startswith("to_id", F.lit("route:"))).withColumn("asked", F.substring("to_id", 7, 100_000))
+    asked = edges.filter(F.startswith("to_id", F.lit("route:"))).withColumn("asked", F.expr("substring(to_id, 7)"))
     verb, segs = split("asked")
     asked = asked.select("seq", "from_id", verb.alias("verb"), segs.alias("path")).withColumn("n", F.size("path")).withColumn("route_verb", F.explode(F.array_distinct(F.array("verb", F.lit("ANY")))))
     fits = F.forall(F.zip_with("pattern", "path", lambda p, s: F.startswith(p, F.lit(":")) | (p == "*") | (p == s)), lambda x: x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import Graph
+from ..plans import durable, store
 from .aggregates import dedup_edges
 
 SCHEMA_VERSION = "7"
@@ -26,10 +28,28 @@ def replace_provenance(edges: DataFrame, provenance: str, new: DataFrame) -> Dat
     return dedup_edges(edges.filter(~F.col("provenance").eqNullSafe(provenance)).unionByName(new))
 
 
-def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, mtime_ms, hash) of the files below a folder."""
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, mtime_ms) of the files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"), F.sha1("content").alias("hash"))
+    return files.select("path", F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1000).alias("mtime_ms"))
+
+
+def fingerprints(spark: SparkSession, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """(path, size, mtime_ms, hash) of the files below a folder. Of files whose size and time are as ``stored`` the hash is taken over;
+    only the others are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    now = listing(spark, path)
+    hashed = files.select("path", F.sha1("content").alias("hash"))
+    if stored is None:
+        return now.join(hashed, "path")
+    known = now.join(stored.select("path", "size", "mtime_ms", "hash"), ["path", "size", "mtime_ms"])
+    rest = now.join(known.select("path"), "path", "left_anti")
+    paths = [r[0] for r in rest.select("path").limit(10_001).collect()]
+    if len(paths) <= 10_000:  # a file source reads only what it is given
+        read = spark.read.format("binaryFile").load(paths).select("path", F.sha1("content").alias("hash")) if paths else hashed.limit(0)
+    else:
+        read = hashed
+    return known.select("path", "size", "mtime_ms", "hash").unionByName(rest.join(read, "path").select("path", "size", "mtime_ms", "hash"))
 
 
 def stale(stored: DataFrame, current: DataFrame) -> DataFrame:
@@ -41,17 +61,40 @@ def stale(stored: DataFrame, current: DataFrame) -> DataFrame:
     return s.join(c, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
 
-def save(graph_tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """A new version folder; readers move to it when its marker is written."""
-    for name, table in graph_tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
-    spark = next(iter(graph_tables.values())).sparkSession
-    spark.createDataFrame([("schema_version", SCHEMA_VERSION), ("version", str(version))], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{version}/meta")
+def save(graph: Graph, path: str, meta: dict[str, str]) -> int:
+    """A new version of the stored graph below ``path``; readers move to it when its marker is there. Gives its number."""
+    spark = graph.nodes.sparkSession
+    version = (versions(spark, path) or [0])[-1] + 1
+    rows = [("schema_version", SCHEMA_VERSION), *meta.items()]
+    spark.createDataFrame(rows, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/v{version}/meta")
+    store.write(graph, f"{path}/v{version}")
+    return version
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions, oldest first."""
+    target, files = durable._file_system(spark, path)
+    if not files.exists(target):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(target)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and store.complete(spark, f"{path}/{n}"))
 
 
-def load(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame] | None:
-    """The tables of a version, or None if its schema is another."""
-    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/v{version}/meta").collect()}
-    if meta.get("schema_version") != SCHEMA_VERSION:
+def load(spark: SparkSession, path: str, root: str | None = None) -> tuple[Graph, dict[str, str]] | None:
+    """The newest version and its meta, or None if there is none, or its schema, root or number of nodes is not as stated."""
+    found = versions(spark, path)
+    if not found:
         return None
-    return {name: spark.read.parquet(f"{path}/v{version}/{name}") for name in ("nodes", "edges")}
+    at = f"{path}/v{found[-1]}"
+    meta = {r["key"]: r["value"] for r in spark.read.parquet(f"{at}/meta").collect()}
+    if meta.get("schema_version") != SCHEMA_VERSION or (root is not None and meta.get("root") != root):
+        return None
+    graph = store.read(spark, at)
+    if "nodes" in meta and graph.nodes.count() != int(meta["nodes"]):
+        return None
+    return graph, meta
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored graph with all its versions."""
+    durable.delete(spark, path)

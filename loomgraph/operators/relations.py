@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_deprioritized
 from ..graph import Graph
+from ..plans.durable import materialize
 
 # fixed values: what each relation follows; "in" goes from targets to what points at them
 RELATIONS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -37,18 +38,29 @@ def resolve(graph: Graph, ref: str) -> DataFrame:
     """
     qn = F.col("qualified_name")
     tier = F.when(F.col("id") == ref, 0).when(F.col("name") == ref, 1).when(qn == ref, 2).when(F.startswith(qn, F.lit(ref + "(")), 3)
-    found = graph.nodes.withColumn("tier_", tier).filter(F.col("tier_").isNotNull())
+    found = materialize(graph.nodes.withColumn("tier_", tier).filter(F.col("tier_").isNotNull()))
     best = found.agg(F.least(F.min("tier_"), F.lit(2)).alias("best"))  # exact and overloaded names are one tier
     return found.join(F.broadcast(best), F.least(F.col("tier_"), F.lit(2)) == F.col("best")).drop("best").withColumn("ord", F.col("tier_") * F.lit(10**16) + F.col("seq")).drop("tier_")
 
 
+def tier_of(graph: Graph, ref: str) -> DataFrame:
+    """The analysis tier of the first node that a reference means, as one row or none."""
+    return resolve(graph, ref).orderBy("ord").limit(1).select("id", "tier")
+
+
+def narrowed(table: DataFrame, column: str, wanted: DataFrame, key: str, few: int = 1000) -> DataFrame:
+    """``table`` with a filter on ``column`` that reaches its files, if ``wanted`` has at most ``few`` keys (which are fetched)."""
+    keys = [r[0] for r in wanted.select(key).distinct().limit(few + 1).collect()]
+    return table if len(keys) > few else table.filter(F.col(column).isin(keys) if keys else F.lit(False))
+
+
 def neighbors(graph: Graph, targets: DataFrame, direction: str, kinds: tuple[str, ...]) -> DataFrame:
     """Nodes one edge away from ``targets`` (id, ord), each once: by target, then kind, then edge, the first wins."""
     near, far = ("to_id", "from_id") if direction == "in" else ("from_id", "to_id")
-    e = graph.edges.filter(F.col("kind").isin(*kinds))
+    e = narrowed(graph.adjacent(direction).filter(F.col("kind").isin(*kinds)), near, targets, "id")
     rank = F.array_position(F.array(*(F.lit(k) for k in kinds)), F.col("via"))
     hops = targets.select(F.col("id").alias(near), "ord").join(e, near).select("ord", F.col(far).alias("id"), F.col("kind").alias("via"), F.col("seq").alias("edge_seq"), *[c for c in ("provenance", "confidence", "line") if c in e.columns])
-    found = hops.join(graph.nodes, "id")
+    found = hops.join(narrowed(graph.nodes, "id", hops, "id"), "id")
     first = Window.partitionBy("id").orderBy("ord", rank, "edge_seq")
     return found.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn", "ord", "edge_seq")
 
@@ -100,7 +112,7 @@ def skeleton(graph: Graph, file_id: str, cap: int = 25) -> DataFrame:
 def external_supertypes(graph: Graph, id: str) -> DataFrame:
     """Names of supertypes that stayed unresolved: candidates ``type:X`` without a resolved edge to an X."""
     e = graph.edges.filter((F.col("from_id") == id) & F.col("kind").isin("Inherits", "Implements"))
-    candidates = e.filter(F.startswith("to_id", F.lit("type:"))).select(F.substring("to_id", 6, 1000).alias("name")).distinct()
+    candidates = e.filter(F.startswith("to_id", F.lit("type:"))).select(F.expr("substring(to_id, 6)").alias("name")).distinct()
     resolved = e.select(F.col("to_id").alias("id")).join(graph.nodes, "id").select("name").distinct()
     return candidates.join(resolved, "name", "left_anti")
 

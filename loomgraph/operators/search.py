@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import language
 from ..graph import Graph
+from ..plans.durable import materialize
 from .relations import plain_score
 
 # fixed values: words that a question's terms leave out
@@ -61,6 +62,12 @@ def search_symbols(graph: Graph, query: str, limit: int = 50, kind: str | None =
     return scored.orderBy(F.desc("score"), "qualified_name", "id").limit(limit)
 
 
+def search_symbols_with_confidence(graph: Graph, query: str, limit: int = 50, kind: str | None = None, exact: bool = False) -> tuple[DataFrame, bool]:
+    """(hits, whether none of them is exact or begins with the text)."""
+    hits = search_symbols(graph, query, limit, kind, exact)
+    return hits, hits.transform(low_confidence, query).first()[0]
+
+
 def low_confidence(hits: DataFrame, query: str) -> DataFrame:
     """One flag: there are hits for a text, and none is exact or begins with it."""
     q = parse_query(query)[0].lower()
@@ -74,6 +81,12 @@ def question_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t)))
 
 
+def terms_of(question: str) -> list[str]:
+    """:func:`question_terms` of a text at hand."""
+    words = re.split("[^a-z0-9_]+", question.lower())
+    return list(dict.fromkeys(w for w in words if len(w) >= 3 and w not in STOP_WORDS))
+
+
 def search_terms(graph: Graph, terms: list[str], limit: int = 200) -> DataFrame:
     """Symbols by the number of terms that find them, then by their best rank for one."""
     if not terms:
@@ -103,17 +116,29 @@ def bodies(graph: Graph) -> DataFrame:
 
 
 def search_code(texts: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """(seq, id, via_terms, hits) from (seq, id, body): phrase hits in order; only without any, the terms that a body holds."""
-    phrase = texts.filter(F.contains(F.lower("body"), F.lit(query.lower()))).orderBy("seq").limit(limit).select("seq", "id", F.lit(False).alias("via_terms"), F.lit(1).alias("hits"))
-    terms = [t for t in re.split(r"\s+", query.lower().strip()) if t]
+    """(seq, id, via_terms, hits) from (seq, id, qualified_name, body): phrase hits in order; only without any, the terms of the question
+    that a body holds, most first, then by qualified name. A blank query finds nothing."""
+    found = texts.select("seq", "id", F.lit(False).alias("via_terms"), F.lit(1).alias("hits"))
+    if not query.strip():
+        return found.limit(0)
+    phrase = materialize(found.where(F.contains(F.lower(texts["body"]), F.lit(query.lower()))).orderBy("seq").limit(limit))
+    terms = terms_of(query)
     if len(terms) < 2 or not phrase.isEmpty():
         return phrase
-    hits = sum((F.contains(F.lower("body"), F.lit(t)).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
-    return texts.withColumn("hits", hits).filter("hits > 0").orderBy(F.desc("hits"), "id").limit(limit).select("seq", "id", F.lit(True).alias("via_terms"), "hits")
+    hits = sum((F.contains(F.lower("body"), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    return texts.withColumn("hits", hits).filter("hits > 0").orderBy(F.desc("hits"), "qualified_name", "id").limit(limit).select("seq", "id", F.lit(True).alias("via_terms"), "hits")
+
+
+def search_code_with_confidence(texts: DataFrame, query: str, limit: int = 50) -> tuple[DataFrame, bool]:
+    """(results, whether they come by terms)."""
+    found = search_code(texts, query, limit)
+    return found, not found.filter("via_terms").isEmpty()
 
 
 def snippet(graph: Graph, targets: DataFrame) -> DataFrame:
-    """Lines of the first target with a range."""
+    """(id, file, start_line, end_line, snippet): lines of the first target with a range, the comment above it included."""
     first = targets.filter(F.col("start_line").isNotNull()).orderBy("ord").limit(1)
     found = first.join(graph.sources.select(F.col("path").alias("file"), "lines"), "file")
-    return found.select("id", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("snippet"))
+    found = found.withColumn("start_line", comment_start(F.col("lines"), F.col("start_line")))
+    body = F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return found.select("id", "file", "start_line", "end_line", body.alias("snippet"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -24,25 +25,55 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def reserve(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted as materialised tables are."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     It cuts the lineage, survives the loss of any executor, and is compressed (unlike an RDD checkpoint).
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
+    path = reserve(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_materialized() -> None:
-    """Delete every table that :func:`materialize` wrote; also runs at exit."""
-    while _written:
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file_system(spark, path)
+    return files.exists(target)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+@contextlib.contextmanager
+def scope():
+    """Deletes what :func:`materialize` writes inside, at its end; a result must have been consumed or written elsewhere by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        clear_materialized(before)
+
+
+def clear_materialized(keep: int = 0) -> None:
+    """Delete every table that :func:`materialize` wrote, but for the first ``keep``; also runs at exit."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, path)
         except Exception:  # the JVM may have ended before us; the folder is the cluster's own scratch space
             return
 

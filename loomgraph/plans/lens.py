@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from . import durable, store
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -42,13 +43,28 @@ UNION ALL SELECT 9 * 100000000000000 + min(l_orderkey * 10 + l_linenumber), conc
 """
 
 
-def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def star_view(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as a view: every use computes it from the tables."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     nodes = spark.sql(NODES_SQL, **{t: v for t, v in tables.items() if "{" + t + "}" in NODES_SQL}).withColumn("external", F.lit(False))
     edges = spark.sql(EDGES_SQL, **{t: v for t, v in tables.items() if "{" + t + "}" in EDGES_SQL})
     return Graph(nodes, edges)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as stored tables, written once a session and folder: see :mod:`loomgraph.plans.store`."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored or not store.complete(spark, _stored[key]):
+        view = star_view(spark, sf_dir)
+        path = durable.reserve(spark)
+        store.write(Graph(durable.materialize(view.nodes), durable.materialize(view.edges)), path)
+        _stored[key] = path
+    return store.read(spark, _stored[key])
+
+
 def star_ctes() -> str:
     """The same view as CTEs ``n`` and ``e`` for an oracle."""
     names = {t: t for t in TABLES}

@@ -238,7 +238,7 @@ def extract(path: str, text: str) -> Rows | None:
 SCHEMA = "file string, ord int, is_node boolean, kind string, name string, qualified_name string, start_line int, end_line int, tier string, from_id string, to_id string, provenance string, line int, error string"
 
 
-def extract_files(files: DataFrame, max_bytes: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_files(files: DataFrame, max_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, errors) of files (path, content): binary or text contents; larger files are reported and skipped."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -272,9 +272,9 @@ def bind_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     stem = F.regexp_replace("target", r"\.[^./]+$", "")
     whole = files.select("target", F.explode(F.array_distinct(F.array("target", stem, F.regexp_replace(stem, r"/(index|__init__|mod)$", "")))).alias("key"))
     parts = F.split(stem, "/")
-    tails = files.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("*/"), F.array_join(F.slice(parts, i, F.lit(1000)), "/")))).alias("key"))
+    tails = files.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("*/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))).alias("key"))
     keys = whole.unionByName(tails).groupBy("key").agg(F.min("target").alias("target"))
-    named = edges.filter(F.startswith("to_id", F.lit("module:"))).withColumn("key", F.regexp_replace(F.substring("to_id", 8, 100_000), r"\.(js|mjs|cjs|jsx)$", ""))
+    named = edges.filter(F.startswith("to_id", F.lit("module:"))).withColumn("key", F.regexp_replace(F.expr("substring(to_id, 8)"), r"\.(js|mjs|cjs|jsx)$", ""))
     bound = named.join(keys, "key").select("seq", "from_id", F.col("target").alias("to_id"), "kind", "provenance", "confidence", "line").filter("from_id <> to_id")
     return edges.filter(~F.startswith("to_id", F.lit("module:"))).unionByName(bound)
 
