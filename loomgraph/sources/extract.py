@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..plans.durable import materialize
+from .references import Referrer, Symbol, file_routes
 
 # fixed values: HTTP verbs, and Python builtins whose calls are no candidates
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
@@ -35,6 +37,9 @@ DECLARATIONS: dict[str, list[tuple[str, str]]] = {
     "swift": [("Class", r"\b(?:class|struct)\s+(?P<name>\w+)"), ("Enum", r"\benum\s+(?P<name>\w+)"), ("Interface", r"\bprotocol\s+(?P<name>\w+)"), ("Function", r"\bfunc\s+(?P<name>\w+)")],
     "c": [("Class", r"\b(?:struct|union)\s+(?P<name>\w+)\s*\{"), ("Enum", r"\benum\s+(?P<name>\w+)\s*\{"), ("TypeAlias", r"\btypedef\b[^;{}]*?\b(?P<name>\w+)\s*;"), ("Function", r"(?m)^(?!\s*(?:else|return|typedef)\b)[A-Za-z_][\w\s*]*?\b(?P<name>(?!(?:if|for|while|switch|return|sizeof)\b)\w+)\s*\([^;{}]*\)\s*\{")],
 }
+_FIELD = r"(?m)^[ \t]+(?:(?:public|private|protected|static|final|readonly|volatile|transient|declare)\s+)*"
+DECLARATIONS["java"].append(("Property", _FIELD + r"(?!(?:return|new|package|import|throw|else)\b)[A-Za-z_][\w.]*(?:<[^;(){}]*>)?(?:\[\])*\s+(?P<name>\w+)\s*(?:=[^;{}]*)?;"))
+DECLARATIONS["typescript"] += [("Property", _FIELD + r"(?!(?:return|const|let|var|type|throw|import|export|case|default|break|continue)\b)(?P<name>[A-Za-z_$][\w$]*)[?!]?\s*:\s*[^;{}()=]+(?:=[^;{}]*)?;"), ("Variable", r"(?m)^(?:export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=(?!\s*(?:async\s*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=>)(?!\s*(?:async\s+)?function\b)")]
 DECLARATIONS["cpp"] = [("Module", r"\bnamespace\s+(?P<name>\w+)\s*\{"), ("Class", r"\b(?:class|struct|union)\s+(?P<name>\w+)[^;{}()]*\{"), *DECLARATIONS["c"][1:3], ("Function", r"(?m)^[ \t]*(?!\s*(?:else|return|typedef|namespace)\b)[A-Za-z_][\w\s*&:<>,]*?\b(?P<name>(?!(?:if|for|while|switch|return|sizeof)\b)\w+)\s*\([^;{}]*\)\s*(?:const\s*)?\{")]
 IMPORTS = {
     "javascript": r"""(?:\bfrom\s*|\bimport\s*|\brequire\s*\(\s*)["'](\.[^"']+)["']""", "typescript": r"""(?:\bfrom\s*|\bimport\s*|\brequire\s*\(\s*)["'](\.[^"']+)["']""", "java": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;",
@@ -88,6 +93,9 @@ def extract_python(path: str, text: str) -> Rows:
             if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
                 qn = f"{owner}.{x.name}" if owner else x.name
                 out.node("Class" if isinstance(x, ast.ClassDef) else "Function", x.name, qn, x.lineno, x.end_lineno, owner)
+                for base in x.bases if isinstance(x, ast.ClassDef) else ():
+                    if (name := base.id if isinstance(base, ast.Name) else getattr(base, "attr", None)) and name != "object":
+                        out.edge(out.id(qn), f"type:{name}", "Inherits", "heuristic", x.lineno)
                 local.setdefault(x.name, []).append(out.id(qn))
                 declare(x.body, qn)
 
@@ -113,6 +121,9 @@ def extract_python(path: str, text: str) -> Rows:
                             out.edge(out.node("Route", name, name, d.lineno, d.end_lineno), out.id(inner), "References", "resolved")
             elif isinstance(child, ast.Call):
                 name = child.func.id if isinstance(child.func, ast.Name) else None
+                called = child.func.attr if isinstance(child.func, ast.Attribute) else None
+                if called == "getenv" and child.args and isinstance(child.args[0], ast.Constant):
+                    out.edge(out.id(owner), f"env:{child.args[0].value}", "References", "env-ref", child.lineno)
                 if name in ("path", "re_path") and child.args and isinstance(child.args[0], ast.Constant):
                     route = f"ANY /{_parameters(str(child.args[0].value)).lstrip('/')}"
                     out.node("Route", route, route, child.lineno, child.end_lineno)
@@ -124,6 +135,8 @@ def extract_python(path: str, text: str) -> Rows:
                         out.edge(out.id(owner), f"call:{name}", "References", "call-ref", child.lineno)
                 elif isinstance(child.func, ast.Attribute) and child.func.attr in VERBS and child.args and isinstance(child.args[0], ast.Constant) and str(child.args[0].value).startswith("/") and owner:
                     out.edge(out.id(owner), f"route:{child.func.attr.upper()} {child.args[0].value}", "References", "call-ref", child.lineno)
+            elif isinstance(child, ast.Subscript) and isinstance(child.value, ast.Attribute) and child.value.attr == "environ" and isinstance(child.slice, ast.Constant):
+                out.edge(out.id(owner), f"env:{child.slice.value}", "References", "env-ref", child.lineno)
             elif isinstance(child, ast.ImportFrom) and child.level:
                 base = posixpath.dirname(path)
                 for _ in range(child.level - 1):
@@ -152,11 +165,13 @@ def extract_braces(path: str, text: str, lang: str, offset: int = 0, out: Rows |
                     if depth == 0:
                         end = stop.start() + b.start()
                         break
-            found.append((at, end if end is not None else clean.find("\n", at) % (len(clean) + 1), kind, m.group("name")))
+            head = stop.start() if stop else len(clean)
+            found.append((at, end if end is not None else clean.find("\n", at) % (len(clean) + 1), kind, m.group("name"), head))
     found.sort(key=lambda x: (x[0], -x[1]))
     open_: list[tuple[int, str, str]] = []
     taken: set[int] = set()
-    for at, end, kind, name in found:
+    symbols: list[Symbol] = []
+    for at, end, kind, name, head in found:
         if at in taken:
             continue
         taken.add(at)
@@ -167,16 +182,28 @@ def extract_braces(path: str, text: str, lang: str, offset: int = 0, out: Rows |
             continue
         if lang == "php" and kind == "Function" and owner_kind in ("Class", "Interface", "Enum"):
             kind = "Method"
+        if kind == "Property" and owner_kind not in ("Class", "Interface") or kind == "Variable" and owner:
+            continue
+        if kind == "Function" and name[:1].isupper() and path.endswith(("x", ".js")) and (re.search(r"return\s*\(?\s*<|=>\s*\(?\s*<", clean[at:end]) or "defineComponent(" in clean[at:head]):
+            kind = "Component"
         qn = f"{owner}.{name}" if owner and lang not in ("go",) else name
         out.node(kind, name, qn, line(at), line(end), owner)
+        symbols.append(Symbol(at, end, kind, qn, name, head))
         open_.append((end, qn, kind))
+    referrer = Referrer(out, text, clean, lang, symbols, line)
+    referrer.all()
     for m in re.finditer(IMPORTS.get(lang, r"(?!)"), text):
         if clean[m.start()].strip() or lang in ("go", "c", "cpp"):
-            out.edge(path, f"module:{_import_target(path, m.group(1), lang)}", "Imports", None, line(m.start()))
+            only_types = lang == "typescript" and re.search(r"\b(?:import|export)\s+type\b[^;'\"]*$", text[max(0, m.start() - 300) : m.start()].rpartition(";")[2].rpartition("\n")[2])
+            out.edge(path, f"module:{_import_target(path, m.group(1), lang)}", "ImportsType" if only_types else "Imports", None, line(m.start()))
     for m in re.finditer(ROUTES.get(lang, r"(?!)"), text):
         if clean[m.start()].strip():
             name = f"{'ANY' if m['verb'].lower() == 'all' else m['verb'].upper()} /{_parameters(m['path']).lstrip('/')}"
-            out.node("Route", name, name, line(m.start()), line(m.end()))
+            referrer.handlers(out.node("Route", name, name, line(m.start()), line(m.end())), m.start(), m.end())
+    for name, handler in file_routes(path, text) if lang in ("javascript", "typescript") else ():
+        route = out.node("Route", name, name, 1, 1)
+        if handler and handler in referrer.named:
+            out.edge(route, out.id(referrer.named[handler][0].qn), "References", "resolved", 1)
     return out
 
 
@@ -260,7 +287,10 @@ def extract_files(files: DataFrame, max_bytes: int = 1 << 20) -> tuple[DataFrame
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, SCHEMA)
-    seq = F.xxhash64("file").bitwiseAND(F.lit((1 << 46) - 1)) * 65536 + F.col("ord")  # a total order: by file, then emission
+    # a total order: by path, then emission; ids rise along a global sort, a partition of which is far below 2**33 files
+    rank = materialize(files.select(F.col("path").alias("file")).orderBy("path").withColumn("rank", F.monotonically_increasing_id()))
+    rows = materialize(rows.join(rank, "file"))
+    seq = F.col("rank") * 65536 + F.col("ord")
     nodes = rows.filter("is_node").select(seq.alias("seq"), F.when(F.col("qualified_name") == "", F.col("file")).otherwise(F.concat_ws("#", "file", "qualified_name")).alias("id"), "kind", "name", "file", "qualified_name", "start_line", "end_line", "tier", F.lit(False).alias("external"))
     edges = rows.filter("not is_node").select(seq.alias("seq"), "from_id", "to_id", "kind", "provenance", F.lit(None).cast("double").alias("confidence"), "line")
     return nodes, bind_modules(nodes, edges), rows.filter("error is not null").select("file", "error")

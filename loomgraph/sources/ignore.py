@@ -50,6 +50,11 @@ class Rules:
             target.append(f"^{scope}{'' if anchored else '(?:[^/]+/)*'}{body}(?:/|$)")
         return Rules(drop, keep)
 
+    def matches(self, path: str) -> bool:
+        """What :func:`ignored` says, for a path at hand."""
+        built_in = any(p in BUILT_IN or p.startswith(".") and p not in (".", "..") for p in path.split("/"))
+        return (built_in or any(re.search(r, path) for r in self.drop)) and not any(re.search(r, path) for r in self.keep)
+
 
 def ignored(path: Column, rules: Rules) -> Column:
     parts = F.split(path, "/")
