@@ -89,7 +89,11 @@ def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.export_documents(lens.star_graph(spark, sf_dir)).select("path", "symbols", "occurrences")
+    """All that the documents hold, read back from their JSON."""
+    read = aggregates.export_documents(lens.star_graph(spark, sf_dir)).select(F.from_json("document", aggregates.DOCUMENT).alias("d"))
+    symbols = read.select("d.path", F.inline("d.symbols")).select("path", F.lit("symbol").alias("part"), "symbol", F.col("kind").alias("what"), "name", F.col("range.startLine").alias("line"))
+    found = read.select("d.path", F.inline("d.occurrences")).select("path", F.lit("occurrence").alias("part"), "symbol", F.col("role").alias("what"), F.lit(None).cast("string").alias("name"), F.col("range.startLine").alias("line"))
+    return symbols.unionByName(found)
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +197,9 @@ SELECT facet, value, CAST(sum(k) AS BIGINT) AS n FROM u GROUP BY ALL"""),
         "a06_top_and_other": (lambda s, d: aggregates.top_and_other(lens.star_graph(s, d).edges.groupBy(F.col("to_id").alias("name")).agg(F.count("*").alias("n"))), f"WITH {_LENS}, c AS (SELECT to_id AS name, count(*) AS n FROM e GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, name LIMIT 100) SELECT name, n FROM t UNION ALL SELECT NULL, CAST((SELECT sum(n) FROM c) - (SELECT sum(n) FROM t) AS BIGINT)"),
         "a07_members_by_file": (g(aggregates.members_by_file), f"WITH {_LENS} SELECT file, count(*) AS n, arg_min(id, seq) AS first FROM n GROUP BY file"),
         "a08_call_sites": (_sites, f"WITH {_LENS} SELECT from_id, to_id, kind, arg_min(line, seq) AS line, CAST(count(*) AS INT) AS n_sites, CASE WHEN count(*) > 1 THEN string_agg(line, ',' ORDER BY seq) END AS site_lines FROM e WHERE line IS NOT NULL GROUP BY from_id, to_id, kind"),
-        "a09_export": (_export, f"WITH {_LENS}, o AS (SELECT file AS path, 1 AS d, 0 AS r FROM n WHERE kind <> 'File' UNION ALL SELECT n.file, 0, 1 FROM e JOIN n ON n.id = e.from_id WHERE e.kind IN ({', '.join(repr(k) for k in aggregates.REFERENCE_KINDS)})) SELECT path, CAST(sum(d) AS BIGINT) AS symbols, CAST(sum(r) AS BIGINT) AS occurrences FROM o GROUP BY path"),
+        "a09_export": (_export, f"""WITH {_LENS} SELECT file AS path, 'symbol' AS part, id AS symbol, kind AS what, name, start_line AS line FROM n WHERE kind <> 'File'
+UNION ALL SELECT file, 'occurrence', id, 'definition', NULL, start_line FROM n WHERE kind <> 'File'
+UNION ALL SELECT n.file, 'occurrence', e.to_id, 'reference', NULL, NULL FROM e JOIN n ON n.id = e.from_id WHERE e.kind IN ({', '.join(repr(k) for k in aggregates.REFERENCE_KINDS)})"""),
         "a10_dedup_edges": (_dedup, f"WITH {_LENS}, r AS (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, kind ORDER BY coalesce(confidence, -1) DESC, seq) AS k FROM e) SELECT from_id, to_id, kind, min(seq) AS seq, first(provenance ORDER BY k) FILTER (provenance IS NOT NULL) AS provenance, round(first(confidence ORDER BY k) FILTER (confidence IS NOT NULL), 6) AS confidence, first(line ORDER BY k) FILTER (line IS NOT NULL) AS line FROM r GROUP BY from_id, to_id, kind"),
         "g01_impact": (g(_impact, PART, 3), _impact_sql(PART, 3)),
         "g01_impact_unbounded": (g(_impact, CLASS, None), _impact_sql(CLASS, 40)),

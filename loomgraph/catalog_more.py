@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import is_deprioritized, is_test_file
 from .graph import Graph
-from .operators import aggregates, derive, maintain, relations, search
+from .operators import aggregates, derive, maintain, relations, scopes, search
 from .plans import lens
 from .streaming import changes
 
@@ -186,6 +186,13 @@ _MEMBERS = "mem AS (SELECT from_id AS owner, name, arg_max(id, x.seq) AS method
 _EXT = "regexp_extract(file, '(\\.[^./]*)$', 1)"
 
 
+FILES = "SELECT concat('src/d', doc_id % 7, CASE WHEN doc_id % 3 = 0 THEN '/in' ELSE '' END, '/f', doc_id, '.java') AS file FROM {documents}"
+CONFIGS = "SELECT concat('src', CASE WHEN doc_id % 7 < 3 THEN concat('/d', doc_id % 7) ELSE '' END, CASE WHEN doc_id % 14 = 1 THEN '/in' ELSE '' END, '/go.mod') AS path FROM {documents}"
+IMPORTED = "SELECT concat('src/d', doc_id % 7, '/in/f', doc_id, '.java') AS file, concat('in/f', 3 * (doc_id % 20), '.java') AS name FROM {documents}"
+NAMES = "SELECT DISTINCT concat('App.', lang, '.', source, '.C', doc_id % 9) AS name FROM {documents}"
+PREFIXES = "SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN 'App' WHEN 1 THEN concat('App.', lang) ELSE concat('App.', lang, '.', source) END AS prefix, concat('lib/', CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN lang ELSE concat(lang, '-', source) END) AS folder FROM {documents}"
+
+
 def pairs() -> dict[str, tuple[Query, str | None]]:
     """name -> (query, SQL)."""
     scope = lambda text, kinds, kind, provenance, group: f"WITH {_LENS}, c0 AS ({_sql(text)}), " + _BY_SCOPE.format(kinds=kinds, kind=kind, provenance=provenance, group=group)
@@ -220,6 +227,23 @@ SELECT min(c.seq) AS seq, from_id, id AS to_id, 'References' AS kind, 'env' AS p
 q AS (SELECT 'nation/3#C3' AS id UNION SELECT id FROM (SELECT id FROM n WHERE kind = 'Class' ORDER BY seq LIMIT 3)),
 r AS (SELECT from_id, to_id FROM e WHERE kind IN ('Inherits', 'Implements') UNION SELECT from_id, to_id FROM d)
 SELECT DISTINCT q.id, c.name FROM q JOIN c ON c.from_id = q.id WHERE NOT EXISTS (SELECT 1 FROM r JOIN n ON n.id = r.to_id WHERE r.from_id = q.id AND n.name = c.name)""",
+        ),
+        "j23_nearest_ancestor": (
+            lambda s, d: scopes.nearest_ancestor(made(s, d, IMPORTED), made(s, d, FILES).withColumnRenamed("file", "path")),
+            f"""WITH w AS (SELECT DISTINCT * FROM ({_sql(IMPORTED)})), f AS (SELECT DISTINCT file AS path FROM ({_sql(FILES)})), m AS (SELECT w.file, w.name, f.path,
+ length(regexp_replace(f.path, '/?' || replace(w.name, '.', '[.]') || '$', '')) AS depth FROM w JOIN f ON (f.path = w.name OR f.path LIKE '%/' || w.name) AND f.path <> w.file
+ AND starts_with(w.file, regexp_replace(f.path, replace(w.name, '.', '[.]') || '$', '')))
+SELECT file, name, arg_max(path, depth) AS target FROM m GROUP BY file, name""",
+        ),
+        "j24_longest_prefix": (
+            lambda s, d: scopes.longest_prefix(made(s, d, NAMES), made(s, d, PREFIXES), "."),
+            f"""WITH n AS ({_sql(NAMES)}), p AS ({_sql(PREFIXES)}), m AS (SELECT name, prefix, folder, row_number() OVER (PARTITION BY name ORDER BY length(prefix) DESC) AS rn FROM n JOIN p ON starts_with(name, prefix || '.'))
+SELECT name, prefix, folder, substr(name, length(prefix) + 2) AS rest FROM m WHERE rn = 1""",
+        ),
+        "j25_nearest_config": (
+            lambda s, d: scopes.nearest_config(made(s, d, FILES), made(s, d, CONFIGS)),
+            f"""WITH f AS (SELECT DISTINCT * FROM ({_sql(FILES)})), c AS (SELECT DISTINCT path, regexp_replace(path, 'go[.]mod$', '') AS folder FROM ({_sql(CONFIGS)}))
+SELECT file, arg_max(path, length(folder)) AS config FROM f JOIN c ON starts_with(file, folder) GROUP BY file""",
         ),
         "a02_counts": (lambda s, d: aggregates.counts(lens.star_graph(s, d)), f"WITH {_LENS} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges"),
         "a03_languages": (

@@ -75,13 +75,32 @@ def resolution_rate(stats: DataFrame) -> DataFrame:
     return stats.withColumn("rate", F.when(F.col("calls_total") > 0, F.col("calls_resolved") / F.col("calls_total")))
 
 
+RANGE = "struct<startLine:int,endLine:int>"
+DOCUMENT = f"path string, symbols array<struct<symbol:string,kind:string,name:string,range:{RANGE}>>, occurrences array<struct<symbol:string,role:string,range:{RANGE}>>"
+
+
 def export_documents(graph: Graph) -> DataFrame:
-    """(path, symbols, occurrences, document): the portable export, one JSON document a file."""
-    symbols = graph.nodes.filter(F.col("kind") != "File").select(F.col("file").alias("path"), F.struct("seq", F.lit("definition").alias("role"), F.col("id").alias("symbol"), "kind", F.col("start_line").alias("line")).alias("o"))
-    refs = graph.edges.filter(F.col("kind").isin(*REFERENCE_KINDS)).join(graph.nodes.select(F.col("id").alias("from_id"), "file"), "from_id")
-    refs = refs.select(F.col("file").alias("path"), F.struct("seq", F.lit("reference").alias("role"), F.col("to_id").alias("symbol"), "kind", "line").alias("o"))
-    grouped = symbols.unionByName(refs).groupBy("path").agg(F.sort_array(F.collect_list("o")).alias("all"), F.count_if(F.col("o.role") == "definition").alias("symbols"), F.count_if(F.col("o.role") == "reference").alias("occurrences"))
-    return grouped.select("path", "symbols", "occurrences", F.to_json(F.struct("path", F.transform("all", lambda o: F.struct(o["role"], o["symbol"], o["kind"], o["line"])).alias("occurrences"))).alias("document"))
+    """(path, document): the portable export, one JSON text a file, with its symbols and all occurrences in it: definitions in order, then
+    references by edges that leave its symbols, whether their target exists or not."""
+    span = F.when(F.col("start_line").isNotNull(), F.struct(F.col("start_line").cast("int").alias("startLine"), F.col("end_line").cast("int").alias("endLine")))
+    kinds = F.col("kind").isin(*REFERENCE_KINDS)
+    none = F.lit(None)
+    symbols = graph.nodes.filter(F.col("kind") != "File").select(F.col("file").alias("path"), F.lit(0).alias("part"), "seq", F.col("id").alias("symbol"), "kind", "name", span.alias("range"))
+    home = graph.nodes.select(F.col("id").alias("from_id"), F.col("file").alias("path"))
+    refs = graph.edges.filter(kinds).join(home, "from_id").select("path", F.lit(1).alias("part"), "seq", F.col("to_id").alias("symbol"), none.cast("string").alias("kind"), none.cast("string").alias("name"), none.cast(RANGE).alias("range"))
+    rows = F.sort_array(F.collect_list(F.struct("part", "seq", "symbol", "kind", "name", "range")))
+    grouped = symbols.unionByName(refs).groupBy("path").agg(rows.alias("rows"))
+    defined = F.transform(F.filter("rows", lambda r: r["part"] == 0), lambda r: F.struct(r["symbol"].alias("symbol"), r["kind"].alias("kind"), r["name"].alias("name"), r["range"].alias("range")))
+    role = lambda r: F.when(r["part"] == 0, "definition").otherwise("reference")
+    occurring = F.transform("rows", lambda r: F.struct(r["symbol"].alias("symbol"), role(r).alias("role"), r["range"].alias("range")))
+    return grouped.select("path", F.to_json(F.struct("path", defined.alias("symbols"), occurring.alias("occurrences"))).alias("document"))
+
+
+def export_index(graph: Graph, root: str, path: str) -> None:
+    """Writes the export below ``path``: the documents in order, one a line, and a header with version and root."""
+    export_documents(graph).orderBy("path").select("document").write.mode("overwrite").text(f"{path}/documents")
+    header = graph.nodes.sparkSession.createDataFrame([("0.1", root)], "version string, root string")
+    header.coalesce(1).write.mode("overwrite").json(f"{path}/index")
 
 
 def overloads(methods: DataFrame) -> DataFrame:

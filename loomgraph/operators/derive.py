@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dirname, segments, simple_name
+from ..plans.durable import materialize
 from .aggregates import dedup_edges
 
 COLUMNS = ["seq", "from_id", "to_id", "kind", "provenance", "confidence", "line"]
@@ -107,7 +108,7 @@ def env_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def derive_all(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Base edges and all derived ones, deduplicated with base edges first. Dispatch sees type edges, nothing else derived."""
     base = edges.filter(F.coalesce("provenance", F.lit("")).isin("dispatch", "call", "type", "prisma", "route-test", "env") == F.lit(False)).select(COLUMNS)
-    types = type_edges(nodes, base)
+    types = materialize(type_edges(nodes, base))
     every = base
     for i, d in enumerate((types, dispatch_edges(nodes, base.unionByName(types)), call_edges(nodes, base), prisma_edges(nodes, base), route_edges(nodes, base), env_edges(nodes, base))):
         every = every.unionByName(d.withColumn("seq", F.col("seq") + F.lit((i + 1) * 10**17)))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..operators.scopes import nearest_ancestor
 from ..plans.durable import materialize
 from .references import Referrer, Symbol, file_routes
 
@@ -293,20 +294,24 @@ def extract_files(files: DataFrame, max_bytes: int = 1 << 20) -> tuple[DataFrame
     seq = F.col("rank") * 65536 + F.col("ord")
     nodes = rows.filter("is_node").select(seq.alias("seq"), F.when(F.col("qualified_name") == "", F.col("file")).otherwise(F.concat_ws("#", "file", "qualified_name")).alias("id"), "kind", "name", "file", "qualified_name", "start_line", "end_line", "tier", F.lit(False).alias("external"))
     edges = rows.filter("not is_node").select(seq.alias("seq"), "from_id", "to_id", "kind", "provenance", F.lit(None).cast("double").alias("confidence"), "line")
-    return nodes, bind_modules(nodes, edges), rows.filter("error is not null").select("file", "error")
+    return nodes, materialize(bind_modules(nodes, edges)), rows.filter("error is not null").select("file", "error")
 
 
 def bind_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``module:`` targets joined to File nodes: the path itself, with an extension, an index file of a folder, or a path's end."""
+    """``module:`` targets joined to File nodes: the path itself, with an extension, or an index file of a folder; a package path (``*/``)
+    to the file of that path below the nearest folder above the importing one."""
     files = nodes.filter(F.col("kind") == "File").select(F.col("id").alias("target"))
     stem = F.regexp_replace("target", r"\.[^./]+$", "")
-    whole = files.select("target", F.explode(F.array_distinct(F.array("target", stem, F.regexp_replace(stem, r"/(index|__init__|mod)$", "")))).alias("key"))
-    parts = F.split(stem, "/")
-    tails = files.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("*/"), F.array_join(F.slice(parts, i, F.size(parts)), "/")))).alias("key"))
-    keys = whole.unionByName(tails).groupBy("key").agg(F.min("target").alias("target"))
+    keys = files.select("target", F.explode(F.array_distinct(F.array("target", stem, F.regexp_replace(stem, r"/(index|__init__|mod)$", "")))).alias("key")).groupBy("key").agg(F.min("target").alias("target"))
     named = edges.filter(F.startswith("to_id", F.lit("module:"))).withColumn("key", F.regexp_replace(F.expr("substring(to_id, 8)"), r"\.(js|mjs|cjs|jsx)$", ""))
-    bound = named.join(keys, "key").select("seq", "from_id", F.col("target").alias("to_id"), "kind", "provenance", "confidence", "line").filter("from_id <> to_id")
-    return edges.filter(~F.startswith("to_id", F.lit("module:"))).unionByName(bound)
+    package = F.startswith("key", F.lit("*/"))
+    plain = named.filter(~package).join(keys, "key")
+    below = named.filter(package).withColumn("name", F.expr("substring(key, 3)")).withColumn("file", F.col("from_id"))
+    nearest = nearest_ancestor(below, keys.select(F.col("key").alias("path"))).withColumnRenamed("target", "key")
+    found = below.drop("key").join(nearest, ["file", "name"]).join(keys, "key")
+    columns = ["seq", "from_id", "to_id", "kind", "provenance", "confidence", "line"]
+    bound = plain.drop("to_id").withColumnRenamed("target", "to_id").select(columns).unionByName(found.drop("to_id").withColumnRenamed("target", "to_id").select(columns))
+    return edges.filter(~F.startswith("to_id", F.lit("module:"))).unionByName(bound.filter("from_id <> to_id"))
 
 
 def sidecar_rows(lines: Iterator[str]) -> Iterator[dict]:
