@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 NODE_KINDS = ("File", "Module", "Class", "Interface", "Enum", "Function", "Method", "Property", "Variable", "TypeAlias", "Route", "Component")
 EDGE_KINDS = ("Defines", "Imports", "ImportsType", "Calls", "References", "UsesType", "Returns", "Instantiates", "Implements", "Inherits", "Overrides")
 PROVENANCES = ("resolved", "heuristic", "dispatch", "call-ref", "call", "type", "prisma-ref", "prisma", "route-test", "env-ref", "env")
-STRATEGIES = ("exact", "arity-fallback", "implicit-constructor", "heuristic")
+STRATEGIES = ("exact-type", "arity-fallback", "implicit-constructor", "heuristic")
 TIERS = ("deep", "baseline")
 
 RANGE = T.StructType([T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])

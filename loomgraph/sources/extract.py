@@ -7,7 +7,6 @@ and their extents by brace depth. Prisma, dotenv and single-file components are
 from __future__ import annotations
 
 import ast
-import json
 import posixpath
 import re
 from collections.abc import Iterator
@@ -314,15 +313,4 @@ def bind_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.filter(~F.startswith("to_id", F.lit("module:"))).unionByName(bound.filter("from_id <> to_id"))
 
 
-def sidecar_rows(lines: Iterator[str]) -> Iterator[dict]:
-    """Validated nodes and edges of a line-delimited JSON analyzer result."""
-    from ..schemas import EDGE_KINDS, NODE_KINDS
-
-    for text in lines:
-        message = json.loads(text)
-        if message.get("type") == "result":
-            yield from ({"is_node": True, **n} for n in message.get("nodes", []) if n.get("kind") in NODE_KINDS)
-            yield from ({"is_node": False, **e} for e in message.get("edges", []) if e.get("kind") in EDGE_KINDS)
-
-
 __all__ = ["BY_EXTENSION", "extension", "extract", "extract_files", "bind_modules"]

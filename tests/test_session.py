@@ -1,13 +1,14 @@
 """Index a small tree of several languages, ask about it, change it, and index it again."""
 
 import struct
+import sys
 import zipfile
 
 import pytest
 
 from loomgraph.functions import text as paths
 from loomgraph.session import Session, rendered
-from loomgraph.sources import bytecode, walk
+from loomgraph.sources import bytecode, sidecar, walk
 from loomgraph.sources.extract import extract
 
 TREE = {
@@ -126,3 +127,25 @@ def test_class_files(spark, tmp_path):
     assert [(r["class"], r["archive"].endswith("a.jar"), r["methods"][0]["parameters"]) for r in rows] == [("p.A", True, ["int", "java.lang.String[]"])]
     assert errors.count() == 2
     assert bytecode.receiver_hierarchy(classes, "p.A") == ["p.A", "q.B", "q.I"]
+
+
+SIDECAR = """
+import json, sys
+print(json.dumps({"type": "ready", "language": "x"}), flush=True)
+for line in sys.stdin:
+    r = json.loads(line)
+    bad = any("bad" in f for f in r["files"])
+    nodes = [{"id": f, "kind": "Nothing" if bad else "File", "name": f, "file": f, "qualifiedName": "", "tier": "deep", "range": {"startLine": 1, "endLine": 2}} for f in r["files"]]
+    print(json.dumps({"type": "result", "id": r["id"], "nodes": nodes, "edges": [{"from": r["files"][0], "to": "b", "kind": "Imports"}]}), flush=True)
+"""
+
+
+def test_sidecar(spark, tmp_path):
+    (tmp_path / "s.py").write_text(SIDECAR)
+    one = sidecar.Sidecar("x", (".x",), (sys.executable, str(tmp_path / "s.py")))
+    assert one.available() and not sidecar.Sidecar("y", (".y",), ("/no/such/program",)).available()
+    files = spark.createDataFrame([("a.x",), ("bad.x",), ("c.other",)], "path string").coalesce(1)
+    rows = sidecar.analyze(files, "/w", one, batch=1).collect()
+    assert [(r["id"], r["kind"], r["end_line"]) for r in rows if r["is_node"]] == [("a.x", "File", 2)]
+    assert [(r["from_id"], r["kind"]) for r in rows if r["is_node"] is False] == [("a.x", "Imports")]
+    assert [r["file"] for r in rows if r["error"]] == ["bad.x"]
