@@ -7,7 +7,8 @@ of position are the view.
 
 Edge cases: a null text is an empty message; a null role is the speaker "unknown"; a null turn comes last; ties of turn go by
 speaker and text, and rows that are the same in all of these are separate messages; a conversation of fixed speakers only has
-no view; an empty table gives an empty result.
+no view; messages of any length are rendered whole; other columns are not read; an empty table gives an empty result. A text that
+holds the marks of a turn itself is rendered as it is: spans and masks, not marks, say where a turn ends.
 """
 
 from __future__ import annotations

@@ -5,13 +5,15 @@ vectorised comparison); a prefix scan over block summaries, in two levels, gives
 open document's tokens before it.
 
 Edge cases: an empty document counts 0 tokens; ids after a file's last end id are a last document of their own; a block without
-an end id only carries; empty files and tables give no rows; a null text is an empty document.
+an end id only carries; empty files and tables give no rows; a null text is an empty document; rows with a null or shared doc_id, and
+repeated rows, are documents each; texts and files of any length are counted whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,20 +25,43 @@ BYTE_END = 0xFF  # no byte of UTF-8 text; the end id of files that hold bytes as
 BLOCKS = "file string, block long, payload binary"
 
 
-def read_token_files(spark: SparkSession, path: str, id_bytes: int, block_tokens: int = 1 << 20) -> DataFrame:
-    """Blocks of binary token files. One file is read by one task, so writers should keep files at or below some 100 MB."""
+def read_token_files(spark: SparkSession, path: str, id_bytes: int, block_tokens: int = 1 << 20, whole_bytes: int = 128 << 20) -> DataFrame:
+    """Blocks of binary token files (one file, or a folder of them).
+
+    Files of at most ``whole_bytes`` come through Spark's own reader, one a task. Larger ones, of any size, are read by byte range, a
+    block a row, through Arrow's file systems; these have to reach the files (local or mounted paths, hdfs, s3, gs).
+    """
+
+    def checked(name: str, size: int) -> None:
+        if size % id_bytes:
+            raise ValueError(f"{name}: {size} bytes are no whole number of {id_bytes}-byte ids")
+
+    def row(name: str, block: int, payload: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
+
+    step = block_tokens * id_bytes
 
     def cut(batches):
-        step = block_tokens * id_bytes
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 view = content.as_buffer()
-                if view.size % id_bytes:
-                    raise ValueError(f"{name}: {view.size} bytes are no whole number of {id_bytes}-byte ids")
+                checked(name, view.size)
                 for k in range(0, view.size, step):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // step], pa.int64()), pa.array([view.slice(k, min(step, view.size - k)).to_pybytes()], pa.binary())], names=["file", "block", "payload"])
+                    yield row(name, k // step, view.slice(k, min(step, view.size - k)).to_pybytes())
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tk.lean(cut), BLOCKS)
+    def ranged(batches):
+        for batch in batches:
+            for name, size, k in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "block")), strict=True):
+                checked(name, size)
+                files, inner = fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+                with files.open_input_file(inner) as f:
+                    yield row(name, k, f.read_at(min(step, size - k * step), k * step))
+
+    found = spark.read.format("binaryFile").load(path)
+    small = found.filter(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(tk.lean(cut), BLOCKS)
+    large = found.filter(F.col("length") > whole_bytes).select("path", "length")  # no contents: names and sizes only
+    blocks = large.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))))
+    return small.unionByName(blocks.repartition("path", "block").mapInArrow(tk.lean(ranged), BLOCKS))
 
 
 def byte_token_blocks(docs: DataFrame, block_tokens: int = 1 << 20) -> DataFrame:

@@ -5,7 +5,7 @@ candidates around a query is then the order of inner products. A subtree is skip
 distance exceeds the distance of the query's current k-th neighbour; factor 1 is exact, a larger one skips more.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part; a query meets vectors of its own
-length only; repeated rows are separate candidates; ties go to the smaller vec_id; fewer candidates than k are all returned;
+length only; a null vec_id takes no part; repeated rows are separate candidates; other columns are not read; ties go to the smaller vec_id; fewer candidates than k are all returned;
 an empty table gives an empty result.
 """
 
