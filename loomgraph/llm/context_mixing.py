@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from . import word_mixer
-from .common import materialize
+from .common import materialize, small_batches
 
 STOP = 32  # ends a word: no word holds it
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 5)
 TABLE_BITS = 20  # at least; more as more contexts are there
 SPARSE = 16  # contexts of which one is counted to size the tables
 SEGMENT = 4096
@@ -238,7 +238,7 @@ def refine(x: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
     return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-np.clip(x, -12, 12))), 1e-6, 1 - 1e-6)
 
 
-_START = np.array([0.1, 0.1, 0.2, 0.3, 0.4, 0.0])
+_START = np.array([0.1, 0.2, 0.35, 0.35, 0.0])
 _CENTERS = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
 
 
@@ -296,6 +296,7 @@ def text_classes(c: tk.Chunk) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, modulus: int, held: int) -> DataFrame:
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~training(modulus, held)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
 
@@ -542,7 +543,8 @@ def escape_logs(spelled: np.ndarray, count: np.ndarray, of: np.ndarray, kept: np
 
 def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
     """Per document: tokens, bytes of words and ends, those in the tree with their log10 sum, and the log probability of all tokens in
-    the tree and of the escapes; and all other words (document, hash, spelling, occurrences, kept and repeated share of each)."""
+    the tree, of the escapes and of what first times keep; and all other words (document, hash, spelling, further occurrences, kept and
+    repeated share of each of these)."""
     n = c.n_docs
     hashes = c.word_hashes(lower=True)
     unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -573,18 +575,22 @@ def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.
     place = place[order]
     share = REPEATS * place / (place + REPEATS_AFTER)
     start = rare[order[run]]
+    # a word's first time in a document has no share of what was before: what is kept then belongs to the document's own sum
+    logs += np.bincount(c.doc[start], weights=np.log(1 - share[run]), minlength=n)
+    again = before > 0
     return (
         {"n_tokens": c.n_words + 1, "n_bytes": np.bincount(c.doc, weights=c.end - c.start, minlength=n).astype(np.int64) + c.n_words + 1, "n_tree": np.bincount(c.doc[known_at], minlength=n), "tree_sum": sums, "logs": logs},
-        (c.doc[start], hashes[start], spelled[inverse[start]], times, 1 - share, share * before / np.maximum(place, 1)),
+        (c.doc[start], hashes[start], spelled[inverse[start]], times - 1, (1 - share)[again], (share * before / np.maximum(place, 1))[again]),
     )
 
 
 _DOCUMENT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "n_tree": pa.int64(), "tree_sum": pa.float64(), "logs": pa.float64()}
-_WORD = {"word": pa.int64(), "spelled": pa.float64(), "kept": pa.list_(pa.float64()), "repeated": pa.list_(pa.float64())}
+_WORD = {"word": pa.int64(), "spelled": pa.float32(), "kept": pa.list_(pa.float32()), "repeated": pa.list_(pa.float32())}
 
 
 def _lists(length: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(values, pa.float64()))
+    offsets = pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32(), mask=np.append(length == 0, False))
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))
 
 
 def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
@@ -606,11 +612,11 @@ def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
                 n, k = c.n_docs, len(word)
                 yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), *(pa.array(got[name], kind) for name, kind in list(_DOCUMENT.items())[2:]), *(pa.nulls(n, t) for t in _WORD.values())], names=names)
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *(pa.nulls(k, t) for t in _DOCUMENT.values()), pa.array(word.view(np.int64)), pa.array(spelled), _lists(times, kept), _lists(times, repeated)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *(pa.nulls(k, t) for t in _DOCUMENT.values()), pa.array(word.view(np.int64)), pa.array(spelled, pa.float32()), _lists(times, kept), _lists(times, repeated)], names=names)
                 first += n
                 done += n
 
-    return rows.mapInArrow(tk.lean(run), "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_tree long, tree_sum double, logs double, word long, spelled double, kept array<double>, repeated array<double>")
+    return rows.mapInArrow(tk.lean(run), "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_tree long, tree_sum double, logs double, word long, spelled float, kept array<float>, repeated array<float>")
 
 
 def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
@@ -639,10 +645,12 @@ def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
             sums = np.zeros((int(owner[-1]) + 1, 3))
             if not is_doc.all():
                 rare, who = batch.filter(pa.array(~is_doc)), owner[~is_doc]
-                times = rare.column("kept").value_lengths().to_numpy()
-                of = np.repeat(np.arange(len(times)), times)
+                times = rare.column("kept").value_lengths().fill_null(0).to_numpy()
+                first = np.arange(len(times))
+                of = np.concatenate([first, np.repeat(first, times)])
+                kept, repeated = (np.concatenate([np.full(len(times), x), rare.column(name).flatten().to_numpy()]) for name, x in (("kept", 1.0), ("repeated", 0.0)))
                 n = rare.column("n").to_numpy()
-                logs = escape_logs(rare.column("spelled").to_numpy(), n, of, rare.column("kept").flatten().to_numpy(), rare.column("repeated").flatten().to_numpy(), scale)
+                logs = escape_logs(rare.column("spelled").to_numpy().astype(float), n, of, kept, repeated, scale)
                 for j, x in enumerate([logs, (n > 0)[of], np.log10(n + 1.0)[of]]):
                     sums[:, j] = np.bincount(who[of], weights=x, minlength=len(sums))
             docs = batch.select(list(_DOCUMENT)).filter(pa.array(is_doc))
@@ -664,7 +672,7 @@ def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
     return together.mapInArrow(tk.lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, share_bits: int = 20) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, share_bits: int = 22) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probability) and bits_per_byte (of the words
     and one byte for each token's end)."""
     rows = _rows(docs, modulus, held)

@@ -4,10 +4,10 @@ A token is a path in a binary code tree of the frequent words, an end and an esc
 contexts, all hashed with the tree node: the training counts below the node; what this document has decided at the node so far; the
 same after the same previous word; and after the same two previous words. The predictions are mixed in the logistic domain by weights
 that a gate selects (which contexts have been seen, and how deep the node lies), and refined by a map of mixed predictions to
-outcomes. Every document starts from the same weights and an even map, and moves both after each token by what the token's bits
-were: the score of a text depends on nothing but the model and the text.
+outcomes. Every document starts from the same weights and an even map, and moves both by what the bits of its last turn were: a turn
+is a token at first, then 4 and from some hundreds on 16 (TURNS). The score of a text depends on nothing but the model and the text.
 
-All documents of a chunk advance together, a token a step: contexts and their counts are known beforehand, since they depend on the
+All documents of a chunk advance together, turn by turn: contexts and their counts are known beforehand, since they depend on the
 text alone, so that only weights and maps are carried from step to step.
 """
 
@@ -26,6 +26,8 @@ WEIGHTS = np.array([1.0, 0.6, 0.5, 0.5])
 PRIOR = (2.0, 0.6, 0.3)  # decisions that a document's own counts are worth less than
 RATE, LEAST_RATE, SETTLING = 0.03, 0.004, 30.0
 MAP_RATE = 0.03
+#: (first token, tokens a turn): the further a document has come, the less a token moves
+TURNS = ((0, 1), (64, 4), (512, 16))
 START_KEY = np.uint64(0x5A5A5A5A5A5A5A5A)
 
 
@@ -187,6 +189,26 @@ def _inner_ids(*columns: np.ndarray) -> np.ndarray:
     return np.where(n[inverse] > 1, inverse, -1)
 
 
+def turn_of(place: np.ndarray) -> np.ndarray:
+    """The turn of each token by its place in the document."""
+    out, base = np.asarray(place).copy(), 0
+    for (first, size), following in zip(TURNS, (*TURNS[1:], None), strict=True):
+        late = place >= first
+        out[late] = base + (place[late] - first) // size
+        if following is not None:
+            base += (following[0] - first) // size
+    return out
+
+
+def first_token(turn: int) -> int:
+    """The first token of a turn."""
+    for (first, size), following in zip(TURNS, (*TURNS[1:], None), strict=True):
+        if following is None or turn < (following[0] - first) // size:
+            return first + turn * size
+        turn -= (following[0] - first) // size
+    raise AssertionError
+
+
 def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray, n_docs: int) -> np.ndarray:
     """Natural logarithm of the probability of each document's tokens (leaf, doc in order, key: hash of the word)."""
     if not len(leaf):
@@ -205,35 +227,40 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
     offset = np.cumsum(size) - size
     source = np.arange(len(token)) + np.repeat(start[which] - offset, size)
     node, bit = node_of[source], bit_of[source]
-    depth = np.minimum(source - start[which][token], 4 * DEPTHS - 1) // 4
-    del source
-    x = np.zeros((len(token), INPUTS), np.float32)
-    x[:, 0] = tree.stretched[node]
-    ones = tree.ones[node]
-    gate = depth.astype(np.int8)
+    # a node that the document has not met has only the training counts below it: a token's path is taken whole, and what was met is
+    # taken out again
+    straight = np.log(np.where(bit_of == 1, tree.ones[node_of], 1 - tree.ones[node_of]))
+    straight = np.add.reduceat(straight, start) if len(straight) else np.zeros(len(unique))
+    out = np.bincount(doc, weights=straight[which], minlength=n_docs)
     # a document's own decisions at the node, by rising context; a context that occurs once has nothing before it
     salt = doc.astype(np.uint64)
     nodes = np.int64(len(tree.below))
-    for k, context in enumerate((doc.astype(np.int64), _inner_ids(salt, before), _inner_ids(salt, before, earlier))):
-        key_of = context * nodes
-        if k == 0:
-            at, zero, one = seen_before(key_of[token] + node, bit)
-        else:
+    at, zero, one = seen_before((doc * nodes)[token] + node, bit)
+    place_of = np.full(len(token), -1, np.int32)
+    place_of[at] = 0
+    met = np.flatnonzero(place_of == 0)
+    place_of[met] = np.arange(len(met), dtype=np.int32)
+    base = tree.stretched[node[met]]
+    ones = tree.ones[node[met]]
+    x = np.zeros((len(met), INPUTS), np.float32)
+    x[:, 0] = base
+    gate = np.minimum(source[met] - start[which][token[met]], 4 * DEPTHS - 1) // 4
+    del source
+    for k, context in enumerate((None, _inner_ids(salt, before), _inner_ids(salt, before, earlier))):
+        if k:
             some = np.flatnonzero((context >= 0)[token])
-            at, zero, one = seen_before(key_of[token[some]] + node[some], bit[some])
+            at, zero, one = seen_before((context * nodes)[token[some]] + node[some], bit[some])
             at = some[at]
-        s, p = np.float32(PRIOR[k]), ones[at]
-        x[at, 1 + k] = np.log((one + s * p) / (zero + s - s * p)) - x[at, 0]
-        gate[at] = gate[at] % DEPTHS + DEPTHS * (k + 1)
-    # a node that the document has not met has only the training counts below it
-    met = gate >= DEPTHS
-    alone = np.flatnonzero(~met)
-    static = np.where(bit[alone] == 1, ones[alone], 1 - ones[alone])
-    out = np.bincount(doc[token[alone]], weights=np.log(static), minlength=n_docs)
-    x, bit, gate, token = x[met], bit[met], gate[met] - DEPTHS, token[met]
-    # steps: all documents' tokens of one place, the long documents first
+        to = place_of[at]  # what has been decided after a context has been decided at the node
+        s, p = np.float32(PRIOR[k]), ones[to]
+        x[to, 1 + k] = np.log((one + s * p) / (zero + s - s * p)) - base[to]
+        gate[to] = gate[to] % DEPTHS + DEPTHS * k
+    bit, token = bit[met], token[met]
+    out -= np.bincount(doc[token], weights=np.log(np.where(bit == 1, ones, 1 - ones)), minlength=n_docs)
+    # steps: all documents' tokens of one turn, the long documents first
     rank = np.empty(n_docs, np.int64)
     rank[np.argsort(-np.bincount(doc, minlength=n_docs), kind="stable")] = np.arange(n_docs)
+    place = turn_of(place)
     spread = (place * n_docs + rank[doc]) * GATES
     turn = _sorted(spread[token] + gate, max(1, len(token).bit_length()))
     token, gate = token[turn], gate[turn]
@@ -242,7 +269,7 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
 
 
 def _advance(x: np.ndarray, bit: np.ndarray, cell: np.ndarray, place: np.ndarray, token: np.ndarray, n_docs: int) -> np.ndarray:
-    """Natural logarithm of the probability of each decision; decisions come by place of their token, then cell (document and gate)."""
+    """Natural logarithm of the probability of each decision; decisions come by turn (``place``) of their token, then cell (document and gate)."""
     weights = np.tile(WEIGHTS.astype(np.float32), (n_docs * GATES, 1))
     centers = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
     refined = np.tile(centers.astype(np.float32), n_docs * GATES)
@@ -269,7 +296,7 @@ def _advance(x: np.ndarray, bit: np.ndarray, cell: np.ndarray, place: np.ndarray
         near = base[i:j] + ((mixed + eight) * scale + half).astype(np.int64)
         mapped = refined[near]
         p[i:j] = plain + mapped
-        rate = np.float32(max(LEAST_RATE, RATE / (1 + t / SETTLING)))
+        rate = np.float32(max(LEAST_RATE, RATE / (1 + first_token(t) / SETTLING)))
         slope = xs * ((b - plain) * rate)[:, None]
         weights[run_cells[u:v]] += np.add.reduceat(slope, runs[u:v] - i, axis=0)
         refined[near] = mapped + np.float32(MAP_RATE) * (b - mapped)
