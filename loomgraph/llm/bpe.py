@@ -6,7 +6,7 @@ neighbouring ranks, until no row has a mergeable pair. A word longer than ``SHOR
 own length class, and one over ``LONG`` bytes a heap over linked parts, which picks the same merges.
 
 Edge cases: a null or empty text has no ids; the special token's string inside a text is that token, as in the library; texts
-of any length are encoded whole; repeated rows each give a row; an empty table gives an empty result.
+of any length are encoded whole; rows with a null or shared doc_id, and repeated rows, each give a row; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkernel as tk
+from .common import small_batches
+
 LONG = 256
 _NONE = np.iinfo(np.int32).max
 #: fixed value: the pattern of the ByteLevel pre-tokenizer, with white space as Unicode defines it
@@ -222,6 +225,7 @@ def read_spec(path: str) -> str:
 
 def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the decoded text and, if asked for, the ids themselves."""
+    small_batches(docs)
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))  # a vocabulary file: a few MB at any input size
 
     def run(batches):
@@ -237,4 +241,4 @@ def encode(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True) -> DataF
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tk.lean(run), schema)

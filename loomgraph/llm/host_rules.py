@@ -11,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as tk
-from .common import materialize
+from .common import materialize, small_batches
 
 METRICS = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
@@ -60,7 +61,7 @@ def chunk_metrics(c: tk.Chunk, width: int = 8) -> dict[str, np.ndarray]:
 def _measure(batches):
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     for batch in batches:
-        parts = [chunk_metrics(c) for c in tk.chunks(batch.column("text"))]
+        parts = [chunk_metrics(c) for c in tk.chunks(tk.text_of(batch), 1_000_000)]
         arrays = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.empty(0), pa.int64()) for k in names]
         kept = [k for k in batch.schema.names if k != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *arrays], names=[*kept, *names])
@@ -68,7 +69,8 @@ def _measure(batches):
 
 def text_metrics(docs: DataFrame, host: str = "source") -> DataFrame:
     """Per document: the counts that the rules use."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, METRICS)
+    small_batches(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")).mapInArrow(tk.lean(_measure), METRICS)
 
 
 def base_failed() -> Column:
@@ -120,8 +122,8 @@ def kept_rows(docs: DataFrame, host: str = "source", factor: float = 2.0, small_
     """The rows of ``docs``, all columns, that the rules keep. Texts are measured twice: for the hosts' rates, then on the way through,
     so that each row has its own verdict and no text is written in between."""
     verdicts = host_verdicts(text_metrics(docs, host), factor)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    schema = rows.drop("text").schema
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).cast("string").alias("host"))
+    schema = StructType([*rows.schema.fields])
     for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
         schema = schema.add(name, "long")
-    return _with_verdicts(rows.mapInArrow(_measure, schema), verdicts, small_hosts).filter("kept").select("row.*")
+    return _with_verdicts(rows.mapInArrow(tk.lean(_measure), schema), verdicts, small_hosts).filter("kept").select("row.*")

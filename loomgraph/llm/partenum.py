@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import materialize
+from .common import materialize, small_batches
 
 U64 = np.uint64
 WIDTH = 5
@@ -36,7 +36,6 @@ DENSE = 1  # pairs passed on for each set of a signature; with more, a centre st
 WIDE = 2048  # sets of a signature whose profiles are all compared; those of one with more are dealt to bins of about half as many
 HELD = 65_536  # sets of one signature that a task holds
 ROUNDS = 3  # with another centre each; the last compares what is still apart
-PLACE = 4096  # rows of one component's signatures that meet in a task, about
 N2, K2 = 2, 1
 
 
@@ -136,6 +135,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
@@ -163,7 +163,7 @@ def set_classes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, c.n_docs), batch.column("key").slice(first, c.n_docs), pa.array(size, pa.int64()), _signed(fp), _signed(fp2), profiles(doc, element, c.n_docs)], names=["doc_id", "key", "n_shingles", "fp", "fp2", "profile"])
                 first += c.n_docs
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, fp long, fp2 long, profile binary")
+    return _texts(docs).mapInArrow(tk.lean(run), "doc_id long, key long, n_shingles long, fp long, fp2 long, profile binary")
 
 
 def signed_sets(docs: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def signed_sets(docs: DataFrame) -> DataFrame:
                 if len(owner):
                     yield pa.RecordBatch.from_arrays([_signed(sig), _signed(fp[owner])], names=["sig", "fp"])
 
-    return _texts(docs).select("text").mapInArrow(run, "sig long, fp long")
+    return _texts(docs).select("text").mapInArrow(tk.lean(run), "sig long, fp long")
 
 
 def _groups(key: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
             yield split(held_sig, held_fp)
         yield flush()
 
-    return signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(run, "sig long, a long, b long")
+    return signed.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(tk.lean(run), "sig long, a long, b long")
 
 
 def may_link(x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> np.ndarray:
@@ -283,7 +283,7 @@ def close_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("fp").alias("a"), F.col("size").alias("na"), F.col("profile").alias("pa"))
     b = sets.select(F.col("fp").alias("b"), F.col("size").alias("nb"), F.col("profile").alias("pb"))
     near = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(tk.lean(run), "a long, b long")
 
 
 def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -293,8 +293,7 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
     group's centre of this turn, and a row with a and b null that says that the signature needs another look. The sets of a signature
     with more than WIDE are dealt anew in each turn to bins of about WIDE / 2, each a group of its own, so that no task holds them
     all; such a signature always needs another look (after the last turn, the one by rare elements).
-    Signatures with the same least set meet in as few tasks as PLACE rows each allow, so that a pair with many signatures in common
-    leaves a row in each of these only.
+    Signatures with the same least set meet in a few tasks, so that a pair with many signatures in common leaves a row in each of these only.
     """
 
     last = turn == ROUNDS - 1
@@ -363,17 +362,17 @@ def group_pairs(rows: DataFrame, turn: int) -> DataFrame:
 
     bins = F.ceil(F.col("n") * 2 / WIDE)
     binned = rows.withColumn("bin", F.when(F.col("n") > WIDE, F.pmod(F.xxhash64("fp", F.lit(turn)), bins)).otherwise(F.lit(-1).cast("long")))
-    heavy = materialize(rows.groupBy("lead").agg(F.count("*").alias("rows")).filter(F.col("rows") > PLACE).select("lead", F.ceil(F.col("rows") / PLACE).alias("places")))
-    if heavy.count() <= 1_000_000:  # two numbers a row; a larger table is a shuffled join
-        heavy = F.broadcast(heavy)
-    binned = binned.join(heavy, "lead", "left")
-    near = F.xxhash64("lead", "bin", F.pmod(F.xxhash64("sig"), F.coalesce("places", F.lit(1).cast("long"))))
+    near = F.pmod(F.xxhash64("lead", "bin", F.col("sig").bitwiseAND(F.lit(3 if turn else 7))), F.lit(1 << 20))
     placed = binned.withColumn("near", near).repartition("near").sortWithinPartitions("sig", "bin", "fp")
-    return placed.select("sig", "bin", "fp", "label", "size", "profile").mapInArrow(run, "sig long, a long, b long")
+    return placed.select("sig", "bin", "fp", "label", "size", "profile").mapInArrow(tk.lean(run), "sig long, a long, b long")
 
 
-def unpacked(elements: bytes) -> np.ndarray:
-    return np.frombuffer(elements, ">u8").astype(np.uint64)
+def _elements(column: pa.Array) -> list[np.ndarray]:
+    """Each row's elements, as views of the column's buffer."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [data[i:j].view(">u8") for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -381,21 +380,20 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+            left, right = _elements(batch.column("left")), _elements(batch.column("right"))
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = unpacked(left[i]), unpacked(right[i])
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                x, y = sorted((left[i], right[i]), key=len)
+                if 100 * len(x) < percent * len(y):
                     continue
-                if len(x) > len(y):
-                    x, y = y, x
+                x, y = x.astype(np.uint64), y.astype(np.uint64)
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("fp").alias("b"), F.col("elements").alias("right")), "b").join(sets.select(F.col("fp").alias("a"), F.col("elements").alias("left")), "a")
-    return joined.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "left", "right").mapInArrow(tk.lean(run), "a long, b long")
 
 
 def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -427,7 +425,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFr
     found = _texts(docs).join(chosen, same).select("fp", "repeated", "text")
     if some:  # of a row that is repeated, one stays: each set is given once
         found = found.filter("not repeated").unionByName(found.filter("repeated").dropDuplicates(["fp"]))
-    return found.select("fp", "text").mapInArrow(run, "fp long, size long, elements binary")
+    return found.select("fp", "text").mapInArrow(tk.lean(run), "fp long, size long, elements binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

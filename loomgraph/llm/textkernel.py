@@ -118,6 +118,12 @@ def chunks(column: pa.Array, limit: int = 2_000_000) -> Iterator[Chunk]:
         first = last
 
 
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The column ``text``, or that field of ``row``."""
+    text = batch.column("text") if "text" in batch.schema.names else pc.struct_field(batch.column("row"), "text")
+    return text if pa.types.is_string(text.type) or pa.types.is_large_string(text.type) else text.cast(pa.string())
+
+
 def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of first word, hash) of each run of ``width`` words that lies in one document."""
     n = len(hashes) - width + 1

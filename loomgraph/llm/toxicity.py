@@ -6,11 +6,14 @@ pieces that are characteristic of toxic training texts, so that ordinary windows
 is a calibrated logistic function of how many windows pass distance thresholds, and by how much.
 
 Only rows of the training folds are learned from, and of these a bounded sample: at most ``max_per_class`` documents of each
-class (the first by a hash of doc_id), none longer than ``max_fit_chars``. Every document is scored whole.
-
-Edge cases: a null or empty text has no windows and gets the score of a text without distance; a null doc_id is held out of
-training; several labels of one document count as toxic if any is; without a toxic or an ordinary training text every score is
-the share of toxic labels; repeated rows each give a row; an empty table gives an empty result.
+class (the first by a hash of doc_id), none longer than ``max_fit_chars``, together at most ``max_total_chars``. The ordinary dictionary
+is trained on at most ``max_windows`` of their windows, and the toxic one has at most ``max_bytes`` of pieces before the ordinary content.
+Every document is scored whole.
+
+Edge cases: a null or empty text has no windows and gets the score of a text without distance; very long texts are scored by all their
+windows; a null doc_id is held out of training; several labels of one document count as toxic if any is; without a toxic or an ordinary
+training text every score is the share of toxic labels; repeated rows each give a row; an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textkernel as tk
+from .common import materialize, small_batches
 
 WORDS = 3
 #: each byte is written so often, in windows and dictionaries alike: what a match saves grows against what it costs to state
@@ -174,14 +179,14 @@ def characteristic_pieces(toxic: pa.Array, ordinary: pa.Array, max_bytes: int =
     return stretched(b"".join(reversed(out)))
 
 
-def ordinary_content(texts: pa.Array, size: int = STRETCH * 12 * 1024, seed: int = 0) -> bytes:
+def ordinary_content(texts: pa.Array, size: int = STRETCH * 12 * 1024, max_windows: int = 30_000, seed: int = 0) -> bytes:
     """Content of a zstandard dictionary trained on a sample of ordinary windows."""
     samples: list[bytes] = []
     for c in tk.chunks(texts):
         _, buffer, segments = marked_windows(c)
         data = buffer.tobytes()
         samples += [data[int(a) + len(MARK) : int(a + n)] for a, n in segments]
-    samples = random.Random(seed).sample(samples, min(30_000, len(samples)))
+    samples = random.Random(seed).sample(samples, min(max_windows, len(samples)))
     try:
         return zs.train_dictionary(4 * size, samples).as_bytes()[-size:]
     except zs.ZstdError:  # too little text to train on: the text itself
@@ -228,7 +233,7 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model | No
     return Model(model.ordinary, model.toxic, _logistic((x - center) / scale, y, weight), center, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_per_class: int = 2500, max_fit_chars: int = 100_000) -> tuple[Model | None, float]:
+def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_per_class: int = 2500, max_fit_chars: int = 100_000, max_total_chars: int = 40_000_000) -> tuple[Model | None, float]:
     """The model, and the share of toxic labels in the training folds."""
     marked = labels.filter("toxic is not null and doc_id is not null").filter(fold(modulus) != 0).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     totals = dict(marked.groupBy("toxic").count().collect())
@@ -241,19 +246,21 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, max_per_class: i
         # a hash threshold leaves about max_per_class + 25% ids, of which the first by hash are taken: a top-k on ids alone
         order = F.xxhash64(F.col("doc_id").cast("long"))
         ids = marked.filter(F.col("toxic") == kind).select(F.col("doc_id").cast("long").alias("doc_id"), order.alias("order")).orderBy("order").limit(max_per_class)
-        chosen = texts.join(F.broadcast(ids), "doc_id").filter(F.length("text") <= max_fit_chars)  # at most max_per_class rows
-        sample[kind] = [r[1] for r in sorted(chosen.select("order", "text").collect())][:max_per_class]
+        chosen = materialize(texts.join(F.broadcast(ids), "doc_id").filter(F.length("text") <= max_fit_chars).select("order", "text"))
+        upto = F.sum(F.length("text")).over(Window.orderBy("order", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+        bounded = chosen.withColumn("upto", upto).filter(F.col("upto") <= max_total_chars)  # at most max_per_class ids
+        sample[kind] = [r[1] for r in sorted(bounded.select("order", "text").collect())][:max_per_class]
     return fit(sample[True], sample[False], share), share
 
 
 def _scoring(model: Model | None, share: float):
-    """A map over batches with a column ``text``: all other columns, score and predicted."""
+    """A map over batches with a column ``text``, or ``row`` that holds one: all columns but text, score and predicted."""
 
     def run(batches):
         tools = model.compressors() if model is not None else []
         for batch in batches:
             parts = []
-            for c in tk.chunks(batch.column("text")):
+            for c in tk.chunks(tk.text_of(batch), 1_000_000):
                 if model is None:
                     parts.append(np.full(c.n_docs, share))
                 else:
@@ -268,8 +275,9 @@ def _scoring(model: Model | None, share: float):
 
 def score(docs: DataFrame, model: Model | None, share: float, modulus: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(fold(modulus), F.lit(0)) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scoring(model, share), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tk.lean(_scoring(model, share)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
@@ -280,6 +288,7 @@ def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
 def ordinary_rows(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, that are not predicted toxic; each row by its own text."""
     model, share = train(docs, labels, modulus)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = rows.drop("text").schema.add("score", "double").add("predicted", "integer")
-    return rows.mapInArrow(_scoring(model, share), schema).filter("predicted = 0").select("row.*")
+    small_batches(docs)
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    schema = StructType([*rows.schema.fields]).add("score", "double").add("predicted", "integer")
+    return rows.mapInArrow(tk.lean(_scoring(model, share)), schema).filter("predicted = 0").select("row.*")
