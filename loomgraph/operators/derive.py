@@ -86,17 +86,25 @@ def prisma_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def route_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Requests ``route:VERB path`` joined to routes: equal numbers of segments, ``:x`` and ``*`` match any; a verb's own routes
-    before ANY, then the first."""
+    before ANY, then the first.
+
+    Routes of one pattern count as their first, and requests are joined by the few shapes (which segments match any) that a verb's routes
+    of their length have: a request's path, with these segments left out, equals the pattern of every route of the shape that fits.
+    """
     split = lambda c: (F.upper(F.substring_index(c, " ", 1)), segments(F.expr(f"substring({c}, instr({c}, ' ') + 1)")))
     verb, segs = split("name")
-    routes = nodes.filter(F.col("kind") == "Route").select(F.col("id").alias("route"), F.col("seq").alias("route_seq"), verb.alias("route_verb"), segs.alias("pattern")).withColumn("n", F.size("pattern"))
-    asked = edges.filter(F.startswith("to_id", F.lit("route:"))).withColumn("asked", F.expr("substring(to_id, 7)"))
+    free = lambda s: F.startswith(s, F.lit(":")) | (s == "*")
+    routes = nodes.filter(F.col("kind") == "Route").select(F.col("id").alias("route"), F.col("seq").alias("route_seq"), verb.alias("route_verb"), segs.alias("segs"))
+    routes = routes.withColumn("shape", F.transform("segs", free)).withColumn("pattern", F.transform("segs", lambda s: F.when(free(s), ":").otherwise(s)))
+    routes = routes.groupBy("route_verb", "shape", "pattern").agg(F.min(F.struct("route_seq", "route")).alias("first"))
+    shapes = routes.select("route_verb", "shape").distinct().withColumn("n", F.size("shape"))
+    asked = edges.filter(F.startswith("to_id", F.lit("route:"))).select("seq", "from_id", F.expr("substring(to_id, 7)").alias("asked"))
     verb, segs = split("asked")
-    asked = asked.select("seq", "from_id", verb.alias("verb"), segs.alias("path")).withColumn("n", F.size("path")).withColumn("route_verb", F.explode(F.array_distinct(F.array("verb", F.lit("ANY")))))
-    fits = F.forall(F.zip_with("pattern", "path", lambda p, s: F.startswith(p, F.lit(":")) | (p == "*") | (p == s)), lambda x: x)
-    order = Window.partitionBy("seq", "from_id").orderBy(F.col("route_verb") == "ANY", "route_seq")
-    found = asked.join(routes, ["route_verb", "n"]).filter(fits).withColumn("rn", F.row_number().over(order)).filter("rn = 1")
-    return _edges(found.select("seq", "from_id", F.col("route").alias("to_id"), F.lit("References").alias("kind")), "route-test")
+    each = asked.select("asked").distinct().select("asked", verb.alias("verb"), segs.alias("path")).withColumn("n", F.size("path")).withColumn("route_verb", F.explode(F.array_distinct(F.array("verb", F.lit("ANY")))))
+    each = each.join(F.broadcast(shapes), ["route_verb", "n"]).withColumn("pattern", F.zip_with("path", "shape", lambda p, open_: F.when(open_, ":").otherwise(p)))
+    best = F.min(F.struct((F.col("route_verb") == "ANY").alias("any"), "first")).alias("best")
+    found = asked.join(each.join(routes, ["route_verb", "shape", "pattern"]).groupBy("asked").agg(best), "asked").groupBy("seq", "from_id").agg(F.min("best")["first"]["route"].alias("to_id"))
+    return _edges(found.select("seq", "from_id", "to_id", F.lit("References").alias("kind")), "route-test")
 
 
 def env_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,7 +5,25 @@ import json
 import pytest
 
 from loomgraph.graph import Graph
-from loomgraph.operators import aggregates
+from loomgraph.operators import aggregates, derive
+
+
+def collected(df):
+    """The rows, and the most rows that any join of the plan made."""
+    rows = df.collect()
+    most, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if "Join" in name:
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, most
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +43,24 @@ def test_export_comes_in_bounded_pieces(hub):
         assert all(p["path"] == path and 0 < len(p["occurrences"]) <= 40 for p in mine)
         for part in ("symbols", "occurrences"):
             assert [x for p in mine for x in p.get(part, [])] == document[part]
+
+
+def test_routes_of_one_length_are_not_paired_with_every_request(spark):
+    verbs = ("GET", "ANY", "POST")
+    names = [f"{verbs[i % 3]} /{'ab'[i % 2]}/{(':id', '*', f'n{i % 50}')[i % 7 % 3]}/{(f'm{i % 11}', ':x')[i % 5 == 0]}" for i in range(600)]
+    paths = [f"{verbs[i % 3 % 2 * 2]} /{'abc'[i % 3]}/n{i % 60}/m{i % 13}" for i in range(600)]
+    nodes = spark.createDataFrame([(1000 - i, f"r{i}", "Route", n) for i, n in enumerate(names)], "seq long, id string, kind string, name string")
+    edges = spark.createDataFrame([(i, f"q{i}", f"route:{p}", "References", None) for i, p in enumerate(paths)], "seq long, from_id string, to_id string, kind string, provenance string")
+
+    def fits(route, asked):
+        (verb, pattern), (asked_verb, path) = route.split(" "), asked.split(" ")
+        return verb in (asked_verb, "ANY") and len(pattern.split("/")) == len(path.split("/")) and all(p[:1] == ":" or p == "*" or p == s for p, s in zip(pattern.split("/"), path.split("/")))
+
+    expected = set()
+    for i, p in enumerate(paths):
+        found = [(n.startswith("ANY"), 1000 - k, f"r{k}") for k, n in enumerate(names) if fits(n, p)]
+        if found:
+            expected.add((f"q{i}", min(found)[2]))
+    rows, most = collected(derive.route_edges(nodes, edges))
+    assert {(r["from_id"], r["to_id"]) for r in rows} == expected and len(rows) == len(expected) > 200
+    assert most <= 10 * len(paths)
