@@ -33,8 +33,8 @@ def nearest_ancestor(wanted: DataFrame, files: DataFrame) -> DataFrame:
 
 def nearest_config(files: DataFrame, configs: DataFrame) -> DataFrame:
     """(file, config): the configuration file in the nearest folder at or above each file. ``files`` is (file), ``configs`` is (path)."""
-    at = configs.select(F.col("path").alias("config"), dirname(F.col("path")).alias("folder"))
-    return _each_ancestor(files.select("file").distinct(), "file").join(at, "folder").groupBy("file").agg(F.min_by("config", F.struct("distance", "config")).alias("config"))
+    at = configs.groupBy(dirname(F.col("path")).alias("folder")).agg(F.min("path").alias("config"))  # one row a folder, however often it is listed
+    return _each_ancestor(files.select("file").distinct(), "file").join(at, "folder").groupBy("file").agg(F.min_by("config", "distance").alias("config"))
 
 
 def longest_prefix(names: DataFrame, prefixes: DataFrame, separator: str = "\\") -> DataFrame:

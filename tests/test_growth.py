@@ -5,7 +5,7 @@ import json
 import pytest
 
 from loomgraph.graph import Graph
-from loomgraph.operators import aggregates, derive
+from loomgraph.operators import aggregates, derive, scopes
 
 
 def collected(df):
@@ -45,6 +45,14 @@ def test_export_comes_in_bounded_pieces(hub):
             assert [x for p in mine for x in p.get(part, [])] == document[part]
 
 
+def test_nearest_config_of_folders_listed_often(spark):
+    files = spark.range(400).selectExpr("concat('src/d', id % 4, '/f', id, '.java') AS file")
+    configs = spark.range(400).selectExpr("concat('src/', if(id % 2 = 0, 'd0/', ''), if(id % 3 = 0, 'pom.xml', 'go.mod')) AS path")
+    rows, most = collected(scopes.nearest_config(files, configs))
+    assert {(int(r["file"][5]), r["config"]) for r in rows} == {(0, "src/d0/go.mod"), (1, "src/go.mod"), (2, "src/go.mod"), (3, "src/go.mod")} and len(rows) == 400
+    assert most <= 800
+
+
 def test_routes_of_one_length_are_not_paired_with_every_request(spark):
     verbs = ("GET", "ANY", "POST")
     names = [f"{verbs[i % 3]} /{'ab'[i % 2]}/{(':id', '*', f'n{i % 50}')[i % 7 % 3]}/{(f'm{i % 11}', ':x')[i % 5 == 0]}" for i in range(600)]
