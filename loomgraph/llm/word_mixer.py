@@ -152,31 +152,40 @@ def _by_level(parent: np.ndarray) -> list[np.ndarray]:
         out.append(level)
 
 
-def _sorted(key: np.ndarray, index_bits: int) -> np.ndarray:
-    """A stable order of non-negative keys: sorted together with their places where both fit into 63 bits."""
+def _sorted(key: np.ndarray, index_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a stable order of non-negative keys, the keys in it): sorted together with their places where both fit into 63 bits."""
     if not len(key):
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), key
     if int(key.max()).bit_length() + index_bits <= 63:
-        packed = (key << np.int64(index_bits)) | np.arange(len(key))
+        packed = key << np.int64(index_bits)
+        packed |= np.arange(len(key))
         packed.sort()
-        return packed & np.int64((1 << index_bits) - 1)
-    return np.argsort(key, kind="stable")
+        return packed & np.int64((1 << index_bits) - 1), packed >> np.int64(index_bits)
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
 
 
 def seen_before(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, zeros, ones) of the decisions whose key has occurred earlier, and what it was followed by."""
-    order = _sorted(key, max(1, len(key).bit_length()))
-    ranked, ones = key[order], bit[order].astype(np.int32)
+    index_bits = max(1, len(key).bit_length())
+    if len(key) and int(key.max()).bit_length() + index_bits <= 62:  # the bit fits in too
+        order = key << np.int64(index_bits + 1)
+        order |= np.arange(0, 2 * len(key), 2)
+        order |= bit
+        order.sort()
+        ranked, ones = order >> np.int64(index_bits + 1), (order & 1).astype(np.int32)
+    else:
+        order, ranked = _sorted(key, index_bits)
+        ones = bit[order].astype(np.int32)
+        order <<= 1
     again = np.zeros(len(key), bool)
     np.equal(ranked[1:], ranked[:-1], out=again[1:])
-    first = np.flatnonzero(~again)
-    size = np.diff(np.append(first, len(key)))
+    first, at = np.flatnonzero(~again), np.flatnonzero(again)
+    later = np.diff(np.append(first, len(key))) - 1  # decisions of each key after its first
     total = np.cumsum(ones, dtype=np.int32)
     total -= ones
-    at = np.flatnonzero(again)
-    group = np.repeat(first, size)[at]
-    one = total[at] - total[group]
-    return order[at], (at - group).astype(np.int32) - one, one
+    one = total.take(at) - np.repeat(total.take(first), later)
+    return (order.take(at) >> 1) & np.int64((1 << index_bits) - 1), (at - np.repeat(first, later)).astype(np.int32) - one, one
 
 
 def _inner_ids(*columns: np.ndarray) -> np.ndarray:
@@ -226,59 +235,60 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
     token = np.repeat(np.arange(len(leaf), dtype=np.int32), size)
     offset = np.cumsum(size) - size
     source = np.arange(len(token)) + np.repeat(start[which] - offset, size)
-    node, bit = node_of[source], bit_of[source]
+    node, bit = node_of.take(source), bit_of.take(source)
     # a node that the document has not met has only the training counts below it: a token's path is taken whole, and what was met is
     # taken out again
     straight = np.log(np.where(bit_of == 1, tree.ones[node_of], 1 - tree.ones[node_of]))
-    straight = np.add.reduceat(straight, start) if len(straight) else np.zeros(len(unique))
-    out = np.bincount(doc, weights=straight[which], minlength=n_docs)
+    whole = np.add.reduceat(straight, start) if len(straight) else np.zeros(len(unique))
+    out = np.bincount(doc, weights=whole[which], minlength=n_docs)
     # a document's own decisions at the node, by rising context; a context that occurs once has nothing before it
     salt = doc.astype(np.uint64)
     nodes = np.int64(len(tree.below))
-    at, zero, one = seen_before((doc * nodes)[token] + node, bit)
-    place_of = np.full(len(token), -1, np.int32)
-    place_of[at] = 0
-    met = np.flatnonzero(place_of == 0)
-    place_of[met] = np.arange(len(met), dtype=np.int32)
-    base = tree.stretched[node[met]]
-    ones = tree.ones[node[met]]
+    at, zero, one = seen_before(np.repeat(doc * nodes, size) + node, bit)
+    again = np.zeros(len(token), bool)
+    again[at] = True
+    met = np.flatnonzero(again)
+    place_of = np.cumsum(again, dtype=np.int32)
+    place_of -= 1
+    at_node = node.take(met)
+    base = tree.stretched.take(at_node)
+    ones = tree.ones.take(at_node)
     x = np.zeros((len(met), INPUTS), np.float32)
     x[:, 0] = base
-    gate = np.minimum(source[met] - start[which][token[met]], 4 * DEPTHS - 1) // 4
-    del source
+    whose = token.take(met)
+    gate = np.minimum(met - offset.take(whose), 4 * DEPTHS - 1) // 4
+    out -= np.bincount(doc.take(whose), weights=straight.take(source.take(met)), minlength=n_docs)
+    del source, token
     for k, context in enumerate((None, _inner_ids(salt, before), _inner_ids(salt, before, earlier))):
         if k:
-            some = np.flatnonzero((context >= 0)[token])
-            at, zero, one = seen_before((context * nodes)[token[some]] + node[some], bit[some])
-            at = some[at]
-        to = place_of[at]  # what has been decided after a context has been decided at the node
-        s, p = np.float32(PRIOR[k]), ones[to]
-        x[to, 1 + k] = np.log((one + s * p) / (zero + s - s * p)) - base[to]
-        gate[to] = gate[to] % DEPTHS + DEPTHS * k
-    bit, token = bit[met], token[met]
-    out -= np.bincount(doc[token], weights=np.log(np.where(bit == 1, ones, 1 - ones)), minlength=n_docs)
+            inner = context >= 0
+            some = np.flatnonzero(np.repeat(inner, size))
+            at, zero, one = seen_before(np.repeat(context[inner] * nodes, size[inner]) + node.take(some), bit.take(some))
+            at = some.take(at)
+        to = place_of.take(at)  # what has been decided after a context has been decided at the node
+        s, p = np.float32(PRIOR[k]), ones.take(to)
+        x[to, 1 + k] = np.log((one + s * p) / (zero + s - s * p)) - base.take(to)
+        if k:
+            gate[to] = gate[to] % DEPTHS + DEPTHS * k
     # steps: all documents' tokens of one turn, the long documents first
     rank = np.empty(n_docs, np.int64)
     rank[np.argsort(-np.bincount(doc, minlength=n_docs), kind="stable")] = np.arange(n_docs)
-    place = turn_of(place)
-    spread = (place * n_docs + rank[doc]) * GATES
-    turn = _sorted(spread[token] + gate, max(1, len(token).bit_length()))
-    token, gate = token[turn], gate[turn]
-    p = _advance(x[turn], bit[turn].astype(np.float32), (rank[doc] * GATES)[token] + gate, place, token, n_docs)
-    return out + np.bincount(doc[token], weights=p, minlength=n_docs)
+    spread = (turn_of(place) * n_docs + rank[doc]) * GATES
+    order, step = _sorted(spread.take(whose) + gate, max(1, len(whose).bit_length()))
+    p = _advance(x.take(order, axis=0), bit.take(met.take(order)).astype(np.float32), step, n_docs)
+    return out + np.bincount(doc.take(whose.take(order)), weights=p, minlength=n_docs)
 
 
-def _advance(x: np.ndarray, bit: np.ndarray, cell: np.ndarray, place: np.ndarray, token: np.ndarray, n_docs: int) -> np.ndarray:
-    """Natural logarithm of the probability of each decision; decisions come by turn (``place``) of their token, then cell (document and gate)."""
+def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> np.ndarray:
+    """Natural logarithm of the probability of each decision; ``step`` rises, and is a decision's turn, document and gate in one number."""
     weights = np.tile(WEIGHTS.astype(np.float32), (n_docs * GATES, 1))
     centers = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
     refined = np.tile(centers.astype(np.float32), n_docs * GATES)
     p = np.empty(len(bit), np.float32)
-    bounds = np.concatenate(([0], np.cumsum(np.bincount(place[token]))))
-    new = np.ones(len(cell), bool)
-    np.not_equal(cell[1:], cell[:-1], out=new[1:])
-    new[bounds[:-1][np.diff(bounds) > 0]] = True
-    runs = np.flatnonzero(new)
+    cells = n_docs * GATES  # of one turn
+    cell = step % cells
+    bounds = np.searchsorted(step, np.arange(int(step[-1]) // cells + 2 if len(step) else 1) * cells)
+    runs = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])) if len(step) else np.zeros(0, bool))
     run_cells = cell[runs]
     run_bounds = np.searchsorted(runs, bounds).tolist()
     bounds = bounds.tolist()
@@ -289,15 +299,15 @@ def _advance(x: np.ndarray, bit: np.ndarray, cell: np.ndarray, place: np.ndarray
         if i == j:
             continue
         xs, b = x[i:j], bit[i:j]
-        mixed = np.einsum("ij,ij->i", weights[cell[i:j]], xs)
+        mixed = np.einsum("ij,ij->i", weights.take(cell[i:j], axis=0), xs)
         np.maximum(mixed, np.float32(-7.99), out=mixed)
         np.minimum(mixed, np.float32(7.99), out=mixed)
         plain = one / (one + np.exp(-mixed))
         near = base[i:j] + ((mixed + eight) * scale + half).astype(np.int64)
-        mapped = refined[near]
+        mapped = refined.take(near)
         p[i:j] = plain + mapped
         rate = np.float32(max(LEAST_RATE, RATE / (1 + first_token(t) / SETTLING)))
-        slope = xs * ((b - plain) * rate)[:, None]
+        slope = xs * np.repeat((b - plain) * rate, INPUTS).reshape(-1, INPUTS)
         weights[run_cells[u:v]] += np.add.reduceat(slope, runs[u:v] - i, axis=0)
         refined[near] = mapped + np.float32(MAP_RATE) * (b - mapped)
     p *= half

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from loomgraph.graph import Graph
@@ -72,3 +73,15 @@ def test_routes_of_one_length_are_not_paired_with_every_request(spark):
     rows, most = collected(derive.route_edges(nodes, edges))
     assert {(r["from_id"], r["to_id"]) for r in rows} == expected and len(rows) == len(expected) > 200
     assert most <= 10 * len(paths)
+
+
+@pytest.mark.parametrize("high", [0, 1 << 55, 1 << 61])
+def test_decisions_seen_before(high):
+    """Keys that leave room for place and bit, for the place alone, and for neither."""
+    word_mixer = pytest.importorskip("loomgraph.llm.word_mixer")
+    rng = np.random.default_rng(5)
+    key, bit = rng.integers(0, 40, 128) + high, rng.integers(0, 2, 128).astype(np.uint8)
+    expected = {(i, *(int(((key[:i] == key[i]) & (bit[:i] == b)).sum()) for b in (0, 1))) for i in range(128) if (key[:i] == key[i]).any()}
+    assert set(zip(*(x.tolist() for x in word_mixer.seen_before(key, bit)))) == expected
+    order, ranked = word_mixer._sorted(key, 8)
+    assert order.tolist() == np.argsort(key, kind="stable").tolist() and ranked.tolist() == key[order].tolist()
