@@ -40,6 +40,7 @@ ORDERS = (1, 2, 3, 5)
 TABLE_BITS = 20  # at least; more as more contexts are there
 SPARSE = 16  # contexts of which one is counted to size the tables
 SEGMENT = 4096
+KNOWN = 1 << 19  # packed letters whose probability a task keeps
 GATES = 9
 BUCKETS = 33
 CLASSES = 8
@@ -152,6 +153,7 @@ class Mixer:
     counts: list[np.ndarray]
     weights: np.ndarray
     refined: np.ndarray
+    known: tuple[np.ndarray, np.ndarray] | None = None
 
     def widths(self) -> list[int]:
         return [len(n).bit_length() - 1 for n in self.counts]
@@ -180,8 +182,24 @@ class Mixer:
         out = np.zeros(len(start))
         for part in _slices(end - start + 1, 2_000_000):
             word, gram = grams(data, start[part], end[part])
-            gram, of = np.unique(gram, return_inverse=True)
-            out[part] = np.bincount(word, weights=self.logs(gram)[of], minlength=part.stop - part.start)
+            out[part] = np.bincount(word, weights=self.known_logs(gram), minlength=part.stop - part.start)
+        return out
+
+    def known_logs(self, gram: np.ndarray) -> np.ndarray:
+        """:meth:`logs`, of which ``KNOWN`` places keep the last packed letter that fell on each."""
+        if self.known is None:
+            self.known = np.full(KNOWN, -1, np.int64), np.zeros(KNOWN)
+        kept, value = self.known
+        place = (tk.mix(gram.view(np.uint64)) & np.uint64(KNOWN - 1)).astype(np.int64)
+        out = value.take(place)
+        new = np.flatnonzero(kept.take(place) != gram)
+        if len(new):
+            some, _, which, _ = word_mixer.distinct(gram.take(new))
+            logs = self.logs(some)
+            out[new] = logs.take(which)
+            place = (tk.mix(some.view(np.uint64)) & np.uint64(KNOWN - 1)).astype(np.int64)
+            place, first, _, _ = word_mixer.distinct(place)
+            kept[place], value[place] = some.take(first), logs.take(first)
         return out
 
     def logs(self, gram: np.ndarray) -> np.ndarray:
@@ -327,7 +345,7 @@ def token_counts(rows: DataFrame, flush: int = 4_000_000) -> DataFrame:
         for batch in batches:
             docs += batch.num_rows
             for c in tk.chunks(batch.column("text")):
-                unique, first, inverse = np.unique(c.word_hashes(lower=True), return_index=True, return_inverse=True)
+                unique, first, inverse, _ = word_mixer.distinct(c.word_hashes(lower=True))
                 n = np.bincount(inverse * CLASSES + text_classes(c)[c.doc], minlength=len(unique) * CLASSES)
                 at = np.flatnonzero(n)
                 if len(at):
@@ -547,7 +565,7 @@ def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.
     repeated share of each of these)."""
     n = c.n_docs
     hashes = c.word_hashes(lower=True)
-    unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    unique, first, inverse, _ = word_mixer.distinct(hashes)
     at = np.minimum(np.searchsorted(model.keys, unique), max(0, len(model.keys) - 1))
     known = model.keys[at] == unique if len(model.keys) else np.zeros(len(unique), bool)
     leaf_of = np.where(known, at, len(model.keys) + 1)
@@ -584,18 +602,29 @@ def chunk_scores(c: tk.Chunk, model: Model, mixer: Mixer) -> tuple[dict[str, np.
     )
 
 
-_DOCUMENT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_bytes": pa.int64(), "n_tokens": pa.int64(), "n_tree": pa.int64(), "tree_sum": pa.float64(), "logs": pa.float64()}
-_WORD = {"word": pa.int64(), "spelled": pa.float32(), "kept": pa.list_(pa.float32()), "repeated": pa.list_(pa.float32())}
+#: a document's own sums, as they travel
+_DOCUMENT = np.dtype([("doc_id", "<i8"), ("has_id", "?"), ("held_out", "?"), ("n_bytes", "<i8"), ("n_tokens", "<i8"), ("n_tree", "<i8"), ("tree_sum", "<f8"), ("logs", "<f8")])
+
 
+def _packed(size: np.ndarray, values: np.ndarray) -> pa.Array:
+    """``values`` as binary pieces of ``size`` bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-def _lists(length: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    offsets = pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32(), mask=np.append(length == 0, False))
-    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))
+
+def _unpacked(pieces: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(size, values) of binary pieces."""
+    _, offsets, data = pieces.buffers()
+    offset = np.frombuffer(offsets, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+    data = data if data is not None else b""
+    return np.diff(offset), np.frombuffer(data, np.uint8)[offset[0] : offset[-1]].view(kind)
 
 
 def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
-    """Rows of documents (word null) and of their words outside the tree (word, spelling, shares of each occurrence), told together
-    by ``row``."""
+    """Rows of documents (even ``at``, word null) and, under the next odd number, of their words outside the tree (word, spelling).
+
+    ``more`` has a document's sums, or of each further occurrence of a word what is kept and repeated. A document may have many words,
+    so that rows are kept narrow.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)  # at most 2**share_bits words
 
     def run(batches):
@@ -603,20 +632,26 @@ def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
         mixer = Mixer(*tables.value, m.weights, m.refined)
         base = TaskContext.get().partitionId() << 40
         done = 0
-        names = ["row", *_DOCUMENT, *_WORD]
+        names = ["at", "word", "spelled", "more"]
         for batch in batches:
             first = 0
             for c in tk.chunks(batch.column("text"), 1_000_000):
                 got, (doc, word, spelled, times, kept, repeated) = chunk_scores(c, m, mixer)
-                row = base + done + np.arange(c.n_docs)
                 n, k = c.n_docs, len(word)
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").slice(first, n), batch.column("held_out").slice(first, n), *(pa.array(got[name], kind) for name, kind in list(_DOCUMENT.items())[2:]), *(pa.nulls(n, t) for t in _WORD.values())], names=names)
+                at = 2 * (base + done + np.arange(n))
+                ids = batch.column("doc_id").slice(first, n)
+                sums = np.zeros(n, _DOCUMENT)
+                sums["doc_id"], sums["has_id"] = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+                sums["held_out"] = batch.column("held_out").slice(first, n).to_numpy(zero_copy_only=False)
+                for name, values in got.items():
+                    sums[name] = values
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float32()), _packed(np.full(n, _DOCUMENT.itemsize), sums)], names=names)
                 if k:
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc]), *(pa.nulls(k, t) for t in _DOCUMENT.values()), pa.array(word.view(np.int64)), pa.array(spelled, pa.float32()), _lists(times, kept), _lists(times, repeated)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[doc] + 1), pa.array(word.view(np.int64)), pa.array(spelled, pa.float32()), _packed(8 * times, np.stack([kept, repeated], 1).astype(np.float32))], names=names)
                 first += n
                 done += n
 
-    return rows.mapInArrow(tk.lean(run), "row long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_tree long, tree_sum double, logs double, word long, spelled float, kept array<float>, repeated array<float>")
+    return rows.mapInArrow(tk.lean(run), "at long, word long, spelled float, more binary")
 
 
 def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
@@ -628,47 +663,48 @@ def mixed(found: DataFrame, words: DataFrame, scale: Scale) -> DataFrame:
 
     def run(batches):
         def result(docs, sums):
-            score = (docs.column("logs").to_numpy() + sums[:, 0]) / np.log(10)
-            tokens = docs.column("n_tokens").to_numpy()
-            known = docs.column("n_tree").to_numpy() + sums[:, 1].astype(np.int64) + int(scale.documents > 0)
-            base = docs.column("tree_sum").to_numpy() + sums[:, 2] + end - tokens * size
-            bits = -score * np.log2(10) / docs.column("n_bytes").to_numpy()
-            out = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), scale.total, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(bits)}
+            score = (docs["logs"] + sums[:, 0]) / np.log(10)
+            tokens = docs["n_tokens"]
+            known = docs["n_tree"] + sums[:, 1].astype(np.int64) + int(scale.documents > 0)
+            base = docs["tree_sum"] + sums[:, 2] + end - tokens * size
+            bits = -score * np.log2(10) / docs["n_bytes"]
+            out = {"doc_id": pa.array(docs["doc_id"], mask=~docs["has_id"]), "held_out": pa.array(docs["held_out"]), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(tokens), scale.total, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "bits_per_byte": pa.array(bits)}
             return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            is_doc = batch.column("n_bytes").is_valid().to_numpy(zero_copy_only=False)
+            is_doc = batch.column("at").to_numpy() % 2 == 0
             owner = np.cumsum(is_doc)  # 0: the document held
             sums = np.zeros((int(owner[-1]) + 1, 3))
             if not is_doc.all():
                 rare, who = batch.filter(pa.array(~is_doc)), owner[~is_doc]
-                times = rare.column("kept").value_lengths().fill_null(0).to_numpy()
+                times, shares = _unpacked(rare.column("more"), np.float32)
+                times, shares = times // 8, shares.reshape(-1, 2)
                 first = np.arange(len(times))
                 of = np.concatenate([first, np.repeat(first, times)])
-                kept, repeated = (np.concatenate([np.full(len(times), x), rare.column(name).flatten().to_numpy()]) for name, x in (("kept", 1.0), ("repeated", 0.0)))
+                kept, repeated = (np.concatenate([np.full(len(times), x), shares[:, j]]) for j, x in enumerate((1.0, 0.0)))
                 n = rare.column("n").to_numpy()
                 logs = escape_logs(rare.column("spelled").to_numpy().astype(float), n, of, kept, repeated, scale)
                 for j, x in enumerate([logs, (n > 0)[of], np.log10(n + 1.0)[of]]):
                     sums[:, j] = np.bincount(who[of], weights=x, minlength=len(sums))
-            docs = batch.select(list(_DOCUMENT)).filter(pa.array(is_doc))
+            docs = _unpacked(batch.column("more").filter(pa.array(is_doc)), _DOCUMENT)[1]
             if held is None:
                 sums = sums[1:]
             else:
                 sums[0] += held[1]
-                docs = pa.Table.from_batches([held[0], docs]).combine_chunks().to_batches()[0]
-            if docs.num_rows > 1:
-                yield result(docs.slice(0, docs.num_rows - 1), sums[:-1])
-            held = docs.slice(docs.num_rows - 1), sums[-1]
+                docs = np.concatenate([held[0], docs])
+            if len(docs) > 1:
+                yield result(docs[:-1], sums[:-1])
+            held = docs[-1:], sums[-1]
         if held is not None:
             yield result(held[0], held[1][None])
 
     counts = words.select(F.col("key").alias("word"), "n")
-    rare = found.filter("word is not null").select("row", *_WORD).join(counts, "word", "left").drop("word").fillna(0, ["n"])
-    docs = found.filter("word is null").select("row", *_DOCUMENT)
-    together = docs.unionByName(rare, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", F.col("n_bytes").isNull())
+    rare = found.filter("word is not null").join(counts, "word", "left").select("at", "spelled", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "more")
+    docs = found.filter("word is null").select("at", "spelled", F.lit(0).cast("long").alias("n"), "more")
+    together = docs.unionByName(rare).repartition(F.shiftright("at", 1)).sortWithinPartitions("at")  # one key: Spark sorts it by its bytes
     return together.mapInArrow(tk.lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 

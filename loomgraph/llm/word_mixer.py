@@ -78,6 +78,7 @@ class Tree:
     def __post_init__(self):
         self.ones = ((self.below[:, 1] + 0.4) / (self.below.sum(1) + 0.8)).astype(np.float32)  # probability of the second side
         self.stretched = np.log(self.ones / (1 - self.ones)).astype(np.float32)
+        self.straight = np.log(np.stack([1 - self.ones, self.ones]))  # of either side
 
     def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first decision of each leaf, node, bit): decisions from the root down, leaf after leaf."""
@@ -165,6 +166,18 @@ def _sorted(key: np.ndarray, index_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, key[order]
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, which one each key is, how often each occurs)."""
+    order = np.argsort(key)
+    ranked = key.take(order)
+    new = np.ones(len(key), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return ranked.take(first), order.take(first), which, np.diff(np.append(first, len(key)))
+
+
 def seen_before(key: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, zeros, ones) of the decisions whose key has occurred earlier, and what it was followed by."""
     index_bits = max(1, len(key).bit_length())
@@ -194,8 +207,8 @@ def _inner_ids(*columns: np.ndarray) -> np.ndarray:
     for c in columns[1:]:
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c
     key = (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
-    return np.where(n[inverse] > 1, inverse, -1)
+    _, _, which, n = distinct(key)
+    return np.where(n > 1, np.arange(len(n)), -1).take(which)
 
 
 def turn_of(place: np.ndarray) -> np.ndarray:
@@ -218,6 +231,94 @@ def first_token(turn: int) -> int:
     raise AssertionError
 
 
+class Descent:
+    """Tokens that go down the tree together, by what they have in common: ``token`` in groups, in order within a group; ``start`` and
+    ``size`` of the groups. All of a group are at one node, and a level splits each group in two, as a stable partition, for which the
+    earlier decisions of a group are counted anyway. A token that is alone has nothing before it any more, and is left out."""
+
+    def __init__(self, group: np.ndarray):
+        """``group`` of each token, -1: none."""
+        token = np.flatnonzero(group >= 0)
+        order, ranked = _sorted(group.take(token), max(1, len(token).bit_length()))
+        self.token = token.take(order).astype(np.int32)
+        first = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=first[1:])
+        self.start = np.flatnonzero(first).astype(np.int32)
+        self.size = np.diff(self.start, append=np.int32(len(ranked)))
+        self._keep(np.repeat(self.size > 1, self.size), self.size > 1)
+
+    def _keep(self, tokens: np.ndarray, groups: np.ndarray) -> None:
+        self.token = self.token.take(np.flatnonzero(tokens))
+        self.size = self.size.compress(groups)
+        self.start = np.cumsum(self.size, dtype=np.int32)
+        self.start -= self.size
+
+    def step(self, bits: np.ndarray, level: int, depth: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(token, bit, zeros, ones, group) of the decisions at ``level`` that have others of their group before them, and of each group
+        a token and the zeros and ones among these decisions; then goes on. ``bits``: what each token decides from here on, lowest first."""
+        token, size, n = self.token, self.size, len(self.token)
+        bit = bits.take(token)
+        bit &= np.int32(1)
+        group = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        ones = np.cumsum(bit, dtype=np.int32)
+        ones -= bit
+        begin = ones.take(self.start)
+        total = np.append(begin[1:], ones[-1] + bit[-1]) - begin  # ones of each group
+        index = np.arange(n, dtype=np.int32)
+        ones -= begin.take(group)
+        second = self.start + size - total
+        # zeros of a group come first, then its ones
+        zeros = index - ones
+        to = second.take(group)
+        to += ones
+        to -= zeros
+        to *= bit
+        to += zeros
+        zeros -= self.start.take(group)
+        later = np.ones(n, bool)
+        later[self.start] = False
+        later = np.flatnonzero(later)
+        begin = bit.take(self.start)
+        heads = token.take(self.start), size - total - (1 - begin), total - begin
+        found = *(x.take(later) for x in (token, bit, zeros, ones, group)), heads
+        moved = np.empty_like(token)
+        moved[to] = token
+        self.token = moved
+        halves = np.stack([size - total, total], 1).ravel()
+        first = np.stack([self.start, second], 1).ravel()
+        on = np.flatnonzero(halves > 1)
+        deeper = depth.take(moved.take(first.take(on))) > level + 1  # a half whose node is a leaf ends here
+        stay = np.zeros(len(halves), bool)
+        stay[on[deeper]] = True
+        self.size = halves
+        self._keep(np.repeat(stay, halves), stay)
+        return found
+
+
+def packed_bits(start: np.ndarray, depth: np.ndarray, bit: np.ndarray, level: int) -> np.ndarray:
+    """Up to 31 decisions of each path from ``level`` on, lowest first."""
+    out = np.zeros(len(start), np.int32)
+    for k in range(min(31, int(depth.max(initial=0)) - level)):
+        on = np.flatnonzero(depth > level + k)
+        out[on] |= bit.take(start.take(on) + level + k).astype(np.int32) << np.int32(k)
+    return out
+
+
+def _against(zeros: np.ndarray, ones: np.ndarray, prior: float, expected: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """What counts with a prior of the training's probability say beyond it, stretched."""
+    s = np.float32(prior)
+    weight = expected * s
+    one = ones.astype(np.float32)
+    zero = zeros.astype(np.float32)
+    one += weight
+    zero += s
+    zero -= weight
+    one /= zero
+    np.log(one, out=one)
+    one -= base
+    return one
+
+
 def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray, n_docs: int) -> np.ndarray:
     """Natural logarithm of the probability of each document's tokens (leaf, doc in order, key: hash of the word)."""
     if not len(leaf):
@@ -228,88 +329,119 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
     before[place == 0] = START_KEY
     earlier = np.concatenate(([START_KEY, START_KEY], key[:-2]))[: len(key)]
     earlier[place <= 1] = START_KEY
-    # paths of the distinct leaves, then of every token
-    unique, which = np.unique(leaf, return_inverse=True)
+    # paths of the distinct leaves
+    unique, _, which, _ = distinct(leaf)
     start, node_of, bit_of = tree.paths(unique)
-    size = tree.depth[unique][which].astype(np.int64)
-    token = np.repeat(np.arange(len(leaf), dtype=np.int32), size)
-    offset = np.cumsum(size) - size
-    source = np.arange(len(token)) + np.repeat(start[which] - offset, size)
-    node, bit = node_of.take(source), bit_of.take(source)
     # a node that the document has not met has only the training counts below it: a token's path is taken whole, and what was met is
     # taken out again
-    straight = np.log(np.where(bit_of == 1, tree.ones[node_of], 1 - tree.ones[node_of]))
-    whole = np.add.reduceat(straight, start) if len(straight) else np.zeros(len(unique))
-    out = np.bincount(doc, weights=whole[which], minlength=n_docs)
-    # a document's own decisions at the node, by rising context; a context that occurs once has nothing before it
+    whole = np.add.reduceat(tree.straight[bit_of, node_of], start, dtype=float) if len(node_of) else np.zeros(len(unique))
+    out = np.bincount(doc, weights=whole.take(which), minlength=n_docs)
+    # tokens by steps: all documents' tokens of one turn, the long documents first; a document's own stay in order
     salt = doc.astype(np.uint64)
-    nodes = np.int64(len(tree.below))
-    at, zero, one = seen_before(np.repeat(doc * nodes, size) + node, bit)
-    again = np.zeros(len(token), bool)
-    again[at] = True
-    met = np.flatnonzero(again)
-    place_of = np.cumsum(again, dtype=np.int32)
-    place_of -= 1
-    at_node = node.take(met)
-    base = tree.stretched.take(at_node)
-    ones = tree.ones.take(at_node)
-    x = np.zeros((len(met), INPUTS), np.float32)
-    x[:, 0] = base
-    whose = token.take(met)
-    gate = np.minimum(met - offset.take(whose), 4 * DEPTHS - 1) // 4
-    out -= np.bincount(doc.take(whose), weights=straight.take(source.take(met)), minlength=n_docs)
-    del source, token
-    for k, context in enumerate((None, _inner_ids(salt, before), _inner_ids(salt, before, earlier))):
-        if k:
-            inner = context >= 0
-            some = np.flatnonzero(np.repeat(inner, size))
-            at, zero, one = seen_before(np.repeat(context[inner] * nodes, size[inner]) + node.take(some), bit.take(some))
-            at = some.take(at)
-        to = place_of.take(at)  # what has been decided after a context has been decided at the node
-        s, p = np.float32(PRIOR[k]), ones.take(to)
-        x[to, 1 + k] = np.log((one + s * p) / (zero + s - s * p)) - base.take(to)
-        if k:
-            gate[to] = gate[to] % DEPTHS + DEPTHS * k
-    # steps: all documents' tokens of one turn, the long documents first
+    groups = [doc, _inner_ids(salt, before), _inner_ids(salt, before, earlier)]
     rank = np.empty(n_docs, np.int64)
     rank[np.argsort(-np.bincount(doc, minlength=n_docs), kind="stable")] = np.arange(n_docs)
-    spread = (turn_of(place) * n_docs + rank[doc]) * GATES
-    order, step = _sorted(spread.take(whose) + gate, max(1, len(whose).bit_length()))
-    p = _advance(x.take(order, axis=0), bit.take(met.take(order)).astype(np.float32), step, n_docs)
-    return out + np.bincount(doc.take(whose.take(order)), weights=p, minlength=n_docs)
-
-
-def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> np.ndarray:
-    """Natural logarithm of the probability of each decision; ``step`` rises, and is a decision's turn, document and gate in one number."""
+    order, unit = _sorted(turn_of(place) * n_docs + rank[doc], max(1, len(doc).bit_length()))
+    which, doc = which.take(order), doc.take(order)
+    depth_of = tree.depth.take(unique)
+    depth, path = depth_of.take(which), start.astype(np.int32).take(which)
+    offset = np.cumsum(depth, dtype=np.int64)
+    decisions = int(offset[-1])
+    offset -= depth
+    index_bits = max(1, decisions.bit_length())
+    offset += (unit * GATES) << np.int64(index_bits)  # a token's first decision, below its step's number
+    # decisions level by level: a document's own at the node, by rising context
+    x, bit, steps = np.zeros((decisions, INPUTS), np.float32), np.empty(decisions, np.float32), np.empty(decisions, np.int64)
+    slot = np.empty(len(depth), np.int32)
+    descents = [Descent(g.take(order)) for g in groups]
+    n, level = 0, 0
+    while len(descents[0].token):
+        if not level % 31:
+            bits = packed_bits(start, depth_of, bit_of, level).take(which)
+        token, way, zeros, ones, group, (one_of, all_zeros, all_ones) = descents[0].step(bits, level, depth)
+        rows = slice(n, n + len(token))
+        node = node_of.take(path.take(one_of) + level)
+        base, likely = tree.stretched.take(node).take(group), tree.ones.take(node).take(group)
+        x[rows, 0] = base
+        x[rows, 1] = _against(zeros, ones, PRIOR[0], likely, base)
+        bit[rows] = way
+        sides = tree.straight.take(node, axis=1).astype(float)
+        out -= np.bincount(doc.take(one_of), weights=all_zeros * sides[0] + all_ones * sides[1], minlength=n_docs)
+        slot[token] = np.arange(len(token), dtype=np.int32)
+        step = offset.take(token)
+        step += level + (np.int64(min(level // 4, DEPTHS - 1)) << np.int64(index_bits))
+        for k, descent in enumerate(descents[1:], 1):
+            if len(descent.token):
+                token, _, zeros, ones, *_ = descent.step(bits, level, depth)
+                to = slot.take(token)  # what has been decided after a context has been decided at the node
+                x[rows.start + to, 1 + k] = _against(zeros, ones, PRIOR[k], likely.take(to), base.take(to))
+                step[to] += np.int64(DEPTHS << index_bits)  # after the two previous words it is after the one as well
+        steps[rows] = step
+        bits >>= np.int32(1)
+        n, level = rows.stop, level + 1
+    steps = steps[:n]
+    where = np.empty(decisions, np.int32)
+    inside = np.int64((1 << index_bits) - 1)
+    where[steps & inside] = np.arange(n, dtype=np.int32)
+    steps.sort()
+    rows = where.take(steps & inside)
+    steps >>= np.int64(index_bits)
+    run, p = _advance(x.take(rows, axis=0), bit.take(rows), steps, n_docs)
+    return out + np.bincount(run // GATES, weights=p, minlength=n_docs)[rank]
+
+
+def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document and gate in one number, natural logarithm of the probability) of each run of decisions of one step; ``step`` rises, and
+    is a decision's turn, document and gate in one number."""
+    if not len(step):
+        return np.empty(0, np.int64), np.empty(0)
     weights = np.tile(WEIGHTS.astype(np.float32), (n_docs * GATES, 1))
     centers = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
     refined = np.tile(centers.astype(np.float32), n_docs * GATES)
     p = np.empty(len(bit), np.float32)
     cells = n_docs * GATES  # of one turn
-    cell = step % cells
-    bounds = np.searchsorted(step, np.arange(int(step[-1]) // cells + 2 if len(step) else 1) * cells)
-    runs = np.flatnonzero(np.concatenate(([True], step[1:] != step[:-1])) if len(step) else np.zeros(0, bool))
-    run_cells = cell[runs]
-    run_bounds = np.searchsorted(runs, bounds).tolist()
-    bounds = bounds.tolist()
-    scale, half, one, eight = np.float32((BUCKETS - 1) / 16), np.float32(0.5), np.float32(1), np.float32(8)
-    base = cell * BUCKETS
+    new = np.ones(len(step), bool)
+    np.not_equal(step[1:], step[:-1], out=new[1:])
+    runs = np.flatnonzero(new)
+    run_step = step.take(runs)
+    run_cells = run_step % cells
+    length = np.diff(runs, append=len(step))
+    run_bounds = np.searchsorted(run_step, np.arange(int(step[-1]) // cells + 2) * cells)
+    bounds = np.append(runs, len(step)).take(run_bounds).tolist()
+    run_bounds = run_bounds.tolist()
+    scale, half, one, low, high = np.float32((BUCKETS - 1) / 16), np.float32(0.5), np.float32(1), np.float32(-7.99), np.float32(7.99)
+    shift = np.float32(8) * scale + half
+    base = np.repeat((run_cells * BUCKETS).astype(np.int32), length)
     for t in range(len(bounds) - 1):
         i, j, u, v = bounds[t], bounds[t + 1], run_bounds[t], run_bounds[t + 1]
         if i == j:
             continue
-        xs, b = x[i:j], bit[i:j]
-        mixed = np.einsum("ij,ij->i", weights.take(cell[i:j], axis=0), xs)
-        np.maximum(mixed, np.float32(-7.99), out=mixed)
-        np.minimum(mixed, np.float32(7.99), out=mixed)
-        plain = one / (one + np.exp(-mixed))
-        near = base[i:j] + ((mixed + eight) * scale + half).astype(np.int64)
+        xs, b, cell = x[i:j], bit[i:j], run_cells[u:v]
+        now = weights.take(cell, axis=0)
+        mixed = np.einsum("ij,ij->i", now.repeat(length[u:v], axis=0), xs)
+        np.maximum(mixed, low, out=mixed)
+        np.minimum(mixed, high, out=mixed)
+        plain = np.negative(mixed)
+        np.exp(plain, out=plain)
+        plain += one
+        np.divide(one, plain, out=plain)
+        mixed *= scale
+        mixed += shift
+        near = mixed.astype(np.int32)
+        near += base[i:j]
         mapped = refined.take(near)
-        p[i:j] = plain + mapped
-        rate = np.float32(max(LEAST_RATE, RATE / (1 + first_token(t) / SETTLING)))
-        slope = xs * np.repeat((b - plain) * rate, INPUTS).reshape(-1, INPUTS)
-        weights[run_cells[u:v]] += np.add.reduceat(slope, runs[u:v] - i, axis=0)
+        np.add(plain, mapped, out=p[i:j])
+        np.subtract(b, plain, out=plain)
+        plain *= np.float32(max(LEAST_RATE, RATE / (1 + first_token(t) / SETTLING)))
+        slope = plain.repeat(INPUTS).reshape(-1, INPUTS)
+        slope *= xs
+        now += np.add.reduceat(slope, runs[u:v] - i, axis=0)
+        weights[cell] = now
         refined[near] = mapped + np.float32(MAP_RATE) * (b - mapped)
     p *= half
-    np.subtract(1, p, out=p, where=bit == 0)
-    return np.log(np.clip(p, 1e-5, 1))
+    p -= one
+    p += bit
+    np.abs(p, out=p)  # of what was decided
+    np.maximum(p, np.float32(1e-5), out=p)
+    np.log(p, out=p)
+    return run_cells, np.add.reduceat(p, runs, dtype=np.float64)

@@ -190,6 +190,70 @@ def test_held_out_texts_beat_the_base(spark):
     assert (got.score > got.base_score).mean() > 0.6 and got.score.sum() > got.base_score.sum()
 
 
+def test_levels_of_a_tree_count_what_was_seen_before():
+    """All decisions met, with their counts, without a sort of all decisions; tokens that are alone in their group are not carried on."""
+    rng = np.random.default_rng(7)
+    counts = rng.integers(1, 1 << 20, 3000)
+    tree = word_mixer.code_tree(counts, rng.integers(0, 3, 3000), 30.0, 12.0)
+    doc = np.sort(rng.integers(0, 40, 5000))
+    leaf = np.minimum(rng.geometric(0.004, 5000), len(counts) + 2) - 1
+    unique, _, which, _ = word_mixer.distinct(leaf)
+    start, node, bit = tree.paths(unique)
+    depth_of = tree.depth[unique]
+    depth, offset = depth_of[which], np.cumsum(depth_of[which]) - depth_of[which]
+    assert int(depth.max()) > 8
+    at = np.arange(int(depth.sum())) + np.repeat(start[which] - offset, depth)
+    want = set(zip(*(x.tolist() for x in word_mixer.seen_before(np.repeat(doc, depth) * len(tree.below) + node[at], bit[at])), strict=True))
+    got, carried, descent = set(), 0, word_mixer.Descent(doc)
+    for level in range(int(depth.max())):
+        if not level % 31:
+            bits = word_mixer.packed_bits(start, depth_of, bit, level).take(which)
+        carried += len(descent.token)
+        if len(descent.token):
+            token, way, zeros, ones, _, _ = descent.step(bits, level, depth)
+            got |= set(zip((offset[token] + level).tolist(), zeros.tolist(), ones.tolist(), strict=True))
+            assert (way == bit[start[which[token]] + level]).all()
+        bits >>= np.int32(1)
+    assert got == want and not len(descent.token)
+    assert carried < 0.9 * len(at)
+    deep = word_mixer.packed_bits(start, depth_of, bit, 2)  # what is asked for from a later level on
+    assert (deep & 1 == np.where(depth_of > 2, bit[np.minimum(start + 2, len(bit) - 1)], 0)).all()
+
+
+def test_rows_between_scoring_and_mixing_are_narrow(spark):
+    """A word outside the tree travels as four values, whatever a document's sums are; documents may spread over batches."""
+    text = " ".join(f"w{i} w{i} w{i % 7}" for i in range(60))
+    docs = spark.createDataFrame([(None if i == 3 else i, text if i % 2 else None) for i in range(9)], "doc_id long, text string").coalesce(1)
+    rows = context_mixing._rows(docs, 7, 2)
+    counts = context_mixing.materialize(context_mixing.token_counts(rows))
+    model, tables = context_mixing.learn(counts, 1)
+    found = context_mixing.materialize(context_mixing.scored(rows, model, tables))
+    assert found.dtypes == [("at", "bigint"), ("word", "bigint"), ("spelled", "float"), ("more", "binary")]
+    assert found.filter("word is null").count() == 9 and found.filter("word is not null").count() > 200
+    results, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for records in (before, 3):
+        spark.conf.set(name, records)
+        results.append(sorted(map(tuple, context_mixing.mixed(found, counts.filter("kind = 0"), model.scale).collect()), key=lambda r: (r[0] is None, r)))
+    spark.conf.set(name, before)
+    assert len(results[0]) == 9 and results[0][-1][0] is None
+    for a, b in zip(*results, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_letters_kept_by_a_task_are_those_worked_out():
+    codes = context_mixing.huffman_codes(np.ones((256, 256), np.int64))
+    rng = np.random.default_rng(3)
+    tables = [np.ascontiguousarray(rng.integers(0, 40, (1 << context_mixing.TABLE_BITS, 2)), np.float32) for _ in context_mixing.ORDERS]
+    mixer = context_mixing.Mixer(codes, tables, np.tile(context_mixing._START, (context_mixing.GATES, 1)), np.tile(context_mixing._CENTERS, (context_mixing.GATES, 1)))
+    mixer.known = np.full(context_mixing.KNOWN, -1, np.int64), np.zeros(context_mixing.KNOWN)
+    for _ in range(3):
+        data = rng.integers(97, 105, 400).astype(np.uint8)
+        _, gram = context_mixing.grams(data, np.arange(0, 400, 8), np.arange(8, 401, 8))
+        assert mixer.known_logs(gram).tolist() == mixer.logs(gram).tolist()
+    assert (mixer.known[0] >= 0).sum() > 300
+
+
 def test_context_mixing_by_any_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     one, many = (sorted((r["doc_id"], r["score"]) for r in context_mixing.score(docs.repartition(n, "doc_id")).collect()) for n in (1, 7))
