@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard as zs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -635,6 +636,7 @@ def scored(rows: DataFrame, model: Model, tables) -> DataFrame:
         names = ["at", "word", "spelled", "more"]
         for batch in batches:
             first = 0
+            batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column("text")), 0)))  # texts of a chunk take alike many turns
             for c in tk.chunks(batch.column("text"), 1_000_000):
                 got, (doc, word, spelled, times, kept, repeated) = chunk_scores(c, m, mixer)
                 n, k = c.n_docs, len(word)

@@ -14,12 +14,14 @@ text alone, so that only weights and maps are carried from step to step.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 
 INPUTS = 4
 ORDERS = 3  # highest context met: the node, after the previous word, after the two previous words
 DEPTHS = 3
+WORD = 31  # decisions of a path in one number
 GATES = ORDERS * DEPTHS
 BUCKETS = 24
 WEIGHTS = np.array([1.0, 0.6, 0.5, 0.5])
@@ -64,6 +66,16 @@ def huffman_parents(weights: np.ndarray, first: int) -> tuple[list[int], list[in
     return leaf_parent, inner_parent, first + len(made) - 1
 
 
+@dataclass
+class Downward:
+    """``bits[k]``: decisions from k * WORD on of each leaf's path, lowest first; ``whole``: natural logarithm of its training probability;
+    ``child``: inner nodes on both sides of each inner node, -1 for leaves."""
+
+    bits: np.ndarray
+    whole: np.ndarray
+    child: np.ndarray
+
+
 @dataclass
 class Tree:
     """``parent[x]`` and ``side[x]`` of each leaf and inner node (the root's parent is -1), depth of leaves, and of each inner node the
@@ -80,6 +92,23 @@ class Tree:
         self.stretched = np.log(self.ones / (1 - self.ones)).astype(np.float32)
         self.straight = np.log(np.stack([1 - self.ones, self.ones]))  # of either side
 
+    @cached_property
+    def downward(self) -> Downward:
+        """The tree from the root down: made where texts are scored, and once there."""
+        levels = _by_level(self.parent)
+        bits = np.zeros((-(-len(levels) // WORD), len(self.parent)), np.int32)
+        whole = np.zeros(len(self.parent))
+        child = np.full((len(self.below), 2), -1, np.int32)
+        for i, node in enumerate(levels):
+            up, side = self.parent.take(node), self.side.take(node)
+            for word in bits[: i // WORD + 1]:
+                word[node] = word.take(up)
+            bits[i // WORD, node] |= side.astype(np.int32) << np.int32(i % WORD)
+            up -= self.leaves
+            whole[node] = whole.take(up + self.leaves) + self.straight[side, up]
+            child[up, side] = np.maximum(node - self.leaves, -1)
+        return Downward(bits[:, : self.leaves].copy(), whole[: self.leaves].copy(), child)
+
     def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first decision of each leaf, node, bit): decisions from the root down, leaf after leaf."""
         size = self.depth[leaf]
@@ -232,12 +261,12 @@ def first_token(turn: int) -> int:
 
 
 class Descent:
-    """Tokens that go down the tree together, by what they have in common: ``token`` in groups, in order within a group; ``start`` and
-    ``size`` of the groups. All of a group are at one node, and a level splits each group in two, as a stable partition, for which the
+    """Tokens that go down the tree together, by what they have in common: ``token`` in groups, in order within a group; ``start``,
+    ``size`` and ``node`` of the groups. All of a group are at one node, and a level splits each group in two, as a stable partition, for which the
     earlier decisions of a group are counted anyway. A token that is alone has nothing before it any more, and is left out."""
 
-    def __init__(self, group: np.ndarray):
-        """``group`` of each token, -1: none."""
+    def __init__(self, group: np.ndarray, child: np.ndarray):
+        """``group`` of each token, -1: none; ``child`` of :class:`Downward`."""
         token = np.flatnonzero(group >= 0)
         order, ranked = _sorted(group.take(token), max(1, len(token).bit_length()))
         self.token = token.take(order).astype(np.int32)
@@ -245,16 +274,17 @@ class Descent:
         np.not_equal(ranked[1:], ranked[:-1], out=first[1:])
         self.start = np.flatnonzero(first).astype(np.int32)
         self.size = np.diff(self.start, append=np.int32(len(ranked)))
+        self.child, self.node = child, np.full(len(self.size), len(child) - 1, np.int32)  # the root is the last
         self._keep(np.repeat(self.size > 1, self.size), self.size > 1)
 
     def _keep(self, tokens: np.ndarray, groups: np.ndarray) -> None:
         self.token = self.token.take(np.flatnonzero(tokens))
-        self.size = self.size.compress(groups)
+        self.size, self.node = self.size.compress(groups), self.node.compress(groups)
         self.start = np.cumsum(self.size, dtype=np.int32)
         self.start -= self.size
 
-    def step(self, bits: np.ndarray, level: int, depth: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(token, bit, zeros, ones, group) of the decisions at ``level`` that have others of their group before them, and of each group
+    def step(self, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(token, bit, zeros, ones, group) of the decisions at this level that have others of their group before them, and of each group
         a token and the zeros and ones among these decisions; then goes on. ``bits``: what each token decides from here on, lowest first."""
         token, size, n = self.token, self.size, len(self.token)
         bit = bits.take(token)
@@ -285,25 +315,12 @@ class Descent:
         moved[to] = token
         self.token = moved
         halves = np.stack([size - total, total], 1).ravel()
-        first = np.stack([self.start, second], 1).ravel()
-        on = np.flatnonzero(halves > 1)
-        deeper = depth.take(moved.take(first.take(on))) > level + 1  # a half whose node is a leaf ends here
-        stay = np.zeros(len(halves), bool)
-        stay[on[deeper]] = True
-        self.size = halves
+        self.size, self.node = halves, self.child.take(self.node, axis=0).ravel()
+        stay = (halves > 1) & (self.node >= 0)  # a half whose node is a leaf ends here
         self._keep(np.repeat(stay, halves), stay)
         return found
 
 
-def packed_bits(start: np.ndarray, depth: np.ndarray, bit: np.ndarray, level: int) -> np.ndarray:
-    """Up to 31 decisions of each path from ``level`` on, lowest first."""
-    out = np.zeros(len(start), np.int32)
-    for k in range(min(31, int(depth.max(initial=0)) - level)):
-        on = np.flatnonzero(depth > level + k)
-        out[on] |= bit.take(start.take(on) + level + k).astype(np.int32) << np.int32(k)
-    return out
-
-
 def _against(zeros: np.ndarray, ones: np.ndarray, prior: float, expected: np.ndarray, base: np.ndarray) -> np.ndarray:
     """What counts with a prior of the training's probability say beyond it, stretched."""
     s = np.float32(prior)
@@ -329,22 +346,18 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
     before[place == 0] = START_KEY
     earlier = np.concatenate(([START_KEY, START_KEY], key[:-2]))[: len(key)]
     earlier[place <= 1] = START_KEY
-    # paths of the distinct leaves
-    unique, _, which, _ = distinct(leaf)
-    start, node_of, bit_of = tree.paths(unique)
+    down = tree.downward
     # a node that the document has not met has only the training counts below it: a token's path is taken whole, and what was met is
     # taken out again
-    whole = np.add.reduceat(tree.straight[bit_of, node_of], start, dtype=float) if len(node_of) else np.zeros(len(unique))
-    out = np.bincount(doc, weights=whole.take(which), minlength=n_docs)
+    out = np.bincount(doc, weights=down.whole.take(leaf), minlength=n_docs)
     # tokens by steps: all documents' tokens of one turn, the long documents first; a document's own stay in order
     salt = doc.astype(np.uint64)
     groups = [doc, _inner_ids(salt, before), _inner_ids(salt, before, earlier)]
     rank = np.empty(n_docs, np.int64)
     rank[np.argsort(-np.bincount(doc, minlength=n_docs), kind="stable")] = np.arange(n_docs)
     order, unit = _sorted(turn_of(place) * n_docs + rank[doc], max(1, len(doc).bit_length()))
-    which, doc = which.take(order), doc.take(order)
-    depth_of = tree.depth.take(unique)
-    depth, path = depth_of.take(which), start.astype(np.int32).take(which)
+    leaf, doc = leaf.take(order), doc.take(order)
+    depth = tree.depth.take(leaf)
     offset = np.cumsum(depth, dtype=np.int64)
     decisions = int(offset[-1])
     offset -= depth
@@ -353,14 +366,14 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
     # decisions level by level: a document's own at the node, by rising context
     x, bit, steps = np.zeros((decisions, INPUTS), np.float32), np.empty(decisions, np.float32), np.empty(decisions, np.int64)
     slot = np.empty(len(depth), np.int32)
-    descents = [Descent(g.take(order)) for g in groups]
+    descents = [Descent(g.take(order), down.child) for g in groups]
     n, level = 0, 0
     while len(descents[0].token):
-        if not level % 31:
-            bits = packed_bits(start, depth_of, bit_of, level).take(which)
-        token, way, zeros, ones, group, (one_of, all_zeros, all_ones) = descents[0].step(bits, level, depth)
+        if not level % WORD:
+            bits = down.bits[level // WORD].take(leaf)
+        node = descents[0].node
+        token, way, zeros, ones, group, (one_of, all_zeros, all_ones) = descents[0].step(bits)
         rows = slice(n, n + len(token))
-        node = node_of.take(path.take(one_of) + level)
         base, likely = tree.stretched.take(node).take(group), tree.ones.take(node).take(group)
         x[rows, 0] = base
         x[rows, 1] = _against(zeros, ones, PRIOR[0], likely, base)
@@ -372,7 +385,7 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
         step += level + (np.int64(min(level // 4, DEPTHS - 1)) << np.int64(index_bits))
         for k, descent in enumerate(descents[1:], 1):
             if len(descent.token):
-                token, _, zeros, ones, *_ = descent.step(bits, level, depth)
+                token, _, zeros, ones, *_ = descent.step(bits)
                 to = slot.take(token)  # what has been decided after a context has been decided at the node
                 x[rows.start + to, 1 + k] = _against(zeros, ones, PRIOR[k], likely.take(to), base.take(to))
                 step[to] += np.int64(DEPTHS << index_bits)  # after the two previous words it is after the one as well
@@ -386,19 +399,19 @@ def document_logs(tree: Tree, leaf: np.ndarray, doc: np.ndarray, key: np.ndarray
     steps.sort()
     rows = where.take(steps & inside)
     steps >>= np.int64(index_bits)
-    run, p = _advance(x.take(rows, axis=0), bit.take(rows), steps, n_docs)
+    run, p = _advance(x, bit, rows, steps, n_docs)
     return out + np.bincount(run // GATES, weights=p, minlength=n_docs)[rank]
 
 
-def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document and gate in one number, natural logarithm of the probability) of each run of decisions of one step; ``step`` rises, and
-    is a decision's turn, document and gate in one number."""
+def _advance(x: np.ndarray, bit: np.ndarray, rows: np.ndarray, step: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document and gate in one number, natural logarithm of the probability) of each run of decisions of one step; ``rows`` are the
+    places of decisions in ``x`` and ``bit`` by ``step``, which rises, and is a decision's turn, document and gate in one number."""
     if not len(step):
         return np.empty(0, np.int64), np.empty(0)
     weights = np.tile(WEIGHTS.astype(np.float32), (n_docs * GATES, 1))
     centers = 1 / (1 + np.exp(-np.linspace(-8, 8, BUCKETS)))
     refined = np.tile(centers.astype(np.float32), n_docs * GATES)
-    p = np.empty(len(bit), np.float32)
+    p = np.empty(len(rows), np.float32)
     cells = n_docs * GATES  # of one turn
     new = np.ones(len(step), bool)
     np.not_equal(step[1:], step[:-1], out=new[1:])
@@ -416,7 +429,7 @@ def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> t
         i, j, u, v = bounds[t], bounds[t + 1], run_bounds[t], run_bounds[t + 1]
         if i == j:
             continue
-        xs, b, cell = x[i:j], bit[i:j], run_cells[u:v]
+        xs, b, cell = x.take(rows[i:j], axis=0), bit.take(rows[i:j]), run_cells[u:v]
         now = weights.take(cell, axis=0)
         mixed = np.einsum("ij,ij->i", now.repeat(length[u:v], axis=0), xs)
         np.maximum(mixed, low, out=mixed)
@@ -430,7 +443,12 @@ def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> t
         near = mixed.astype(np.int32)
         near += base[i:j]
         mapped = refined.take(near)
-        np.add(plain, mapped, out=p[i:j])
+        chance = p[i:j]  # of what was decided
+        np.add(plain, mapped, out=chance)
+        chance *= half
+        chance -= one
+        chance += b
+        np.abs(chance, out=chance)
         np.subtract(b, plain, out=plain)
         plain *= np.float32(max(LEAST_RATE, RATE / (1 + first_token(t) / SETTLING)))
         slope = plain.repeat(INPUTS).reshape(-1, INPUTS)
@@ -438,10 +456,6 @@ def _advance(x: np.ndarray, bit: np.ndarray, step: np.ndarray, n_docs: int) -> t
         now += np.add.reduceat(slope, runs[u:v] - i, axis=0)
         weights[cell] = now
         refined[near] = mapped + np.float32(MAP_RATE) * (b - mapped)
-    p *= half
-    p -= one
-    p += bit
-    np.abs(p, out=p)  # of what was decided
     np.maximum(p, np.float32(1e-5), out=p)
     np.log(p, out=p)
     return run_cells, np.add.reduceat(p, runs, dtype=np.float64)

@@ -204,20 +204,29 @@ def test_levels_of_a_tree_count_what_was_seen_before():
     assert int(depth.max()) > 8
     at = np.arange(int(depth.sum())) + np.repeat(start[which] - offset, depth)
     want = set(zip(*(x.tolist() for x in word_mixer.seen_before(np.repeat(doc, depth) * len(tree.below) + node[at], bit[at])), strict=True))
-    got, carried, descent = set(), 0, word_mixer.Descent(doc)
+    down = tree.downward
+    assert down.whole[unique] == pytest.approx([sum(math.log(1 - tree.ones[n] if not b else tree.ones[n]) for n, b in zip(node[i : i + d], bit[i : i + d], strict=True)) for i, d in zip(start, depth_of, strict=True)], rel=1e-4)
+    got, carried, descent = set(), 0, word_mixer.Descent(doc, down.child)
     for level in range(int(depth.max())):
-        if not level % 31:
-            bits = word_mixer.packed_bits(start, depth_of, bit, level).take(which)
+        if not level % word_mixer.WORD:
+            bits = down.bits[level // word_mixer.WORD].take(leaf)
         carried += len(descent.token)
         if len(descent.token):
-            token, way, zeros, ones, _, _ = descent.step(bits, level, depth)
+            token, way, zeros, ones, _, _ = descent.step(bits)
             got |= set(zip((offset[token] + level).tolist(), zeros.tolist(), ones.tolist(), strict=True))
             assert (way == bit[start[which[token]] + level]).all()
         bits >>= np.int32(1)
     assert got == want and not len(descent.token)
     assert carried < 0.9 * len(at)
-    deep = word_mixer.packed_bits(start, depth_of, bit, 2)  # what is asked for from a later level on
-    assert (deep & 1 == np.where(depth_of > 2, bit[np.minimum(start + 2, len(bit) - 1)], 0)).all()
+
+
+def test_paths_of_a_deep_tree():
+    """Weights that double make a path longer than one number holds."""
+    tree = word_mixer.code_tree(np.array([1 << i for i in range(45)]), np.zeros(45, int), 1.0, 1.0)
+    down, (start, _, bit) = tree.downward, tree.paths(np.arange(tree.leaves))
+    assert len(down.bits) == 2 and tree.depth.max() > 40
+    for leaf, (i, d) in enumerate(zip(start.tolist(), tree.depth.tolist(), strict=True)):
+        assert [int(down.bits[k // word_mixer.WORD, leaf]) >> k % word_mixer.WORD & 1 for k in range(d)] == bit[i : i + d].tolist()
 
 
 def test_rows_between_scoring_and_mixing_are_narrow(spark):
